@@ -1,0 +1 @@
+"""Queries of the driver contract and the SQL that checks them."""

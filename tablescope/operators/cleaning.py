@@ -70,7 +70,8 @@ def rename_column(df: DataFrame, old: str, new: str) -> StepResult:
 def fill_missing(df: DataFrame, name: str, strategy: str, value: Any = None, semantic_type: str | None = None) -> StepResult:
     """Fill missing cells with the mean, median, most common or a given value.
 
-    Mean and mode enter the plan as one-row subqueries; the exact median is found first.
+    The value is found first and enters the plan as a literal: plans of long recipes stay small, and
+    the count of filled cells is still left to whoever asks for it.
     """
     if name not in df.columns:
         return not_found(df, name)
@@ -84,13 +85,17 @@ def fill_missing(df: DataFrame, name: str, strategy: str, value: Any = None, sem
     if strategy == "constant" and value is None:
         return unchanged(df, "No fill value provided for constant strategy.")
     clean = nan_to_null(df)
-    if strategy == "mean":
-        fill, words = clean.agg(F.avg(col(name))).scalar(), "the column average"
-    elif strategy == "median":
-        median = exact_quantiles(clean, col(name), [0.5])[0]
-        fill, words = F.lit(median).cast("double"), f"the median value ({median or 0:,.2f})"
+    if strategy in ("mean", "median"):
+        found = clean.agg(F.avg(col(name))).collect()[0][0] if strategy == "mean" else exact_quantiles(clean, col(name), [0.5])[0]
+        if found is None:
+            return unchanged(df, f"'{name}' has no values — it has no {strategy}.")
+        fill = F.lit(float(found))
+        words = f"the {'column average' if strategy == 'mean' else 'median value'} ({found:,.2f})"
     elif strategy == "mode":
-        fill, words = most_common(clean, name).scalar(), "the most common value"
+        found = most_common(clean, name).select(F.col("value").cast("string")).collect()[0][0]
+        if found is None:
+            return unchanged(df, f"Could not determine a mode for '{name}'.")
+        fill, words = F.lit(found).cast(dtype), f"the most common value ('{found}')"
     else:
         fill = constant_for(dtype, value)
         if fill is None:

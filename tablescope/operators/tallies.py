@@ -26,9 +26,10 @@ def most_common(df: DataFrame, name: str) -> DataFrame:
     return value_counts(df, name).agg(best["value"].alias("value"))
 
 
-def counts_by_column(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def counts_by_column(df: DataFrame, names: Sequence[str], keep_missing: bool = False) -> DataFrame:
     """``(ordinal, column, value, count)`` of several columns in one scan and one shuffle."""
     cells = F.inline(
         F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), col(n).cast("string").alias("value")) for i, n in enumerate(names)])
     )
-    return df.select(cells).where("value IS NOT NULL").groupBy("ordinal", "column", "value").agg(F.count(F.lit(1)).alias("count"))
+    long = df.select(cells) if keep_missing else df.select(cells).where("value IS NOT NULL")
+    return long.groupBy("ordinal", "column", "value").agg(F.count(F.lit(1)).alias("count"))

@@ -38,7 +38,7 @@ def log_transform(df: DataFrame, name: str) -> StepResult:
 def _scaled(df: DataFrame, name: str, suffix: str, sentence: str, shift, spread) -> StepResult:
     """``(x - shift) / spread`` with missing cells taken as 0 first and no spread taken as 1.
 
-    Both statistics come from one one-row subquery inside the plan.
+    Both statistics come from one aggregate and enter the plan as literals.
     """
     if name not in df.columns:
         return not_found(df, name)
@@ -46,9 +46,8 @@ def _scaled(df: DataFrame, name: str, suffix: str, sentence: str, shift, spread)
         return unchanged(df, f"'{name}' is not a numeric column — scaling only works on numbers.")
     new = f"{name}_{suffix}"
     filled = F.coalesce(F.nanvl(col(name).cast("double"), F.lit(None)), F.lit(0.0))
-    fitted = df.agg(F.struct(shift(filled).alias("shift"), spread(filled).alias("spread"))).scalar()
-    width = F.when(fitted["spread"] == 0, F.lit(1.0)).otherwise(fitted["spread"])
-    scaled = (filled - fitted["shift"]) / width
+    start, width = df.agg(shift(filled), spread(filled)).collect()[0]
+    scaled = (filled - F.lit(start or 0.0)) / F.lit(width or 1.0)
     return StepResult(df, lambda d: d.withColumn(new, scaled), lambda _: sentence.format(name=name, new=new))
 
 
