@@ -416,7 +416,8 @@ def segments(spark, sf_dir):
 
 @query("segment_value_ratio")
 def segment_value_ratio(spark, sf_dir):
-    found = I.segment_value_ratio(prepared(spark, sf_dir, "dirty_profile"))
+    table = loading.prepare(read(spark, sf_dir, "dirty_profile").select("claim_outcome", "constant_flag", "band_label", "settlement_fee"))
+    found = I.segment_value_ratio(table)
     return rounded(found, 4, "top_avg", "bottom_avg", "ratio")
 
 

@@ -71,9 +71,9 @@ ID_UNIQUENESS = 0.90
 
 STRICT_DATE_FORMAT = "yyyy-M-d"
 OTHER_DATE_FORMATS = (
-    "yyyy-M-d H:m:s",
+    "yyyy-M-d H:m:s[.SSSSSS]",
     "yyyy-M-d H:m",
-    "yyyy-M-d'T'H:m:s",
+    "yyyy-M-d'T'H:m:s[.SSSSSS]",
     "yyyy/M/d",
     "M/d/yyyy",
     "M/d/yyyy H:m:s",

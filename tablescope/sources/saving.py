@@ -18,8 +18,9 @@ def export_name(prefix: str, extension: str, day: datetime.date | None = None) -
 def write_csv(df: DataFrame, folder: str, prefix: str, day: datetime.date | None = None) -> str:
     """Write a header CSV (doubled quotes, blanks kept, missing left empty) and return its path."""
     path = f"{folder.rstrip('/')}/{export_name(prefix, 'csv', day)}"
-    nested = {f.name: F.to_json(col(f.name)) for f in df.schema.fields if is_nested(f.dataType)}
-    (df.withColumns(nested) if nested else df).write.csv(
+    texts = {f.name: F.to_json(col(f.name)) for f in df.schema.fields if is_nested(f.dataType)}
+    texts |= {f.name: col(f.name).cast("string") for f in df.schema.fields if is_date(f.dataType)}
+    (df.withColumns(texts) if texts else df).write.csv(
         path,
         header=True,
         quote='"',
@@ -27,8 +28,6 @@ def write_csv(df: DataFrame, folder: str, prefix: str, day: datetime.date | None
         emptyValue="",
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
-        timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-        timestampFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     )
     return path
 
