@@ -147,7 +147,7 @@ SCHEMAS = {
     "dirty_profile": "o_orderkey:number size_label:text sparse_amount:number constant_flag:text day_label:text band_label:text is_even:number claim_outcome:text settlement_fee:number",
     "lineitem": "l_orderkey:number l_partkey:number l_suppkey:number l_linenumber:number l_quantity:number l_extendedprice:number l_discount:number l_tax:number l_returnflag:text l_linestatus:text l_shipdate:date",
     "part": "p_partkey:number p_name:text p_brand:text p_type:text p_size:number p_retailprice:number",
-    "events": "event_id:number user_id:number ts:date event_type:text props:text value:number",
+    "events": "event_id:number ts:date user_id:number event_type:text value:number props:text",
     "documents": "doc_id:number text:text lang:text source:text n_chars:number",
     "embeddings": "vec_id:number embedding:nested label:number",
 }

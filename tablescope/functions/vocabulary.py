@@ -69,19 +69,22 @@ ID_UNIQUENESS = 0.90
 
 # --- Date text -------------------------------------------------------------------
 
+# Each format with the shape a value must have before it is parsed (a failed parse is far dearer than
+# a failed match).
 STRICT_DATE_FORMAT = "yyyy-M-d"
-OTHER_DATE_FORMATS = (
-    "yyyy-M-d H:m:s[.SSSSSS]",
-    "yyyy-M-d H:m",
-    "yyyy-M-d'T'H:m:s[.SSSSSS]",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "M/d/yyyy H:m:s",
-    "M-d-yyyy",
-    "d-MMM-yyyy",
-    "MMM d, yyyy",
-    "yyyyMMdd",
-)
+DATE_FORMATS = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "yyyy-M-d H:m:s[.SSSSSS]": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$",
+    "yyyy-M-d H:m": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$",
+    "yyyy-M-d'T'H:m:s[.SSSSSS]": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy H:m:s": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$",
+    "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
 STRICT_DATE_SHARE = 0.50
 ACCEPT_DATE_SHARE = 0.70
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,12 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
-from ..functions.columns import col, count_text, half_even, is_date, is_nested, is_number, is_text, nan_to_null, percent
+from ..functions.columns import col, half_even, is_date, is_nested, is_number, is_text, nan_to_null
 from .cardinality import doubtful, exact_distinct, uniqueness_doubtful
 from .measures import Measure, distinct_estimate, gather, local_frame, rows, rows_where
 
-DATE_FORMATS = (V.STRICT_DATE_FORMAT, *V.OTHER_DATE_FORMATS)
-
 
 @dataclass(frozen=True)
 class Table:
@@ -33,19 +30,19 @@ class Table:
 
 
 def parse_date(column: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(column, F.lit(pattern)).cast("timestamp_ntz")
+    return F.when(column.rlike(V.DATE_FORMATS[pattern]), F.try_to_timestamp(column, F.lit(pattern))).cast("timestamp_ntz")
 
 
 def _date_measures(name: str) -> dict[tuple, Measure]:
-    return {("date", name, p): rows_where(parse_date(col(name), p).isNotNull()) for p in DATE_FORMATS}
+    return {("date", name, p): rows_where(parse_date(col(name), p).isNotNull()) for p in V.DATE_FORMATS}
 
 
 def _best_format(seen: dict, name: str) -> tuple[str, int]:
     """The strict format if half of all rows match it, else the format most rows match."""
-    counts = {p: seen[("date", name, p)] for p in DATE_FORMATS}
+    counts = {p: seen[("date", name, p)] for p in V.DATE_FORMATS}
     if counts[V.STRICT_DATE_FORMAT] >= V.STRICT_DATE_SHARE * seen["rows"]:
         return V.STRICT_DATE_FORMAT, counts[V.STRICT_DATE_FORMAT]
-    best = max(V.OTHER_DATE_FORMATS, key=lambda p: counts[p])
+    best = max((p for p in V.DATE_FORMATS if p != V.STRICT_DATE_FORMAT), key=lambda p: counts[p])
     return best, counts[best]
 
 
