@@ -258,7 +258,7 @@ SCORED = (
     + duplicate_summary("dirty_lineitem")
     + f""", health AS (SELECT {HEALTH} FROM stats WHERE present > 0),
  points AS (SELECT coalesce(count(*) FILTER (WHERE is_highly_skewed) * 5, 0)::DOUBLE AS skew_penalty,
-  coalesce({even('least(10::DOUBLE, sum(outlier_penalty))', 2)}, 0)::DOUBLE AS outlier_penalty FROM health),
+  {even('least(10::DOUBLE, coalesce(sum(outlier_penalty), 0))', 2)} AS outlier_penalty FROM health),
  scored AS (SELECT copies.n AS n_rows, 7::BIGINT AS n_cols, missing.penalty AS missing_penalty, copies.penalty AS duplicate_penalty, skew_penalty, outlier_penalty,
   greatest(0::DOUBLE, least(100::DOUBLE, {even('100 - (missing.penalty + copies.penalty + skew_penalty + outlier_penalty)', 1)})) AS score
   FROM missing, copies, points)"""

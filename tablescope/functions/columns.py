@@ -124,12 +124,17 @@ def percent(part: Column, whole: Column, digits: int) -> Column:
     return F.when(whole > 0, half_even(part / whole * 100, digits)).otherwise(F.lit(0.0))
 
 
+def _formatted(pattern: str, value: Column) -> Column:
+    """NULL stays NULL (``format_string`` would print it)."""
+    return F.when(value.isNotNull(), F.format_string(pattern, value))
+
+
 def count_text(column: Column) -> Column:
-    return F.format_string("%,d", column.cast("bigint"))
+    return _formatted("%,d", column.cast("bigint"))
 
 
 def fixed_text(column: Column, digits: int) -> Column:
-    return F.format_string(f"%,.{digits}f", half_even(column.cast("double"), digits))
+    return _formatted(f"%,.{digits}f", half_even(column.cast("double"), digits))
 
 
 def value_text(column: Column, name: str) -> Column:
@@ -137,7 +142,7 @@ def value_text(column: Column, name: str) -> Column:
     if V.has_keyword(name, V.MONEY_NAME_HINTS):
         return F.concat(F.lit("$"), fixed_text(column, 2))
     if V.has_keyword(name, V.PERCENT_NAME_HINTS):
-        return F.concat(F.format_string("%.1f", half_even(column.cast("double"), 1)), F.lit("%"))
+        return F.concat(_formatted("%.1f", half_even(column.cast("double"), 1)), F.lit("%"))
     return fixed_text(column, 1)
 
 

@@ -68,7 +68,7 @@ def score_parts(table: Table, found: Profile | None = None) -> tuple[Profile, Da
     found = found or profile(table.df, table.types, QUALITY_QUANTILES)
     numeric = numeric_health(found).agg(
         F.coalesce(F.count_if("is_highly_skewed") * V.SKEW_PENALTY, F.lit(0.0)).alias("skew_penalty"),
-        F.coalesce(half_even(F.least(F.lit(V.OUTLIER_PENALTY_CAP), F.sum("outlier_penalty")), 2), F.lit(0.0)).alias("outlier_penalty"),
+        half_even(F.least(F.lit(V.OUTLIER_PENALTY_CAP), F.coalesce(F.sum("outlier_penalty"), F.lit(0.0))), 2).alias("outlier_penalty"),
     )
     missing = missing_summary(found).withColumnRenamed("penalty", "missing_penalty")
     copies = duplicate_summary(table.df, found.n_rows).withColumnRenamed("penalty", "duplicate_penalty")
