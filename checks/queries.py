@@ -15,6 +15,7 @@ from tablescope.functions.columns import col
 from tablescope.operators import charts, cleaning, tallies, timeline, transforms
 from tablescope.plans import insights as I
 from tablescope.plans import quality, recipe, report, semantic
+from tablescope.plans.measures import together
 from tablescope.plans.profile import QUALITY_QUANTILES, missing_profile, profile
 from tablescope.session import scratch_path
 from tablescope.sources import loading, saving
@@ -158,9 +159,10 @@ def rename_column(spark, sf_dir):
 
 @query("column_types")
 def column_types(spark, sf_dir):
+    tables = together(*[lambda t=t: prepared(spark, sf_dir, t) for t in TYPED_TABLES])
     parts = [
-        semantic.types_frame(prepared(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "ordinal", "column", "semantic_type")
-        for t in TYPED_TABLES
+        semantic.types_frame(table).select(F.lit(t).alias("table_name"), "ordinal", "column", "semantic_type")
+        for t, table in zip(TYPED_TABLES, tables)
     ]
     whole = parts[0]
     for part in parts[1:]:
@@ -423,9 +425,10 @@ def segment_value_ratio(spark, sf_dir):
 
 @query("financial_summary")
 def financial_summary(spark, sf_dir):
-    parts = []
-    for name in ("dirty_orders", "dirty_profile", "dirty_lineitem"):
-        parts.append(I.financial_summary(prepared(spark, sf_dir, name)).withColumn("table_name", F.lit(name)))
+    names = ("dirty_orders", "dirty_profile", "dirty_lineitem")
+    parts = together(
+        *[lambda n=n: I.financial_summary(prepared(spark, sf_dir, n)).withColumn("table_name", F.lit(n)) for n in names]
+    )
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rounded(whole, 2, "total", "median", "mean", "p99", "max_value", "median_positive")
 
@@ -444,9 +447,8 @@ def topn_segments(spark, sf_dir):
 
 @query("insights")
 def insights(spark, sf_dir):
-    parts = [
-        I.insights(prepared(spark, sf_dir, t), AS_OF).withColumn("table_name", F.lit(t)) for t in ("dirty_orders", "dirty_profile", "events")
-    ]
+    names = ("dirty_orders", "dirty_profile", "events")
+    parts = together(*[lambda n=n: I.insights(prepared(spark, sf_dir, n), AS_OF).withColumn("table_name", F.lit(n)) for n in names])
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -493,8 +495,8 @@ def explore_line(spark, sf_dir):
 
 @query("suggestions")
 def suggestions(spark, sf_dir):
-    a = recipe.suggestions(prepared(spark, sf_dir, "dirty_orders")).withColumn("table_name", F.lit("dirty_orders"))
-    b = recipe.suggestions(prepared(spark, sf_dir, "dirty_customer")).withColumn("table_name", F.lit("dirty_customer"))
+    names = ("dirty_orders", "dirty_customer")
+    a, b = together(*[lambda n=n: recipe.suggestions(prepared(spark, sf_dir, n)).withColumn("table_name", F.lit(n)) for n in names])
     return a.unionByName(b)
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    col, comparable, currency_number, is_date, is_float, is_nested, is_number, is_text, missing, nan_to_null, strip_text,
+    col, currency_number, is_date, is_float, is_nested, is_number, is_text, missing, nan_to_null, strip_text,
     title_text,
 )
-from ..plans.duplicates import preview_copies
+from ..plans.duplicates import distinct_rows, preview_copies
 from ..plans.quantiles import exact_quantiles
 from .steps import StepResult, not_found, unchanged
 from .tallies import most_common
@@ -20,31 +20,15 @@ from .tallies import most_common
 FILL_STRATEGIES = ("mean", "median", "mode", "constant")
 
 
-def remove_duplicates(df: DataFrame, row_id: str | None = None) -> StepResult:
-    """Keep one row of each set of equal rows; with ``row_id``, the one with the lowest id.
-
-    Equal rows collapse in the map tasks before the shuffle, so a row repeated a billion times
-    reaches its reducer as one row per task.
-    """
-
-    def transform(d: DataFrame) -> DataFrame:
-        d = nan_to_null(d)
-        names = [n for n in d.columns if n != row_id]
-        keys = {f"k{i}": comparable(d, n) for i, n in enumerate(names) if isinstance(d.schema[n].dataType, T.MapType)}
-        if row_id is None and not keys:
-            return d.dropDuplicates()
-        marked = d.withColumns(keys)
-        by = [*[n for n in names if not isinstance(d.schema[n].dataType, T.MapType)], *keys]
-        kept = [F.first(col(n)).alias(n) for n in names if n not in by]
-        kept += [F.min(col(row_id)).alias(row_id)] if row_id else []
-        return marked.groupBy(*[col(n) for n in by]).agg(*(kept or [F.count(F.lit(1))])).select(*[col(n) for n in d.columns])
+def remove_duplicates(df: DataFrame, row_id: str | None = None, prefilter: bool = True) -> StepResult:
+    """Keep one row of each set of equal rows; with ``row_id``, the one with the lowest id."""
 
     def sentence(c):
         if not c.rows_removed:
             return "No duplicate rows found — nothing to remove."
         return f"Removed {c.rows_removed:,} duplicate row(s). Dataset now has {c.rows_after:,} rows."
 
-    return StepResult(df, transform, sentence, drops_rows=True)
+    return StepResult(df, lambda d: distinct_rows(nan_to_null(d), row_id, prefilter), sentence, drops_rows=True)
 
 
 def duplicate_preview(df: DataFrame, row_id: str, limit: int = 50) -> DataFrame:

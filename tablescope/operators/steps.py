@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ class StepResult:
     drops_rows: bool = False
     refused: bool = False
 
-    @property
+    @cached_property
     def df(self) -> DataFrame:
         return self.transform(self.source)
 

@@ -1,62 +1,92 @@
-"""Duplicate rows, found through row digests.
+"""Equal rows, found through row digests.
 
-Grouping whole rows shuffles the whole table.  Rows that are equal have equal digests, so a first
-job groups eight-byte digests (hot rows collapse before the shuffle); only rows whose digest occurs
-more than once can be copies, and only those are compared in full.  The digest never decides alone.
+Grouping whole rows shuffles the whole table.  Equal rows have equal digests, so a first job groups
+eight-byte digests (hot rows collapse before the shuffle) and keeps those that occur more than once.
+Only rows with such a digest can have a twin, and only they are compared in full: the digest alone
+never decides.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, comparable
+from ..session import scratch_path
 
-# Digests of repeated rows are broadcast up to this many (8 bytes each, counted before the join);
-# beyond it rows are grouped directly.
+# Repeated digests are broadcast up to this many (8 bytes each, counted before the join); beyond it
+# rows are grouped directly.
 BROADCAST_DIGESTS = 1_000_000
 
 
-def row_digest(df: DataFrame) -> Column:
-    return F.xxhash64(*[comparable(df, n) for n in df.columns])
+def row_digest(df: DataFrame, names: Sequence[str]) -> Column:
+    return F.xxhash64(*[comparable(df, n) for n in names])
 
 
-def row_groups(df: DataFrame) -> DataFrame:
+def row_groups(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row per different row with its number of ``copies``; merged before the shuffle."""
-    keys = [comparable(df, n).alias(n) for n in df.columns]
-    return df.select(*keys).groupBy(*[col(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
-
-
-@contextmanager
-def possible_copies(df: DataFrame) -> Iterator[DataFrame | None]:
-    """The rows that may have a twin (None if no row has): all true copies are among them."""
-    digests = df.select(row_digest(df).alias("digest")).groupBy("digest").count().where("count > 1")
-    digests = digests.select("digest").persist()
-    try:
-        repeated = digests.count()
-        if repeated == 0:
-            yield None
-        elif repeated <= BROADCAST_DIGESTS:
-            marked = df.withColumn("digest", row_digest(df))
-            yield marked.join(F.broadcast(digests), "digest", "left_semi").drop("digest")
-        else:
-            yield df
-    finally:
-        digests.unpersist()
+    keys = [comparable(df, n).alias(f"g{i}") for i, n in enumerate(names)]
+    return df.select(*keys).groupBy(*[f"g{i}" for i in range(len(names))]).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def repeated_digests(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, int]:
+    """Digests of more than one row, as a written table (small, and kept if executors are lost)."""
+    path = scratch_path(df.sparkSession, "digests")
+    found = df.select(row_digest(df, names).alias("digest")).groupBy("digest").count().where("count > 1")
+    found.select("digest").write.parquet(path)
+    table = df.sparkSession.read.schema("digest bigint").parquet(path)
+    return table, table.count()
+
+
+def possible_copies(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    """The rows that may have a twin, or None if no row has: all true copies are among them."""
+    digests, repeated = repeated_digests(df, names)
+    if repeated == 0:
+        return None
+    if repeated > BROADCAST_DIGESTS:
+        return df
+    return df.withColumn("digest", row_digest(df, names)).join(F.broadcast(digests), "digest", "left_semi").drop("digest")
 
 
 def count_copies(df: DataFrame) -> int:
     """Rows that repeat an earlier row."""
-    if not df.columns:
+    rows = possible_copies(df, df.columns) if df.columns else None
+    if rows is None:
         return 0
-    with possible_copies(df) as rows:
-        if rows is None:
-            return 0
-        groups = row_groups(rows)
-        return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).collect()[0][0]
+    copies = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
+    return row_groups(rows, df.columns).agg(copies).collect()[0][0]
+
+
+def distinct_rows(df: DataFrame, row_id: str | None = None, prefilter: bool = True) -> DataFrame:
+    """One row of each set of equal rows; with ``row_id``, the one with the lowest id.
+
+    Rows whose digest occurs once pass through where they are; only possible copies are shuffled.
+    ``prefilter=False`` runs no job up front and groups all rows.
+    """
+    names = [n for n in df.columns if n != row_id]
+    if not prefilter:
+        return _grouped(df, names, row_id)
+    digests, repeated = repeated_digests(df, names)
+    if repeated == 0:
+        return df
+    if repeated > BROADCAST_DIGESTS:
+        return _grouped(df, names, row_id)
+    marked = df.withColumn("digest", row_digest(df, names))
+    single = marked.join(F.broadcast(digests), "digest", "left_anti").drop("digest")
+    copied = marked.join(F.broadcast(digests), "digest", "left_semi").drop("digest")
+    return single.unionByName(_grouped(copied, names, row_id))
+
+
+def _grouped(df: DataFrame, names: Sequence[str], row_id: str | None) -> DataFrame:
+    """Group by the comparable form of all columns; equal rows collapse before the shuffle."""
+    kept = [F.first(col(n)).alias(n) for n in names]
+    kept += [F.min(col(row_id)).alias(row_id)] if row_id else []
+    if row_id is None and not any(df.schema[n].dataType.typeName() == "map" for n in names):
+        return df.dropDuplicates()
+    keyed = df.withColumns({f"__g{i}": comparable(df, n) for i, n in enumerate(names)})
+    return keyed.groupBy(*[f"__g{i}" for i in range(len(names))]).agg(*kept).select(*[col(n) for n in df.columns])
 
 
 def preview_copies(df: DataFrame, row_id: str, limit: int) -> DataFrame:
@@ -65,10 +95,12 @@ def preview_copies(df: DataFrame, row_id: str, limit: int) -> DataFrame:
     A group holds at least two rows, so the first ``limit`` groups in order are enough; they are
     joined back as a broadcast of at most ``limit`` rows, and no group is ever gathered whole.
     """
-    body = df.drop(row_id)
-    names = body.columns
-    order = [col(n).asc_nulls_last() for n in names]
-    first = row_groups(body).where("copies > 1").orderBy(*order).limit(limit).drop("copies")
-    first = first.toDF(*[f"g{i}" for i in range(len(names))])
+    names = [n for n in df.columns if n != row_id]
+    rows = possible_copies(df, names)
+    if rows is None:
+        return df.limit(0)
+    order = [F.col(f"g{i}").asc_nulls_last() for i in range(len(names))]
+    first = row_groups(rows, names).where("copies > 1").orderBy(*order).limit(limit).drop("copies")
     same = [comparable(df, n).eqNullSafe(F.col(f"g{i}")) for i, n in enumerate(names)]
-    return df.join(F.broadcast(first), same, "left_semi").orderBy(*order, col(row_id)).limit(limit)
+    shown = [col(n).asc_nulls_last() for n in names]
+    return df.join(F.broadcast(first), same, "left_semi").orderBy(*shown, col(row_id)).limit(limit)

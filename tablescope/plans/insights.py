@@ -14,7 +14,7 @@ from ..functions.columns import (
 )
 from ..operators.tallies import counts_by_column, top_values
 from ..operators.timeline import aggregate_by_time, granularity_for, is_plausible, plausible_dates, trend_headline
-from .measures import local_frame
+from .measures import local_frame, together
 from .profile import profile
 from .quality import is_extreme
 from .quantiles import Quantiles
@@ -54,6 +54,8 @@ def outcome_insight(table: Table, name: str) -> DataFrame:
 
     A categorical column has at most fifty values, so the ordered list is short.
     """
+    if table.types[name] != "categorical":
+        raise ValueError(f"'{name}' is not a categorical column")
     order = F.struct((-F.col("count")).alias("rank"), "value", F.col("pct_of_rows").alias("pct"))
     ranked = outcome_breakdown(table, name).agg(F.array_sort(F.collect_list(order)).alias("all")).where(F.size("all") > 0)
     top, positives = F.col("all")[0], F.filter("all", lambda o: contains_any(o["value"], V.POSITIVE_OUTCOME_WORDS))
@@ -336,11 +338,11 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
 def insights(table: Table, as_of: datetime.datetime | None = None) -> DataFrame:
     """All insight sentences in reading order; a column that has one does not get another."""
     outcome = outcome_column(table)
-    trend = trend_insight(table, as_of)
+    trend, money = together(lambda: trend_insight(table, as_of), lambda: financial_insights(table))
     produced = [
         (1, "outcome", None if outcome is None else outcome_insight(table, outcome)),
         (2, "time_trend", trend),
-        (3, "financial", financial_insights(table)),
+        (3, "financial", money),
         (4, "segment", segment_insights(table)),
         (5, "high_cardinality_segment", topn_insights(table)),
     ]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.columns import count_text, fixed_text, grade, half_even, percent
 from .duplicates import count_copies
-from .measures import local_frame
+from .measures import local_frame, together
 from .profile import QUALITY_QUANTILES, Profile, missing_profile, profile
 from .semantic import Table
 
@@ -31,8 +31,9 @@ def missing_summary(found: Profile) -> DataFrame:
     return summary.withColumn("penalty", _capped(F.col("missing_pct"), V.MISSING_PENALTY_RATE, V.MISSING_PENALTY_CAP))
 
 
-def duplicate_summary(df: DataFrame, n_rows: int) -> DataFrame:
-    copies = local_frame(df.sparkSession, [(count_copies(df),)], "n_duplicates bigint")
+def duplicate_summary(df: DataFrame, n_rows: int, n_copies: int | None = None) -> DataFrame:
+    n_copies = count_copies(df) if n_copies is None else n_copies
+    copies = local_frame(df.sparkSession, [(n_copies,)], "n_duplicates bigint")
     shared = copies.withColumn("duplicate_pct", percent(F.col("n_duplicates"), F.lit(n_rows), 2))
     return shared.withColumn("penalty", _capped(F.col("duplicate_pct"), V.DUPLICATE_PENALTY_RATE, V.DUPLICATE_PENALTY_CAP))
 
@@ -63,15 +64,17 @@ def is_extreme() -> Column:
     return (F.col("p99") > 0) & (F.col("maximum") > F.col("p99") * V.EXTREME_FACTOR)
 
 
-def score_parts(table: Table, found: Profile | None = None) -> tuple[Profile, DataFrame]:
+def score_parts(table: Table, given: Profile | None = None) -> tuple[Profile, DataFrame]:
     """The profile used, and one row with every penalty, the score and the grade."""
-    found = found or profile(table.df, table.types, QUALITY_QUANTILES)
+    found, n_copies = together(
+        lambda: given or profile(table.df, table.types, QUALITY_QUANTILES), lambda: count_copies(table.df)
+    )
     numeric = numeric_health(found).agg(
         F.coalesce(F.count_if("is_highly_skewed") * V.SKEW_PENALTY, F.lit(0.0)).alias("skew_penalty"),
         half_even(F.least(F.lit(V.OUTLIER_PENALTY_CAP), F.coalesce(F.sum("outlier_penalty"), F.lit(0.0))), 2).alias("outlier_penalty"),
     )
     missing = missing_summary(found).withColumnRenamed("penalty", "missing_penalty")
-    copies = duplicate_summary(table.df, found.n_rows).withColumnRenamed("penalty", "duplicate_penalty")
+    copies = duplicate_summary(table.df, found.n_rows, n_copies).withColumnRenamed("penalty", "duplicate_penalty")
     penalties = F.col("missing_penalty") + F.col("duplicate_penalty") + F.col("skew_penalty") + F.col("outlier_penalty")
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), half_even(100.0 - penalties, 1)))
     joined = missing.crossJoin(copies).crossJoin(numeric)
@@ -92,8 +95,8 @@ def score_dataset(table: Table) -> DataFrame:
 
 def glance(table: Table) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows."""
-    found = missing_profile(table.df)
-    copies = duplicate_summary(table.df, found.n_rows).select("n_duplicates")
+    found, n_copies = together(lambda: missing_profile(table.df), lambda: count_copies(table.df))
+    copies = duplicate_summary(table.df, found.n_rows, n_copies).select("n_duplicates")
     return missing_summary(found).select("total_missing").crossJoin(copies).select(
         F.lit(found.n_rows).cast("bigint").alias("n_rows"),
         F.lit(len(table.df.columns)).cast("bigint").alias("n_cols"),

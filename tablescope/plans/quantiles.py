@@ -12,20 +12,35 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .measures import SKETCH_SIZE, Measure, gather, rows_where, sized_sketch
+from .measures import Measure, gather, rows_where, sized_sketch
 
 Interval = tuple[float, float]  # both ends included
 EVERYTHING: Interval = (-math.inf, math.inf)
-# A sketch with at most this many values has dropped none of them.
-EXACT_BELOW = SKETCH_SIZE // 2
-# Rank error of a full sketch is about 0.00036 of its values; the margin is wider, the counts decide.
-RANK_MARGIN = 0.0006
 MAX_SCANS = 64
+COLUMNS_AT_ONCE = 96
+
+
+class SketchKind(NamedTuple):
+    """A sketch size and the margin to leave for its rank error (the counts decide, not the margin)."""
+
+    size: int
+    margin: float
+
+    @property
+    def exact_below(self) -> int:
+        """A sketch with at most this many values has dropped none of them."""
+        return self.size // 2
+
+
+# Rank errors are about 0.0013 and 0.00036 of the values.  The first sketch sees every value in every
+# task, so it is the smaller one; later ones only see the values inside an interval.
+OPENING = SketchKind(4096, 0.002)
+NARROWING = SketchKind(16384, 0.0006)
 
 
 @dataclass
@@ -36,18 +51,19 @@ class _Rank:
     index: int
     pair: tuple[int, int]
     inside: int
-    margin: float
+    caution: float = 1.0
     interval: Interval = EVERYTHING
     before: int = 0
     sure: Interval = EVERYTHING
     value: float | None = None
 
-    def sketch_points(self) -> tuple[float, ...]:
+    def sketch_points(self, kind: SketchKind) -> tuple[float, ...]:
         """Positions to read from the interval's sketch: the value itself, or the next interval."""
-        if self.inside <= EXACT_BELOW:
+        if self.inside <= kind.exact_below:
             return ((self.index - self.before + 0.5) / self.inside,)
         low, high = ((index - self.before + 0.5) / self.inside for index in self.pair)
-        return max(low - self.margin, 0.0), min(high + self.margin, 1.0)
+        margin = kind.margin * self.caution
+        return max(low - margin, 0.0), min(high + margin, 1.0)
 
     def take(self, read: tuple[float, ...]) -> None:
         if len(read) == 1:
@@ -64,11 +80,11 @@ class _Rank:
         end = self.before + self.inside
         if self.index < below:
             self.interval, self.inside = (self.sure[0], math.nextafter(low, -math.inf)), below - self.before
-            self.margin *= 2
+            self.caution *= 2
         elif self.index >= below + inside:
             self.interval = (math.nextafter(high, math.inf), self.sure[1])
             self.before, self.inside = below + inside, end - below - inside
-            self.margin *= 2
+            self.caution *= 2
         elif low == high:
             self.value = low
         else:
@@ -85,18 +101,25 @@ class Quantiles:
     def solve(self, df: DataFrame) -> dict[Any, list[float | None]]:
         if not any(ps for _, ps in self.wanted.values()):
             return {key: [] for key in self.wanted}
+        found, keys = {}, list(self.wanted)
+        for start in range(0, len(keys), COLUMNS_AT_ONCE):
+            found.update(Quantiles({k: self.wanted[k] for k in keys[start : start + COLUMNS_AT_ONCE]})._solve(df))
+        return found
+
+    def _solve(self, df: DataFrame) -> dict[Any, list[float | None]]:
         names = {key: f"x{i}" for i, key in enumerate(self.wanted)}
         values = df.select(*[column.cast("double").alias(names[key]) for key, (column, _) in self.wanted.items()])
-        opened = gather(values, {key: sized_sketch(name) for key, name in names.items()})
+        opened = gather(values, {key: sized_sketch(name, OPENING.size) for key, name in names.items()})
         sizes = {key: found.n for key, found in opened.items()}
         ranks = self._ranks(sizes)
         sketches = {(key, EVERYTHING): found.sketch for key, found in opened.items()}
+        kind = OPENING
         for _ in range(MAX_SCANS):
-            _read_sketches(df.sparkSession, ranks, sketches)
+            _read_sketches(df.sparkSession, ranks, sketches, kind)
             pending = [r for r in ranks if r.value is None]
             if not pending:
                 break
-            sketches = _scan(values, names, pending)
+            sketches, kind = _scan(values, names, pending), NARROWING
         else:
             raise RuntimeError("quantile search did not settle")
         found = {(r.key, r.index): r.value for r in ranks}
@@ -108,7 +131,7 @@ class Quantiles:
             for p in ps if sizes[key] else ():
                 pair = _neighbours(sizes[key], p)
                 for index in pair:
-                    ranks.setdefault((key, index), _Rank(key, index, pair, sizes[key], RANK_MARGIN))
+                    ranks.setdefault((key, index), _Rank(key, index, pair, sizes[key]))
         return list(ranks.values())
 
 
@@ -124,7 +147,7 @@ def _scan(values: DataFrame, names: dict[Any, str], ranks: list[_Rank]) -> dict[
         if low == high:
             measures[("inside", *spot)] = rows_where(f"{x} = {_literal(low)}")
         else:
-            measures[("sketch", *spot)] = sized_sketch(x, f"{x} BETWEEN {_literal(low)} AND {_literal(high)}")
+            measures[("sketch", *spot)] = sized_sketch(x, NARROWING.size, f"{x} BETWEEN {_literal(low)} AND {_literal(high)}")
     seen = gather(values, measures)
     for rank in ranks:
         spot = (rank.key, rank.interval)
@@ -137,7 +160,7 @@ def _literal(value: float) -> str:
     return f"double('{value}')" if math.isinf(value) else f"{value!r}D"
 
 
-def _read_sketches(spark: SparkSession, ranks: list[_Rank], sketches: dict[tuple, Any]) -> None:
+def _read_sketches(spark: SparkSession, ranks: list[_Rank], sketches: dict[tuple, Any], kind: SketchKind) -> None:
     """Read values or narrower intervals out of the sketches (a projection over literals)."""
     asked: dict[tuple, list[_Rank]] = {}
     for rank in ranks:
@@ -148,7 +171,7 @@ def _read_sketches(spark: SparkSession, ranks: list[_Rank], sketches: dict[tuple
     answers = spark.range(1).select(
         *[
             F.kll_sketch_get_quantile_double(
-                F.lit(bytes(sketches[spot])), F.array(*[F.lit(p) for rank in wants for p in rank.sketch_points()])
+                F.lit(bytes(sketches[spot])), F.array(*[F.lit(p) for rank in wants for p in rank.sketch_points(kind)])
             ).alias(f"a{i}")
             for i, (spot, wants) in enumerate(asked.items())
         ]
@@ -156,7 +179,7 @@ def _read_sketches(spark: SparkSession, ranks: list[_Rank], sketches: dict[tuple
     for wants, answer in zip(asked.values(), answers.collect()[0]):
         read = iter(answer)
         for rank in wants:
-            rank.take(tuple(next(read) for _ in rank.sketch_points()))
+            rank.take(tuple(next(read) for _ in rank.sketch_points(kind)))
 
 
 def _neighbours(size: int, p: float) -> tuple[int, int]:

@@ -14,7 +14,7 @@ from ..functions.columns import count_text, percent
 from ..operators import cleaning, transforms
 from ..operators.steps import StepCounts, StepResult
 from .duplicates import count_copies
-from .measures import local_frame
+from .measures import local_frame, together
 from .profile import profile
 from .semantic import Table, detect
 
@@ -105,12 +105,14 @@ class Recipe:
         before: dict[int, int] = {}
         cells: dict[int, int] = {}
         start = 0
-        for segment, marks, end in counted:
-            row = segment.agg(F.count(F.lit(1)), *[F.count_if(f"__touched_{i}") for i in marks]).collect()[0]
+        measured = together(
+            *[lambda s=s, m=m: s.agg(F.count(F.lit(1)), *[F.count_if(f"__touched_{i}") for i in m]).collect()[0] for s, m, _ in counted]
+        )
+        for row, (_, marks, end) in zip(measured, counted):
             before.update(dict.fromkeys(range(start, end + 1), row[0]))
             cells.update(zip(marks, row[1:]))
             start = end + 1
-        before[len(results)] = row[0]
+        before[len(results)] = measured[-1][0]
         lines = []
         for i, (step, result) in enumerate(zip(self.steps, results)):
             after = before[i + 1] if result.drops_rows else before[i]
@@ -134,8 +136,8 @@ SUGGESTION_STEPS = {
 def suggestions(table: Table) -> DataFrame:
     """Problems with the step that fixes them: 1 first, 2 next, 3 optional."""
     df = table.df
-    found = profile(df, table.types, ())
-    copies = local_frame(df.sparkSession, [(count_copies(df),)], "n bigint").where("n > 0")
+    found, n_copies = together(lambda: profile(df, table.types, ()), lambda: count_copies(df))
+    copies = local_frame(df.sparkSession, [(n_copies,)], "n bigint").where("n > 0")
     duplicate = copies.select(
         F.lit(1).alias("priority"),
         F.lit(1).alias("section"),

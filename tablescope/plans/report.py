@@ -14,8 +14,8 @@ from ..functions.columns import missing, percent
 from ..operators.tallies import counts_by_column, top_values
 from ..operators.timeline import date_range
 from .insights import financial_summary, money_columns
-from .measures import aggregate, local_frame
-from .profile import QUANTILES, Profile, profile
+from .measures import aggregate, local_frame, together
+from .profile import Profile, profile
 from .quality import findings, score_parts
 from .semantic import Table
 
@@ -23,9 +23,9 @@ LEVEL_MARKS = {"good": "  [OK]     ", "warning": "  [NOTE]   ", "problem": "  [I
 RULE, LINE = "=" * 65, "-" * 40
 
 
-def report_categories(table: Table, names: list[str] | None = None) -> DataFrame:
+def report_categories(table: Table) -> DataFrame:
     """Top three values of up to four categorical columns, and how many more there are."""
-    names = names or table.of_type("categorical")[: V.SEGMENT_COLUMNS]
+    names = table.of_type("categorical")[: V.SEGMENT_COLUMNS]
     counts = counts_by_column(table.df, names, keep_missing=True)
     # A categorical column has at most fifty values, so these windows are short.
     whole = W.partitionBy("ordinal")
@@ -85,21 +85,25 @@ def report(
 ) -> DataFrame:
     """The whole report as ``(line_no, line)``: a few lines per column, made from small frames."""
     as_of = as_of or datetime.datetime.now()
-    found, score = score_parts(table, profile(table.df, table.types, QUANTILES))
+    dates = table.of_type("date_column")
+    (found, score), ends, *sections = together(
+        lambda: score_parts(table),
+        lambda: date_range(table.df, dates[0], as_of).collect()[0] if dates else (None, None),
+        lambda: _money_lines(table),
+        lambda: _category_lines(table),
+        lambda: _segment_lines(table),
+    )
     totals = score.collect()[0]
     lines = [RULE, "  DATA ANALYSIS REPORT", RULE, f"  Dataset   : {name}", f"  Generated : {as_of:%B %d, %Y at %I:%M %p}"]
     lines += [f"  Records   : {totals.n_rows:,}", f"  Columns   : {totals.n_cols}", RULE, ""]
     lines += ["SECTION 1 — DATASET OVERVIEW", LINE, ""]
-    dates = table.of_type("date_column")
-    if dates:
-        first, last = date_range(table.df, dates[0], as_of).collect()[0]
-        if first is not None:
-            lines.append(f"  Date Range     : {first:%B %d, %Y} to {last:%B %d, %Y}")
+    if ends[0] is not None:
+        lines.append(f"  Date Range     : {ends[0]:%B %d, %Y} to {ends[1]:%B %d, %Y}")
     lines += [f"  Total Records  : {totals.n_rows:,}", f"  Total Columns  : {totals.n_cols}", "", "  Column Inventory:"]
     lines += [f"    - {c} ({V.type_label(table.types[c])})" for c in table.df.columns]
     lines += ["", "SECTION 2 — DATA QUALITY", LINE, "", f"  Quality Score  : {totals.score} / 100", f"  Grade          : {totals.grade}", "", "  Findings:"]
     lines += [LEVEL_MARKS[f.level] + f.message for f in findings(table, (found, score)).collect()]
-    lines += ["", "SECTION 3 — KEY FINDINGS", LINE, "", *_money_lines(table), *_category_lines(table), *_segment_lines(table)]
+    lines += ["", "SECTION 3 — KEY FINDINGS", LINE, "", *[line for section in sections for line in section]]
     lines += ["SECTION 4 — CLEANING ACTIONS PERFORMED", LINE, ""]
     lines += [f"  {i:2}. {text}" for i, text in enumerate(actions, 1)] or ["  No cleaning actions were performed on this dataset."]
     lines += ["", RULE, "  For questions about this data, consult your data analyst.", RULE]

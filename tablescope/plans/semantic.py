@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import vocabulary as V
 from ..functions.columns import col, half_even, is_date, is_nested, is_number, is_text, nan_to_null
 from .cardinality import doubtful, exact_distinct, uniqueness_doubtful
-from .measures import Measure, distinct_estimate, gather, local_frame, rows, rows_where
+from .measures import Measure, distinct_estimate, gather, local_frame, rows, rows_where, together
 
 
 @dataclass(frozen=True)
@@ -124,8 +124,9 @@ def type_summary(table: Table) -> DataFrame:
 def column_inventory(table: Table) -> DataFrame:
     """Column, label, exact distinct values (missing excluded) and missing cells."""
     df = table.df
-    distinct = exact_distinct(df, df.columns)
-    seen = gather(df, {n: rows_where(col(n).isNull()) for n in df.columns})
+    distinct, seen = together(
+        lambda: exact_distinct(df, df.columns), lambda: gather(df, {n: rows_where(col(n).isNull()) for n in df.columns})
+    )
     lines = [(i, n, V.type_label(table.types[n]), distinct[n], seen[n]) for i, n in enumerate(df.columns)]
     ddl = "ordinal int, column string, detected_as string, unique_values bigint, missing bigint"
     return local_frame(df.sparkSession, lines, ddl)

@@ -5,8 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablescope.plans import measures, quantiles
-from tablescope.plans.quantiles import exact_quantiles
+from tablescope.plans import quantiles
+from tablescope.plans.quantiles import SketchKind, exact_quantiles
 
 PS = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -31,9 +31,8 @@ def test_empty_and_missing(one):
 @pytest.fixture
 def small_sketches(monkeypatch):
     """Tiny sketches, so that a small table needs many narrowing scans."""
-    monkeypatch.setattr(measures, "SKETCH_SIZE", 200)
-    monkeypatch.setattr(quantiles, "EXACT_BELOW", 50)
-    monkeypatch.setattr(quantiles, "RANK_MARGIN", 0.02)
+    monkeypatch.setattr(quantiles, "OPENING", SketchKind(100, 0.05))
+    monkeypatch.setattr(quantiles, "NARROWING", SketchKind(200, 0.02))
 
 
 @pytest.mark.parametrize("shape", ["unique", "hot value", "two values", "hot ends", "integers"])
@@ -53,7 +52,8 @@ def test_narrowing_is_exact(spark, small_sketches, shape):
 
 def test_missed_proposals_are_noticed(spark, small_sketches, monkeypatch):
     """With a margin far below the sketch error most proposals miss; the counts must catch that."""
-    monkeypatch.setattr(quantiles, "RANK_MARGIN", 1e-6)
+    monkeypatch.setattr(quantiles, "OPENING", SketchKind(100, 1e-6))
+    monkeypatch.setattr(quantiles, "NARROWING", SketchKind(200, 1e-6))
     rng = random.Random(1)
     values = [rng.random() for _ in range(5000)]
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
