@@ -36,6 +36,10 @@ FROM (SELECT o_orderkey,
 SELECT * FROM customer
 UNION ALL SELECT * FROM customer WHERE c_custkey % 10 = 0
 UNION ALL SELECT * FROM customer WHERE c_custkey % 50 = 0""",
+    "numbered_customer": """
+SELECT *, c_custkey * 10 + 1 AS row_id FROM customer
+UNION ALL SELECT *, c_custkey * 10 + 2 FROM customer WHERE c_custkey % 10 = 0
+UNION ALL SELECT *, c_custkey * 10 + 3 FROM customer WHERE c_custkey % 50 = 0""",
     "dirty_lineitem": """
 SELECT l_orderkey, l_linenumber, l_quantity,
  CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_discount END AS l_discount,
@@ -57,7 +61,7 @@ FROM orders""",
 }
 
 SOURCE_OF = {
-    "dirty_orders": "orders", "dirty_money": "orders", "dirty_customer": "customer", "dirty_lineitem": "lineitem",
+    "dirty_orders": "orders", "dirty_money": "orders", "dirty_customer": "customer", "numbered_customer": "customer", "dirty_lineitem": "lineitem",
     "dirty_profile": "orders",
 }
 

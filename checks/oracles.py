@@ -87,9 +87,8 @@ ORACLES["missing_by_column"] = with_dirty(
 ORACLES["plausible_dates"] = """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
  WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderdate <= TIMESTAMP '2001-06-30'"""
 ORACLES["dup_preview"] = with_dirty(
-    "dirty_customer",
-    """, numbered AS (SELECT *, c_custkey * 10 + row_number() OVER (PARTITION BY c_custkey ORDER BY c_custkey) AS row_id FROM dirty_customer),
- marked AS (SELECT *, count(*) OVER (PARTITION BY c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) AS copies FROM numbered)
+    "numbered_customer",
+    """, marked AS (SELECT *, count(*) OVER (PARTITION BY c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) AS copies FROM numbered_customer)
  SELECT * EXCLUDE (copies) FROM marked WHERE copies > 1
  ORDER BY c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, row_id LIMIT 50""",
 )

@@ -112,11 +112,7 @@ def plausible_dates(spark, sf_dir):
 
 @query("dup_preview")
 def dup_preview(spark, sf_dir):
-    read(spark, sf_dir, "dirty_customer").createOrReplaceTempView("dirty_customer")
-    numbered = spark.sql(
-        "SELECT *, c_custkey * 10 + row_number() OVER (PARTITION BY c_custkey ORDER BY c_custkey) AS row_id FROM dirty_customer"
-    )
-    return cleaning.duplicate_preview(numbered, "row_id")
+    return cleaning.duplicate_preview(read(spark, sf_dir, "numbered_customer"), "row_id")
 
 
 def _health(spark, sf_dir, table="dirty_lineitem"):

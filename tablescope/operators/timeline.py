@@ -48,9 +48,9 @@ def aggregate_by_time(df: DataFrame, date: str, value: str, granularity: str, tr
     if granularity == "yearly":
         period = F.year(col(date))
     elif granularity == "monthly":
-        period = F.date_trunc("month", col(date))
+        period = F.trunc(col(date), "month")
     else:
-        period = F.date_trunc("day", col(date)) if truncate else col(date)
+        period = col(date).cast("date") if truncate else col(date)
     if granularity != "yearly":
         period = period.cast("timestamp_ntz")
     return (

@@ -37,10 +37,10 @@ def _date_measures(name: str) -> dict[tuple, Measure]:
     return {("date", name, p): rows_where(parse_date(col(name), p).isNotNull()) for p in V.DATE_FORMATS}
 
 
-def _best_format(seen: dict, name: str) -> tuple[str, int]:
-    """The strict format if half of all rows match it, else the format most rows match."""
+def _best_format(seen: dict, name: str, n_rows: int) -> tuple[str, int]:
+    """The strict format if half of the rows match it, else the format most rows match."""
     counts = {p: seen[("date", name, p)] for p in V.DATE_FORMATS}
-    if counts[V.STRICT_DATE_FORMAT] >= V.STRICT_DATE_SHARE * seen["rows"]:
+    if counts[V.STRICT_DATE_FORMAT] >= V.STRICT_DATE_SHARE * n_rows:
         return V.STRICT_DATE_FORMAT, counts[V.STRICT_DATE_FORMAT]
     best = max((p for p in V.DATE_FORMATS if p != V.STRICT_DATE_FORMAT), key=lambda p: counts[p])
     return best, counts[best]
@@ -54,7 +54,7 @@ def convert_date(df: DataFrame, name: str) -> DataFrame:
 
 
 def _accepted_format(seen: dict, name: str) -> str | None:
-    pattern, count = _best_format(seen, name)
+    pattern, count = _best_format(seen, name, seen["rows"])
     return pattern if seen["rows"] and count >= V.ACCEPT_DATE_SHARE * seen["rows"] else None
 
 
@@ -145,21 +145,37 @@ def _numeric_looking(name: str, dtype: T.DataType) -> Column:
     return col(name).isNotNull()
 
 
-def expected_types(df: DataFrame) -> DataFrame:
-    """The type the values themselves suggest, judged on every non-missing value."""
+def _shape_measures(name: str, dtype: T.DataType) -> dict[tuple, Measure]:
+    """How many values look like numbers, money or dates."""
+    measures: dict[tuple, Measure] = {("shaped", name): rows_where(col(name).isNotNull())}
+    if is_text(dtype) or is_number(dtype):
+        measures[("numeric", name)] = rows_where(_numeric_looking(name, dtype))
+    if is_text(dtype):
+        measures[("currency", name)] = rows_where(col(name).rlike(V.CURRENCY_TEXT_PATTERN))
+        measures.update(_date_measures(name))
+    return measures
+
+
+def expected_types(df: DataFrame, sample_rows: int | None = None, order_by: str | None = None) -> DataFrame:
+    """The type the values themselves suggest.
+
+    Shapes are judged on every non-missing value, or on the first ``sample_rows`` of each column in
+    the order of a key; uniqueness always on all values.
+    """
     df = nan_to_null(df)
     fields = {f.name: f.dataType for f in df.schema.fields}
+    shapes = {name: _shape_measures(name, dtype) for name, dtype in fields.items()}
     measures: dict = {"rows": rows()}
     for name, dtype in fields.items():
         measures[("present", name)] = rows_where(col(name).isNotNull())
         if not is_nested(dtype):
             measures[("distinct", name)] = distinct_estimate(col(name))
-        if is_text(dtype) or is_number(dtype):
-            measures[("numeric", name)] = rows_where(_numeric_looking(name, dtype))
-        if is_text(dtype):
-            measures[("currency", name)] = rows_where(col(name).rlike(V.CURRENCY_TEXT_PATTERN))
-            measures.update(_date_measures(name))
-    seen = gather(df, measures)
+    if sample_rows is None:
+        seen = gather(df, measures | {k: m for shape in shapes.values() for k, m in shape.items()})
+    else:
+        first = {n: df.where(col(n).isNotNull()).orderBy(col(order_by)).limit(sample_rows).select(col(n)) for n in fields}
+        found = together(lambda: gather(df, measures), *[lambda n=n: gather(first[n], {"rows": rows()} | shapes[n]) for n in fields])
+        seen = {k: v for part in found[1:] for k, v in part.items() if k != "rows"} | found[0]
     unsure = []
     for name, dtype in fields.items():
         if not is_nested(dtype):
@@ -176,15 +192,15 @@ def expected_types(df: DataFrame) -> DataFrame:
 
 
 def _expect(seen: dict, name: str, dtype: T.DataType, distinct: int | None) -> str:
-    present = seen[("present", name)]
+    present, shaped = seen[("present", name)], seen[("shaped", name)]
     if not present:
         return "categorical"
-    if seen.get(("numeric", name), 0) / present >= V.EXPECTED_NUMERIC_SHARE:
+    if seen.get(("numeric", name), 0) / shaped >= V.EXPECTED_NUMERIC_SHARE:
         return "metric"
-    if seen.get(("currency", name), 0) / present >= V.EXPECTED_CURRENCY_SHARE:
+    if seen.get(("currency", name), 0) / shaped >= V.EXPECTED_CURRENCY_SHARE:
         return "financial"
-    dates = present if is_date(dtype) else _best_format(seen, name)[1] if is_text(dtype) else 0
-    if dates / present >= V.EXPECTED_DATE_SHARE:
+    dates = shaped if is_date(dtype) else _best_format(seen, name, shaped)[1] if is_text(dtype) else 0
+    if dates / shaped >= V.EXPECTED_DATE_SHARE:
         return "date_column"
     if distinct is not None and distinct / present >= V.EXPECTED_ID_UNIQUENESS:
         return "id_column"

@@ -77,5 +77,21 @@ def test_row_local_steps_run_on_a_stream(spark, tmp_path):
         clean_stream(stream, Recipe().then("remove_duplicates"))
 
 
+def test_every_row_local_step_keeps_a_stream(spark, tmp_path):
+    spark.sql("SELECT 1 n, ' $5 ' s, timestamp_ntz'2020-05-01' t").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("n int, s string, t timestamp_ntz").parquet(str(tmp_path / "in"))
+    recipe = (
+        Recipe().then("fill_missing", name="n", strategy="constant", value=0).then("trim_whitespace", name="s")
+        .then("standardize_case", name="s").then("currency_to_number", name="s").then("extract_date_part", name="t", part="month")
+        .then("rename_column", old="n", new="m").then("drop_column", name="t").then("drop_missing_rows")
+    )
+    cleaned = saving.display_projection(clean_stream(stream, recipe))
+    assert cleaned.isStreaming and cleaned.columns == ["m", "s", "t_month"]
+    query = cleaned.writeStream.format("memory").queryName("steps").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert [tuple(r) for r in spark.table("steps").collect()] == [(1, 5.0, 5)]
+
+
 def test_step_counts():
     assert StepCounts(5, 3, 0).rows_removed == 2

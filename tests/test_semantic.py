@@ -57,6 +57,13 @@ def test_expected_types(spark):
     ]
 
 
+def test_expected_types_from_the_first_rows(spark):
+    rows = [(i, "1" if i < 200 else f"word {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, s string")
+    assert expected_types(df).where("column = 's'").collect()[0].expected == "categorical"
+    assert expected_types(df, sample_rows=200, order_by="k").where("column = 's'").collect()[0].expected == "metric"
+
+
 def test_last_recommendation_wins(spark):
     rows = [(f"{i % 4}", None if i % 2 else "x", "y", None) for i in range(20)]
     df = spark.createDataFrame(rows, "a string, b string, c string, d double")
