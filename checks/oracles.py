@@ -134,7 +134,7 @@ ORACLES["p99_cap"] = with_dirty(
     """, s AS (SELECT quantile_cont(l_extendedprice, 0.99) AS p99, max(l_extendedprice) AS high FROM dirty_lineitem),
  k AS (SELECT count(*) AS present, count(*) FILTER (WHERE NOT (s.p99 > 0 AND s.high > 10 * s.p99) OR l_extendedprice <= s.p99) AS kept
   FROM dirty_lineitem, s WHERE l_extendedprice IS NOT NULL)
- SELECT round(p99, 2) AS p99, round(high, 2) AS max_value, (p99 > 0 AND high > 10 * p99) AS is_extreme, kept, present - kept AS excluded FROM s, k""",
+ SELECT round(p99, 4) AS p99, round(high, 2) AS max_value, (p99 > 0 AND high > 10 * p99) AS is_extreme, kept, present - kept AS excluded FROM s, k""",
 )
 ORACLES["drop_column"] = "SELECT * EXCLUDE (o_totalprice) FROM orders"
 ORACLES["rename_column"] = 'SELECT * RENAME (o_totalprice AS "total price") FROM orders'
@@ -492,7 +492,7 @@ MONEY_STATS = union(
 ORACLES["financial_summary"] = with_dirty(
     "dirty_orders dirty_profile dirty_lineitem",
     f", m AS ({MONEY_STATS}) SELECT * REPLACE ("
-    + ", ".join(f"{rnd(c, 2)} AS {c}" for c in ("total", "median", "mean", "p99", "max_value", "median_positive"))
+    + ", ".join(f"{rnd(c, 2 if c == 'total' else 4)} AS {c}" for c in ("total", "median", "mean", "p99", "max_value", "median_positive"))
     + ") FROM m",
 )
 
@@ -611,7 +611,7 @@ def histogram(source: str, bins: int, digits: int) -> str:
  SELECT bin, {rnd(lower, digits)} AS lower, {rnd(f'{lower} + w', digits)} AS upper, n AS "count" FROM b, e"""
 
 
-ORACLES["histogram_40"] = with_dirty("dirty_orders", histogram("SELECT total_amount AS x FROM dirty_orders WHERE total_amount IS NOT NULL", 40, 4))
+ORACLES["histogram_40"] = with_dirty("dirty_orders", histogram("SELECT total_amount AS x FROM dirty_orders WHERE total_amount IS NOT NULL", 40, 6))
 ORACLES["histogram_log"] = with_dirty(
     "dirty_lineitem", histogram("SELECT log10(l_extendedprice) AS x FROM dirty_lineitem WHERE l_extendedprice > 0", 50, 6)
 )
@@ -726,7 +726,7 @@ ORACLES["date_range"] = clean_orders(f"SELECT min(order_date_text) AS first_date
 ORACLES["report_financial"] = with_dirty(
     "dirty_profile",
     f""", m AS ({money_stats('dirty_profile', [(0, 'sparse_amount'), (1, 'settlement_fee')])})
- SELECT "column", {rnd('total', 2)} AS total, {rnd('median', 2)} AS median, {rnd('mean', 2)} AS mean, n_zero, zero_pct FROM m""",
+ SELECT "column", {rnd('total', 2)} AS total, {rnd('median', 4)} AS median, {rnd('mean', 4)} AS mean, n_zero, zero_pct FROM m""",
 )
 
 

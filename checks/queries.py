@@ -132,7 +132,7 @@ def p99_cap(spark, sf_dir):
     kept = shown.agg(F.count(F.lit(1)).alias("kept"))
     total = df.agg(F.count("l_extendedprice").alias("present"))
     return kept.crossJoin(total).select(
-        F.round(F.lit(limits["p99"]), 2).alias("p99"),
+        F.round(F.lit(limits["p99"]), 4).alias("p99"),
         F.round(F.lit(limits["max"]), 2).alias("max_value"),
         F.lit(limits["is_extreme"]).alias("is_extreme"),
         "kept",
@@ -426,7 +426,7 @@ def financial_summary(spark, sf_dir):
         *[lambda n=n: I.financial_summary(prepared(spark, sf_dir, n)).withColumn("table_name", F.lit(n)) for n in names]
     )
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rounded(whole, 2, "total", "median", "mean", "p99", "max_value", "median_positive")
+    return rounded(rounded(whole, 2, "total"), 4, "median", "mean", "p99", "max_value", "median_positive")
 
 
 @query("outcome_breakdown")
@@ -458,7 +458,7 @@ def bar_shares(spark, sf_dir):
 
 @query("histogram_40")
 def histogram_40(spark, sf_dir):
-    return rounded(charts.histogram(read(spark, sf_dir, "dirty_orders"), "total_amount", 40), 4, "lower", "upper")
+    return rounded(charts.histogram(read(spark, sf_dir, "dirty_orders"), "total_amount", 40), 6, "lower", "upper")
 
 
 @query("histogram_log")
@@ -537,7 +537,7 @@ def date_range(spark, sf_dir):
 @query("report_financial")
 def report_financial(spark, sf_dir):
     found = I.financial_summary(prepared(spark, sf_dir, "dirty_profile")).select("column", "total", "median", "mean", "n_zero", "zero_pct")
-    return rounded(found, 2, "total", "median", "mean")
+    return rounded(rounded(found, 2, "total"), 4, "median", "mean")
 
 
 @query("report_categories")

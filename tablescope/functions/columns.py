@@ -157,11 +157,22 @@ def grade(score: Column) -> Column:
     return ladder.otherwise(V.LOWEST_GRADE)
 
 
+def holds_map(dtype: T.DataType) -> bool:
+    """Whether values of the type cannot be grouped because a map or variant is in them."""
+    if isinstance(dtype, T.ArrayType):
+        return holds_map(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(holds_map(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.MapType, T.VariantType))
+
+
 def comparable(df: DataFrame, name: str) -> Column:
     """A form of the column that can be grouped and hashed the way values compare equal."""
     dtype = df.schema[name].dataType
-    if isinstance(dtype, T.MapType):
+    if isinstance(dtype, T.MapType) and not holds_map(dtype.valueType):
         return F.to_json(F.array_sort(F.map_entries(col(name))))
+    if holds_map(dtype):
+        return F.to_json(col(name))
     if is_float(dtype):
         return F.when(F.isnan(col(name)), None).otherwise(F.when(col(name) == 0, F.lit(0.0)).otherwise(col(name))).cast(dtype)
     return col(name)

@@ -125,14 +125,16 @@ def drop_missing_rows(df: DataFrame, name: str | None = None) -> StepResult:
     if name is not None and name not in df.columns:
         return not_found(df, name)
     scope = "in any column" if name is None else f"in '{name}'"
-    subset = None if name is None else [name]
 
     def sentence(c):
         if not c.rows_removed:
             return f"No rows with missing values found {scope}."
         return f"Removed {c.rows_removed:,} row(s) with missing values {scope}. Dataset now has {c.rows_after:,} rows."
 
-    return StepResult(df, lambda d: d.na.drop("any", subset=subset), sentence, drops_rows=True)
+    def transform(d: DataFrame) -> DataFrame:
+        return d.na.drop("any") if name is None else d.where(~missing(d, name))
+
+    return StepResult(df, transform, sentence, drops_rows=True)
 
 
 def _text_step(df: DataFrame, name: str, make, sentence: str) -> StepResult:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, comparable
+from ..functions.columns import col, comparable, holds_map
 from ..session import scratch_path
 
 # Repeated digests are broadcast up to this many (8 bytes each, counted before the join); beyond it
@@ -83,7 +83,7 @@ def _grouped(df: DataFrame, names: Sequence[str], row_id: str | None) -> DataFra
     """Group by the comparable form of all columns; equal rows collapse before the shuffle."""
     kept = [F.first(col(n)).alias(n) for n in names]
     kept += [F.min(col(row_id)).alias(row_id)] if row_id else []
-    if row_id is None and not any(df.schema[n].dataType.typeName() == "map" for n in names):
+    if row_id is None and not any(holds_map(df.schema[n].dataType) for n in names):
         return df.dropDuplicates()
     keyed = df.withColumns({f"__g{i}": comparable(df, n) for i, n in enumerate(names)})
     return keyed.groupBy(*[f"__g{i}" for i in range(len(names))]).agg(*kept).select(*[col(n) for n in df.columns])

@@ -32,6 +32,11 @@ def test_copies_of_nested_rows(spark):
     assert row_groups(df, df.columns).count() == 1
 
 
+def test_copies_of_maps_inside_structs(spark):
+    df = spark.sql("SELECT named_struct('m', map('a', 1)) s, 1 i UNION ALL SELECT named_struct('m', map('a', 1)), 1 UNION ALL SELECT NULL, 1")
+    assert count_copies(df) == 1
+
+
 def test_preview_orders_copies_and_needs_no_group_whole(spark):
     rows = [(i, "hot", 1) for i in range(500)] + [(1000 + i, f"v{i // 2}", 0) for i in range(10)] + [(2000, "single", 0)]
     df = spark.createDataFrame(rows, "row_id long, s string, n int")
