@@ -251,32 +251,29 @@ def duplicate_summary(table: str) -> str:
 ORACLES["quality_missing"] = with_dirty("dirty_orders", missing_summary("dirty_orders", DIRTY_ORDER_COLUMNS) + " SELECT * FROM missing")
 ORACLES["quality_duplicates"] = with_dirty("dirty_customer", duplicate_summary("dirty_customer") + " SELECT * EXCLUDE (n) FROM copies")
 LINE_COLUMNS = "l_orderkey l_linenumber l_quantity l_discount l_extendedprice l_returnflag l_shipdate".split()
-SCORED = (
-    LINE_STATS
-    + missing_summary("dirty_lineitem", LINE_COLUMNS)
-    + duplicate_summary("dirty_lineitem")
-    + f""", health AS (SELECT {HEALTH} FROM stats WHERE present > 0),
+
+
+def scored(table: str, numeric: list[tuple[int, str]], columns: list[str]) -> str:
+    """CTE texts from column statistics to ``graded`` (one row)."""
+    return (
+        f", stats AS ({numbers(table, numeric)})"
+        + missing_summary(table, columns)
+        + duplicate_summary(table)
+        + f""", health AS (SELECT {HEALTH} FROM stats WHERE present > 0),
  points AS (SELECT coalesce(count(*) FILTER (WHERE is_highly_skewed) * 5, 0)::DOUBLE AS skew_penalty,
   {even('least(10::DOUBLE, coalesce(sum(outlier_penalty), 0))', 2)} AS outlier_penalty FROM health),
- scored AS (SELECT copies.n AS n_rows, 7::BIGINT AS n_cols, missing.penalty AS missing_penalty, copies.penalty AS duplicate_penalty, skew_penalty, outlier_penalty,
+ scored AS (SELECT copies.n AS n_rows, {len(columns)}::BIGINT AS n_cols, missing.penalty AS missing_penalty, copies.penalty AS duplicate_penalty, skew_penalty, outlier_penalty,
   greatest(0::DOUBLE, least(100::DOUBLE, {even('100 - (missing.penalty + copies.penalty + skew_penalty + outlier_penalty)', 1)})) AS score
-  FROM missing, copies, points)"""
-)
-ORACLES["quality_score"] = with_dirty(
-    "dirty_lineitem",
-    SCORED + " SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair' ELSE 'Needs Work' END AS grade FROM scored",
-)
+  FROM missing, copies, points),
+ graded AS (SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair' ELSE 'Needs Work' END AS grade FROM scored)"""
+    )
 
 
 def level(share: str) -> str:
     return f"CASE WHEN {share} < 5 THEN 'warning' ELSE 'problem' END"
 
 
-ORACLES["quality_findings"] = with_dirty(
-    "dirty_lineitem",
-    SCORED
-    + f"""
- SELECT 1::INT AS section, 0::INT AS ordinal, CASE WHEN total_missing = 0 THEN 'good' ELSE {level('missing_pct')} END AS level,
+FINDINGS = f"""SELECT 1::INT AS section, 0::INT AS ordinal, CASE WHEN total_missing = 0 THEN 'good' ELSE {level('missing_pct')} END AS level,
   CASE WHEN total_missing = 0 THEN 'No missing values — your data is complete.' ELSE concat(format('{{:,}}', total_missing), ' missing values found across ',
    cols_affected, ' column(s). The most affected column is ''', worst_col, ''' (', worst_col_pct, '% empty). Fill or remove them before analysis.') END AS message FROM missing
  UNION ALL SELECT 2, 0, CASE WHEN n_duplicates = 0 THEN 'good' ELSE {level('duplicate_pct')} END,
@@ -287,8 +284,10 @@ ORACLES["quality_findings"] = with_dirty(
  UNION ALL SELECT 4, ordinal, 'warning', concat('''', "column", ''' contains extreme values — the largest value (', format('{{:,.0f}}', {even('max_value', 0)}),
    ') is far above the typical range.') FROM health WHERE is_extreme
  UNION ALL SELECT 5, ordinal, 'warning', concat('''', "column", ''' has ', outlier_pct, '% of values outside the normal range (', format('{{:,}}', outlier_count),
-   ' values). These may be legitimate but are worth reviewing.') FROM health WHERE has_many_outliers AND NOT is_extreme""",
-)
+   ' values). These may be legitimate but are worth reviewing.') FROM health WHERE has_many_outliers AND NOT is_extreme"""
+LINE_SCORED = scored("dirty_lineitem", LINE_NUMBERS, LINE_COLUMNS)
+ORACLES["quality_score"] = with_dirty("dirty_lineitem", LINE_SCORED + " SELECT * FROM graded")
+ORACLES["quality_findings"] = with_dirty("dirty_lineitem", LINE_SCORED + " " + FINDINGS)
 ORACLES["column_health"] = with_dirty(
     "dirty_lineitem",
     LINE_STATS
@@ -757,3 +756,53 @@ ORACLES["glance"] = with_dirty(
     + duplicate_summary("dirty_customer")
     + " SELECT copies.n AS n_rows, 5::BIGINT AS n_cols, total_missing, n_duplicates FROM missing, copies",
 )
+
+
+def report_lines() -> str:
+    """The report of dirty_orders as (line_no, line)."""
+    rule, dash = "=" * 65, "-" * 40
+    parts: list[str] = []
+
+    def add(*lines: str) -> None:
+        for line in lines:
+            parts.append(f"SELECT {len(parts)} AS a, 0 AS b, 0 AS c, {line} AS line")
+
+    def text(*lines: str) -> None:
+        add(*[f"'{line}'" for line in lines])
+
+    text(rule, "  DATA ANALYSIS REPORT", rule, "  Dataset   : orders", "  Generated : December 31, 2024 at 12:00 AM")
+    add("concat('  Records   : ', (SELECT format('{:,}', n_rows) FROM graded))")
+    text("  Columns   : 8", rule, "", "SECTION 1 — DATASET OVERVIEW", dash, "")
+    add(f"concat('  Date Range     : ', (SELECT concat(strftime(min(order_date_text), '%B %d, %Y'), ' to ', strftime(max(order_date_text), '%B %d, %Y')) FROM clean WHERE {PLAUSIBLE}))")
+    add("concat('  Total Records  : ', (SELECT format('{:,}', n_rows) FROM graded))")
+    text("  Total Columns  : 8", "", "  Column Inventory:")
+    text(*[f"    - {c} ({V.type_label(kind)})" for c, kind in ORDER_TYPES])
+    text("", "SECTION 2 — DATA QUALITY", dash, "")
+    add("concat('  Quality Score  : ', (SELECT score FROM graded), ' / 100')", "concat('  Grade          : ', (SELECT grade FROM graded))")
+    text("", "  Findings:")
+    mark = "CASE level WHEN 'good' THEN '  [OK]     ' WHEN 'warning' THEN '  [NOTE]   ' ELSE '  [ISSUE]  ' END"
+    parts.append(f"SELECT {len(parts)}, section, ordinal, concat({mark}, message) FROM findings")
+    text("", "SECTION 3 — KEY FINDINGS", dash, "", "  Financial Columns:")
+    block = [
+        "concat('    ', \"column\", ':')", "concat('      Total   : $', lpad(format('{:,.2f}', total), greatest(15, length(format('{:,.2f}', total)))::INT, ' '))", "concat('      Median  : $', lpad(format('{:,.2f}', median), greatest(15, length(format('{:,.2f}', median)))::INT, ' '))",
+        "concat('      Average : $', lpad(format('{:,.2f}', mean), greatest(15, length(format('{:,.2f}', mean)))::INT, ' '))", "concat('      Zero $  : ', format('{:,}', n_zero), ' records (', zero_pct, '%)')", "''",
+    ]
+    place = len(parts)
+    parts += [f"SELECT {place}, ordinal, {i}, {line} FROM money" for i, line in enumerate(block)]
+    text("  Category Breakdowns:")
+    place = len(parts)
+    parts.append(f"SELECT {place}, ordinal, 0, concat('    ', \"column\", ' (', k, ' categories):') FROM cats WHERE place = 1")
+    parts.append(f"SELECT {place}, ordinal, place, concat('      ', rpad(value, greatest(35, length(value))::INT, ' '), ' ', lpad(format('{{:,}}', \"count\"), greatest(7, length(format('{{:,}}', \"count\")))::INT, ' '), '  (', pct_of_rows, '%)') FROM cats")
+    parts.append(f"SELECT {place}, ordinal, 4, concat('      ... and ', k - 3, ' more categories') FROM cats WHERE place = 1 AND k > 3")
+    parts.append(f"SELECT {place}, ordinal, 5, '' FROM cats WHERE place = 1")
+    text("SECTION 4 — CLEANING ACTIONS PERFORMED", dash, "", "   1. Trimmed text.", "", rule, "  For questions about this data, consult your data analyst.", rule)
+    return union(parts)
+
+
+ORDER_NUMBERS = [(0, "o_orderkey"), (1, "o_custkey"), (2, "total_amount"), (3, "payout_value")]
+ORACLES["report"] = clean_orders(
+    scored("clean", ORDER_NUMBERS, DIRTY_ORDER_COLUMNS)
+    + f""", findings AS ({FINDINGS}), money AS ({money_stats('clean', [(0, 'total_amount'), (1, 'payout_value')])}),
+ cats AS ({union([top_rows('clean', 0, 'priority_label', 3), top_rows('clean', 1, 'order_status', 3)])}), lines AS ({report_lines()})
+ SELECT (row_number() OVER (ORDER BY a, b, c))::INT AS line_no, line FROM lines"""
+)

@@ -152,6 +152,7 @@ SUGGEST_URGENT_PCT = 5.0
 REPORT_TOP_CATEGORIES = 3
 REPORT_TOP_SEGMENTS = 5
 PROFILE_NUMERIC_COLUMNS = 8
+CONTEXT_FINDINGS = 6
 
 
 def has_keyword(name: str, keywords: tuple[str, ...]) -> bool:

@@ -1,8 +1,8 @@
 """Exact interpolated quantiles without sorting, shuffling or collecting a column.
 
 ``percentile`` keeps every distinct value of a column in one task.  Here each scan only carries counts
-and sketches: a sketch of the column proposes an interval around the wanted rank, the next scan counts
-the values below and inside it (so the proposal is checked, never trusted) and sketches the values
+and sketches: a sketch of the column proposes an interval around the wanted rank, the next scan counts the
+values below and inside it (so the proposal is checked, never trusted) and sketches the values
 inside.  A sketch that still holds all its values answers exactly; an interval that is too full is
 narrowed again, several hundred times per scan.
 """
@@ -66,16 +66,18 @@ class _Rank:
         return max(low - margin, 0.0), min(high + margin, 1.0)
 
     def take(self, read: tuple[float, ...]) -> None:
+        """Use what the sketch of the interval said; its ends are known not to be the value."""
         if len(read) == 1:
             self.value = read[0]
-        elif read == self.interval:
-            # Both ends repeat so often that the interval cannot shrink: test its lower end alone.
-            self.interval = (read[0], read[0])
-        else:
-            self.interval = read
+            return
+        low, high = self.interval
+        self.interval = (
+            math.nextafter(low, math.inf) if read[0] == low else read[0],
+            math.nextafter(high, -math.inf) if read[1] == high else read[1],
+        )
 
-    def settle(self, below: int, inside: int) -> None:
-        """Take in the counts below and inside the proposed interval."""
+    def settle(self, below: int, inside: int, at_low: int, at_high: int) -> None:
+        """Take in the counts below, inside and at the ends of the proposed interval."""
         low, high = self.interval
         end = self.before + self.inside
         if self.index < below:
@@ -85,8 +87,10 @@ class _Rank:
             self.interval = (math.nextafter(high, math.inf), self.sure[1])
             self.before, self.inside = below + inside, end - below - inside
             self.caution *= 2
-        elif low == high:
+        elif self.index < below + at_low:
             self.value = low
+        elif self.index >= below + inside - at_high:
+            self.value = high
         else:
             self.before, self.inside = below, inside
         self.sure = self.interval
@@ -136,7 +140,7 @@ class Quantiles:
 
 
 def _scan(values: DataFrame, names: dict[Any, str], ranks: list[_Rank]) -> dict[tuple, Any]:
-    """Count below and in every distinct interval, in one scan, with a sketch of its values.
+    """Count below, in and at the ends of every distinct interval, in one scan, and sketch its values.
 
     An interval of a single value needs no sketch.
     """
@@ -144,15 +148,15 @@ def _scan(values: DataFrame, names: dict[Any, str], ranks: list[_Rank]) -> dict[
     for key, (low, high) in {(r.key, r.interval): None for r in ranks}:
         x, spot = names[key], (key, (low, high))
         measures[("below", *spot)] = rows_where(f"{x} < {_literal(low)}")
-        if low == high:
-            measures[("inside", *spot)] = rows_where(f"{x} = {_literal(low)}")
-        else:
+        measures[("at_low", *spot)] = rows_where(f"{x} = {_literal(low)}")
+        if low < high:
+            measures[("at_high", *spot)] = rows_where(f"{x} = {_literal(high)}")
             measures[("sketch", *spot)] = sized_sketch(x, NARROWING.size, f"{x} BETWEEN {_literal(low)} AND {_literal(high)}")
     seen = gather(values, measures)
     for rank in ranks:
         spot = (rank.key, rank.interval)
-        sketch = seen.get(("sketch", *spot))
-        rank.settle(seen[("below", *spot)], seen[("inside", *spot)] if sketch is None else sketch.n)
+        at_low, at_high, sketch = (seen.get((part, *spot)) for part in ("at_low", "at_high", "sketch"))
+        rank.settle(seen[("below", *spot)], at_low if sketch is None else sketch.n, at_low, at_high or 0)
     return {key[1:]: found.sketch for key, found in seen.items() if key[0] == "sketch"}
 
 

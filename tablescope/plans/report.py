@@ -15,7 +15,7 @@ from ..operators.tallies import counts_by_column, top_values
 from ..operators.timeline import date_range
 from .insights import financial_summary, money_columns
 from .measures import aggregate, local_frame, together
-from .profile import Profile, profile
+from .profile import QUANTILES, Profile, profile
 from .quality import findings, score_parts
 from .semantic import Table
 
@@ -69,6 +69,28 @@ def table_profile(table: Table, found: Profile | None = None) -> DataFrame:
     )
 
 
+def table_context(table: Table, name: str = "Dataset") -> DataFrame:
+    """The table in a few lines of metadata, without any row of it: ``(line_no, line)``."""
+    spread = profile(table.df, table.types, QUANTILES)
+    found, score = score_parts(table, spread)
+    row = score.collect()[0]
+    lines = [f"Dataset name   : {name}", f"Rows           : {row.n_rows:,}", f"Columns        : {row.n_cols}"]
+    lines += [f"Quality score  : {row.score} / 100 ({row.grade})", "Column inventory:"]
+    groups = {
+        "Date columns": ("date_column",), "Numeric columns": ("metric", "financial"), "Category columns": ("categorical",),
+        "Identifier columns": ("id_column",), "Text/high-card cols": ("text", "high_cardinality"),
+    }
+    lines += [f"  - {label:19}: {', '.join(table.of_type(*types)) or 'None'}" for label, types in groups.items()]
+    columns = table_profile(table, found).orderBy("ordinal").collect()
+    absent = [f"{c.column} ({c.missing_pct}% missing)" for c in columns if c.missing_pct > 0]
+    lines += [f"Missing values : {', '.join(absent) or 'No missing values.'}", "Numeric column statistics:"]
+    lines += [
+        f"  - {c.column}: min={c.minimum:.2f}, max={c.maximum:.2f}, mean={c.mean:.2f}, median={c.median:.2f}" for c in columns if c.median is not None
+    ]
+    lines += ["Quality findings:", *[f"  - {f.message}" for f in findings(table, (found, score)).limit(V.CONTEXT_FINDINGS).collect()]]
+    return local_frame(table.df.sparkSession, list(enumerate(lines, 1)), "line_no int, line string")
+
+
 def table_delta(original: DataFrame, current: DataFrame) -> DataFrame:
     """Rows removed, columns and missing cells of the current table against the original."""
     cells = sum((F.when(missing(current, n), 1).otherwise(0) for n in current.columns), F.lit(0))

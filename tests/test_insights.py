@@ -139,6 +139,14 @@ def test_p99_cap(one):
     assert not limits["is_extreme"] and shown.count() == 2
 
 
+def test_context_is_metadata_only(spark):
+    df = spark.createDataFrame([(day(2020), "secret", 10.0), (day(2021), "secret", 30.0), (day(2022), None, None)], "created timestamp_ntz, status string, price double")
+    lines = [r.line for r in report.table_context(detect(df), "sample").orderBy("line_no").collect()]
+    assert "Rows           : 3" in lines and "  - price: min=10.00, max=30.00, mean=20.00, median=20.00" in lines
+    assert "Missing values : status (33.3% missing), price (33.3% missing)" in lines
+    assert not any("secret" in line for line in lines)
+
+
 def test_report_reads_in_order(spark):
     df = spark.createDataFrame([(day(2020), "Open", 10.0), (day(2021), "Shut", 30.0), (day(2022), "Open", None)], "created timestamp_ntz, status string, price double")
     lines = [r.line for r in report.report(detect(df), ["Did one thing."], "sample", NOW).orderBy("line_no").collect()]
