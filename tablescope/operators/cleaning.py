@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    col, currency_number, is_date, is_float, is_nested, is_number, is_text, missing, nan_to_null, strip_text,
+    col, currency_number, is_date, is_float, is_number, is_text, missing, nan_to_null, strip_text,
     title_text,
 )
 from ..plans.duplicates import distinct_rows, preview_copies
@@ -143,7 +143,7 @@ def _text_step(df: DataFrame, name: str, make, sentence: str) -> StepResult:
     if not is_text(df.schema[name].dataType):
         return unchanged(df, f"'{name}' is not a text column — nothing was changed.")
     new = make(col(name))
-    return StepResult(df, lambda d: d.withColumn(name, new), lambda _: sentence, touched=~new.eqNullSafe(col(name)))
+    return StepResult(df, lambda d: d.withColumn(name, new), lambda _: sentence, touched=~new.cast("string").eqNullSafe(col(name)))
 
 
 def trim_whitespace(df: DataFrame, name: str) -> StepResult:

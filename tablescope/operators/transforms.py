@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
 from ..functions.columns import col, is_date, is_number, nan_to_null, unbiased_skew

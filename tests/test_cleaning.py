@@ -90,6 +90,28 @@ def test_text_steps_keep_missing(one):
     assert values(cleaning.standardize_case(df, "x", "upper").df) == [" A ", None]
 
 
+def test_currency_step(one):
+    step = cleaning.currency_to_number(one(["$1,000", "unknown", None], "string"), "x")
+    assert values(step.df) == [1000.0, None, None]
+    assert step.changed and step.message == "Converted 'x' from currency/text to numeric."
+    audit = Recipe().then("currency_to_number", name="x").audit(step.source).collect()[0]
+    assert (audit.rows_before, audit.rows_after, audit.cells_changed) == (3, 3, 2)
+
+
+def test_every_step_tells_what_it_did(spark):
+    df = spark.createDataFrame([(1, 2.5, "a b", datetime.datetime(2020, 5, 1)), (None, None, None, None)], "n int, x double, s string, t timestamp_ntz")
+    steps = (
+        Recipe().then("standard_scale", name="x").then("minmax_scale", name="n").then("log_transform", name="x").then("one_hot_encode", name="s")
+        .then("extract_date_part", name="t", part="year").then("rename_column", old="n", new="m").then("fill_missing", name="m", strategy="mean")
+        .then("fill_missing", name="x", strategy="median").then("drop_column", name="t").then("drop_missing_rows")
+    )
+    audit = steps.audit(df).orderBy("step").collect()
+    assert len(audit) == 10 and all(r.message for r in audit) and [r.cells_changed for r in audit][6:8] == [1, 1]
+    assert audit[-1].rows_after == 1 and audit[-1].message.startswith("Removed 1 row(s)")
+    assert steps.run(df).columns == ["m", "x", "x_scaled", "n_minmax", "x_log", "s_a b", "t_year"]
+    assert all(r.message for r in steps.bind(df))
+
+
 def test_log_and_scaling(one):
     df = one([0.0, 500.0, 1000.0], "double")
     assert values(transforms.minmax_scale(df, "x").df.select("x_minmax")) == [0.0, 0.5, 1.0]
