@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import line_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,9 @@ FROM marked GROUP BY doc_id
 def op7_line_dedup(spark, sf_dir):
     done = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"), min_docs=3, min_chars=20)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark, sf_dir):
+    done = quality_rules.judged(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
