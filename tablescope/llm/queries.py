@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import decontamination, line_dedup, mixing, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,14 @@ def op7_line_dedup(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     done = quality_rules.judged(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query("op4_benchmark_decontamination")
+def op4_benchmark_decontamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontamination.contaminated(docs, items)
+
+
+@query("op5_source_mixing")
+def op5_source_mixing(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents", "doc_id", "text", "source"), max_repeats=4.0, block_tokens=1_000_000)
