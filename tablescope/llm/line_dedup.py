@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, texts
+from .common import BLANKS, stored, texts
 
 _BLANKS = BLANKS.encode()
 
@@ -72,6 +72,7 @@ def drop_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",
     kind = docs.schema[id].dataType.simpleString()
     lines = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_keys(min_chars), f"h1 bigint, h2 bigint, id {kind}")
     shared = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    shared = stored(shared, "shared-lines")  # a side of its own, so that a very common line's rows can be split over tasks
     drops = (
         lines.join(shared, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
