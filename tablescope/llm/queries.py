@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_rules
+from . import decontamination, line_dedup, mixing, passage_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +63,9 @@ def op4_benchmark_decontamination(spark, sf_dir):
 @query("op5_source_mixing")
 def op5_source_mixing(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents", "doc_id", "text", "source"), max_repeats=4.0, block_tokens=1_000_000)
+
+
+@query("op8_passage_dedup")
+def op8_passage_dedup(spark, sf_dir):
+    done = passage_dedup.remove_repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"), window=20)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
