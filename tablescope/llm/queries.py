@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, passage_dedup, quality_rules
+from . import decontamination, jaccard_join, line_dedup, mixing, passage_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +69,8 @@ def op5_source_mixing(spark, sf_dir):
 def op8_passage_dedup(spark, sf_dir):
     done = passage_dedup.remove_repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"), window=20)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), length=3, percent=90)
