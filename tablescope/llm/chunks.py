@@ -19,6 +19,7 @@ from ..session import scratch_path
 from .common import total_bytes
 
 CHUNK_BYTES = 6_000_000  # text of a chunk
+TASK_BYTES = 12_000_000  # text of the chunks that one task goes through
 BUCKET_KEYS = 1_000_000  # keys that a bucket sees, on average
 NO_ID = -(2**63)  # stands for a null id, before all others
 MESSAGE = "chunk int, bucket int, keys binary, extra binary"
@@ -33,8 +34,9 @@ class Chunks:
         name = f"chunks_{uuid.uuid4().hex}"
         narrow = docs.select(F.pmod(F.xxhash64(F.col(id)), F.lit(self.n)).cast("int").alias("chunk"), F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
         # chunks fall into the table's buckets by their hash, as they do in the shuffle: one task writes a bucket
-        writer = narrow.repartition(self.n, "chunk").write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "chunks"))
-        writer.bucketBy(self.n, "chunk").saveAsTable(name)
+        tasks = min(self.n, max(1, math.ceil(size / TASK_BYTES)))
+        writer = narrow.repartition(tasks, "chunk").write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "chunks"))
+        writer.bucketBy(tasks, "chunk").saveAsTable(name)
         self.table = spark.table(name)
 
     def bits(self, keys_per_byte: float) -> int:
@@ -81,9 +83,9 @@ def as_table(rows: list[tuple], schema: str):
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def answered(messages: DataFrame, judge, *, short: bool = False, extra: str | None = None) -> DataFrame:
+def answered(messages: DataFrame, judge, *, short: bool = False, extra: str | None = None, kind: str = "u1") -> DataFrame:
     """``judge(keys, extra, order, starts)`` gets all entries of a bucket, the order that sorts them by key and the starts
-    of equal keys in it; it returns one byte per entry of that order."""
+    of equal keys in it; it returns one number of ``kind`` per entry of that order."""
 
     def run(table):
         import numpy as np
@@ -95,7 +97,7 @@ def answered(messages: DataFrame, judge, *, short: bool = False, extra: str | No
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        said = np.empty(len(keys), np.uint8)
+        said = np.empty(len(keys), kind)
         said[order] = judge(keys, more, order, starts)
         ends = np.cumsum([len(p) for p in parts]).tolist()
         return as_table([(c, b, said[e - len(p) : e].tobytes()) for c, b, p, e in zip(chunks, buckets, parts, ends)], ANSWER)
@@ -119,12 +121,12 @@ def earlier_elsewhere(keys, extra, order, starts):
     return (extra[order] > np.repeat(low, np.diff(starts, append=len(order)))).astype(np.uint8)
 
 
-def said(answers, first: int = 0):
+def said(answers, first: int = 0, kind: str = "u1"):
     """A chunk's answers, in the order of its sorted keys; those of buckets from ``first`` on."""
     import numpy as np
 
     rows = sorted((b, x) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist()) if b >= first)
-    return np.frombuffer(b"".join(x for _, x in rows), np.uint8)
+    return np.frombuffer(b"".join(x for _, x in rows), kind)
 
 
 def mixed(x):

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, line_dedup, mixing, passage_dedup, quality_rules
+from . import decontamination, jaccard_join, line_dedup, mixing, passage_dedup, quality_rules, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +77,12 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), length=3, percent=90)
 
 
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf_dir):
+    done = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), span=100)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
