@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, line_dedup, mixing, passage_dedup, quality_rules, suffix_dedup
+from . import decontamination, html_text, jaccard_join, line_dedup, mixing, passage_dedup, quality_rules, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +77,27 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), length=3, percent=90)
 
 
+@query("op1_warc", """
+WITH heads AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+keepers AS (SELECT d, n, max(page_id) AS keeper FROM heads WHERE n >= 1000 GROUP BY d, n)
+SELECT h.page_id, h.n AS payload_bytes, h.d AS payload_digest,
+  CASE WHEN k.keeper <> h.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN k.keeper <> h.page_id THEN k.keeper END AS refers_to
+FROM heads h LEFT JOIN keepers k ON h.d = k.d AND h.n = k.n
+""")
+def op1_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    folder, captures, parts = warc.written(pages)
+    return warc.fetched(folder, parts, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_html_extraction")
+def op2_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    done = pages.withColumn("text", html_text.extracted(F.col("html"))).drop("html")
+    return done.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark, sf_dir):
     done = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), span=100)
