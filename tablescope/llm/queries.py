@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard_join, line_dedup, mixing, passage_dedup, quality_rules, suffix_dedup, warc
+from . import decontamination, html_text, jaccard_join, line_dedup, lm_scoring, mixing, passage_dedup, quality_rules, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +98,11 @@ def op2_html_extraction(spark, sf_dir):
     return done.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark, sf_dir):
+    return lm_scoring.scored(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark, sf_dir):
     done = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), span=100)
