@@ -31,6 +31,16 @@ def stored(df: DataFrame, name: str, *, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def total_bytes(docs: DataFrame, text: str) -> tuple[int, int]:
     """Rows and text bytes, by one scan; they set how many pieces the work is cut into, never what is kept."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()

@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, stored, texts
+from .common import BLANKS, stored, texts, unused
 
 _BLANKS = BLANKS.encode()
 
@@ -70,16 +70,17 @@ def _kept(min_chars: int):
 def drop_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", *, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` with shortened ``text`` and ``n_lines`` (before), ``n_dropped``; columns of these names are replaced."""
     kind = docs.schema[id].dataType.simpleString()
+    key, gone, kept = unused(docs, "dropped_id", "dropped_keys", "kept_lines")
     lines = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_keys(min_chars), f"h1 bigint, h2 bigint, id {kind}")
     shared = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     shared = stored(shared, "shared-lines")  # a side of its own, so that a very common line's rows can be split over tasks
     drops = (
         lines.join(shared, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("id").alias("__id"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
+        .groupBy(F.col("id").alias(key))
+        .agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
     )
-    done = docs.join(drops, docs[id].eqNullSafe(drops["__id"]), "left").withColumn("__kept", _kept(min_chars)(F.col(text).cast("string"), "__drops"))
+    done = docs.join(drops, docs[id].eqNullSafe(drops[key]), "left").withColumn(kept, _kept(min_chars)(F.col(text).cast("string"), gone))
     return done.withColumns({
-        text: F.col("__kept.text").cast("string"), "n_lines": F.col("__kept.n_lines"), "n_dropped": F.col("__kept.n_dropped"),
-    }).drop("__id", "__drops", "__kept")
+        text: F.col(kept)["text"].cast("string"), "n_lines": F.col(kept)["n_lines"], "n_dropped": F.col(kept)["n_dropped"],
+    }).drop(key, gone, kept)

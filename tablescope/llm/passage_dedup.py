@@ -49,17 +49,19 @@ def _occurrences(words: C.Coded, places, length: int):
     found = np.zeros(len(words.codes) + 1, np.int64)
     for at in range(0, len(places), SHARD):
         phrases = words.codes[places[at : at + SHARD, None] + np.arange(length)]
-        letters = np.unique(phrases)  # at most SHARD * length: fewer than there are characters
-        letter = np.full(len(words.hashes), 16, np.uint32)
-        coded = np.arange(17, 17 + len(letters), dtype=np.uint32)
-        letter[letters] = coded + (coded >= 0xD800) * np.uint32(0x800)
-        as_text = lambda codes: letter[codes].astype("<u4").tobytes().decode("utf-32-le")
+        letters = np.unique(phrases)
+        # a word is three characters, each from a set of its own: nodes of the automaton keep their children in a list
+        base = max(2, int(np.ceil(len(letters) ** (1 / 3))))
+        spelling = np.ones((len(words.hashes), 3), "<u4")
+        rank = np.arange(len(letters))
+        spelling[letters] = np.stack([2 + rank // base**2, 2 + base + rank // base % base, 2 + 2 * base + rank % base], axis=1)
+        as_text = lambda codes: spelling[codes].tobytes().decode("utf-32-le")
         spelled = as_text(phrases.ravel())
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for i in range(0, len(spelled), length):
-            automaton.add_word(spelled[i : i + length])
+        for i in range(0, len(spelled), 3 * length):
+            automaton.add_word(spelled[i : i + 3 * length])
         automaton.make_automaton()
-        ends = np.fromiter((end for end, _ in automaton.iter(as_text(words.codes))), np.int64)
+        ends = np.fromiter((end for end, _ in automaton.iter(as_text(words.codes))), np.int64) // 3
         found[ends - length + 1] = 1
     starts = np.flatnonzero(found)
     return starts[words.ends[words.doc[starts]] - starts >= length]

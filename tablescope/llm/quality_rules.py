@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words_of
+from .common import stored, unused, words_of
 
 MIN_ROWS = 100  # fewest rows of which scatter is estimated
 SHARE = 0.75  # of a cell's rows that the estimate rests on
@@ -176,20 +176,21 @@ def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     ))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", *, cutoff: float = CUTOFF) -> DataFrame:
-    """``docs`` without its text, with base statistics, ``base_failed``, ``distance`` and ``kept``."""
-    rows = stored(_celled(stored(statistics(docs, text), "statistics"), lang, source), "cells")
+def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", *, cutoff: float = CUTOFF) -> DataFrame:
+    """For each row of ``docs`` its id, base statistics, ``base_failed``, ``distance`` (null without estimate) and ``kept``."""
+    narrow = docs.select(F.col(id).alias("__id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    rows = stored(_celled(stored(statistics(narrow), "statistics"), "lang", "source"), "cells")
     sound = rows.where("not base_failed and __cell is not null").select("__cell", *[f"__{a}" for a in AXES])
     estimate = stored(_first_estimate(sound), "scatter")
     for _ in range(STEPS):
         estimate = stored(_concentrated(sound, estimate), "scatter")
     done = _measured(rows, estimate)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("__d2"), F.lit(0.0)) <= cutoff)
-    return done.withColumns({"distance": F.sqrt("__d2"), "kept": kept}).drop("__d2", "__cell", *[f"__{a}" for a in AXES])
+    return done.select(F.col("__id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.sqrt("__d2").alias("distance"), kept.alias("kept"))
 
 
 def keep_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", *, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their own columns."""
-    narrow = docs.select(F.col(id).alias("__id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    rejected = judged(narrow, cutoff=cutoff).where("not kept").select("__id").distinct()
-    return docs.join(rejected, docs[id].eqNullSafe(rejected["__id"]), "left_anti")
+    (key,) = unused(docs, "rejected_id")
+    rejected = judged(docs, id, text, lang, source, cutoff=cutoff).where("not kept").select(F.col(id).alias(key)).distinct()
+    return docs.join(rejected, docs[id].eqNullSafe(rejected[key]), "left_anti")
