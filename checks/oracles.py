@@ -60,6 +60,14 @@ ORACLES["infer_types"] = with_dirty(
     f"""SELECT o_orderkey, o_custkey, total_amount, payout_value, priority_label, {no_token('order_date_text')} AS order_date_text,
  {no_token('order_status')} AS order_status, CAST(posted_at AS VARCHAR) AS posted_at FROM dirty_orders""",
 )
+ORACLES["infer_wide_ids"] = """SELECT o_orderkey, CAST('1' || lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS BIGINT) AS id_19,
+ '1' || lpad(CAST(o_orderkey AS VARCHAR), 21, '0') AS id_22, o_orderkey AS signed, o_orderkey + 0.5::DOUBLE AS number, o_orderkey % 2 = 0 AS flag,
+ NULL::DOUBLE AS nothing, CAST(o_orderkey AS VARCHAR) || 'x' AS word FROM orders"""
+ORACLES["date_formats"] = """SELECT o_orderkey, o_orderdate AS iso_zone, o_orderdate - INTERVAL 2 HOUR AS iso_offset, o_orderdate AS day_first, o_orderdate AS month_first,
+ o_orderdate AS half_day, o_orderdate AS full_month, o_orderdate AS short_month, o_orderdate AS dotted, o_orderdate AS german, o_orderdate AS day_dash,
+ o_orderdate AS two_digits, o_orderdate AS compact FROM orders"""
+ORACLES["explore_scatter"] = """SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem
+ ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5000"""
 ORACLES["load_csv"] = clean_orders("SELECT * FROM clean")
 ORACLES["export_csv"] = with_dirty("dirty_orders", "SELECT * FROM dirty_orders")
 ORACLES["display_projection"] = "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders"

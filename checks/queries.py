@@ -66,6 +66,32 @@ def infer_types(spark, sf_dir):
     return loading.infer_types(loading.null_tokens(as_text))
 
 
+@query("infer_wide_ids")
+def infer_wide_ids(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    ids = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("1"), F.lpad(key, 18, "0")).alias("id_19"), F.concat(F.lit("1"), F.lpad(key, 21, "0")).alias("id_22"),
+        F.concat(F.lit("+"), key).alias("signed"), F.concat(key, F.lit(".5")).alias("number"),
+        F.when(F.col("o_orderkey") % 2 == 0, "True").otherwise("false").alias("flag"), F.lit(None).cast("string").alias("nothing"), F.concat(key, F.lit("x")).alias("word"),
+    )
+    return loading.infer_types(ids)
+
+
+DATE_COLUMNS = {
+    "iso_zone": "yyyy-MM-dd'T'HH:mm:ss'Z'", "iso_offset": "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "day_first": "dd/MM/yyyy", "month_first": "MM/dd/yyyy",
+    "half_day": "MM/dd/yyyy hh:mm a", "full_month": "MMMM d, yyyy", "short_month": "d MMM yyyy", "dotted": "yyyy.MM.dd", "german": "dd.MM.yyyy",
+    "day_dash": "dd-MM-yyyy", "two_digits": "MM/dd/yy", "compact": "yyyyMMdd",
+}
+
+
+@query("date_formats")
+def date_formats(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select("o_orderkey", *[F.date_format("o_orderdate", f).alias(n) for n, f in DATE_COLUMNS.items()])
+    for name in DATE_COLUMNS:
+        df = semantic.convert_date(df, name)
+    return df
+
+
 @query("load_csv")
 def load_csv(spark, sf_dir):
     path = saving.write_csv(read(spark, sf_dir, "dirty_orders"), scratch_path(spark, "csv"), "orders")
@@ -478,7 +504,7 @@ def explore_bar_mean(spark, sf_dir):
 
 @query("explore_scatter")
 def explore_scatter(spark, sf_dir):
-    return charts.scatter_sample(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
+    return charts.scatter_sample(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", keys=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
 @query("explore_line")

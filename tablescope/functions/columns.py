@@ -16,7 +16,7 @@ _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
 # Fixed patterns.
 EDGE_WHITESPACE = r"(?U)^\s+|\s+$"
-INTEGER_TEXT = r"^[+-]?\d{1,18}$"
+INTEGER_TEXT = r"^[+-]?\d+$"
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 BOOLEAN_TEXT = r"^(True|TRUE|true|False|FALSE|false)$"
 CURRENCY_MARKS = r"(?U)[\$,€£¥\s()]"

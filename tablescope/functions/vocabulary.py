@@ -84,7 +84,21 @@ DATE_FORMATS = {
     "d-MMM-yyyy": r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$",
     "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
     "yyyyMMdd": r"^\d{8}$",
+    "yyyy-M-d'T'H:m:s[.SSSSSS]XXX": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$",
+    "M/d/yyyy h:m a": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2} [AP]M$",
+    "MMMM d, yyyy": r"^[A-Z][a-z]{2,8} \d{1,2}, \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Z][a-z]{2} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Z][a-z]{2,8} \d{4}$",
+    "yyyy.M.d": r"^\d{4}\.\d{1,2}\.\d{1,2}$",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    # Day first, taken where month first reads fewer rows: on a tie the earlier format wins.
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy H:m:s": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
 }
+LAST_TWO_DIGIT_YEAR = 2068  # 69 is 1969
 STRICT_DATE_SHARE = 0.50
 ACCEPT_DATE_SHARE = 0.70
 

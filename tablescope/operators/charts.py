@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,18 +64,21 @@ def bar_mean(df: DataFrame, category: str, value: str, limit: int = V.BAR_LIMIT)
     return means.orderBy("value").limit(limit)
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, colour: str | None = None, rows: int = V.SCATTER_ROWS, seed: int = 42) -> DataFrame:
-    """Exactly ``rows`` random rows (all if there are fewer).
+def scatter_sample(df: DataFrame, x: str, y: str, colour: str | None = None, *, keys: Sequence[str], rows: int = V.SCATTER_ROWS) -> DataFrame:
+    """``rows`` rows, spread evenly (all if there are fewer): those with the smallest hashes of their ``keys``.
 
-    Each task first draws a little more than its share, so few rows meet in the final top-n.
+    The choice does not depend on how the table is cut.  Only rows below a hash that a few more than ``rows`` should stay
+    under meet in the final top-n; should too few stay under it, all do.
     """
-    chosen = df.select(*[col(c) for c in ([x, y, colour] if colour else [x, y])])
+    shown = [x, y, colour] if colour else [x, y]
+    marked = df.select(*[col(c) for c in dict.fromkeys([*shown, *keys])], F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys])).alias("__mark"))
     total = df.count()
-    if total <= rows:
-        return chosen
-    share = (rows + 10 * math.sqrt(rows)) / total
-    drawn = chosen.sample(share, seed) if share < 1 else chosen
-    return drawn.orderBy(F.rand(seed)).limit(rows)
+    if total > rows:
+        edge = int(2**32 * (rows + 10 * math.sqrt(rows)) / total)
+        few = marked.where(F.substring("__mark", 1, 8) < f"{edge:08x}") if edge < 2**32 else marked
+        marked = few if edge >= 2**32 or few.count() >= rows else marked
+        marked = marked.orderBy("__mark", *[col(k) for k in keys]).limit(rows)
+    return marked.select(*[col(c) for c in shown])
 
 
 def monthly_line(df: DataFrame, date: str, value: str, as_of: datetime.datetime | None = None) -> DataFrame:

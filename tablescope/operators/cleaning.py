@@ -20,7 +20,7 @@ from .tallies import most_common
 FILL_STRATEGIES = ("mean", "median", "mode", "constant")
 
 
-def remove_duplicates(df: DataFrame, row_id: str | None = None, prefilter: bool = True) -> StepResult:
+def remove_duplicates(df: DataFrame, row_id: str | None = None) -> StepResult:
     """Keep one row of each set of equal rows; with ``row_id``, the one with the lowest id."""
 
     def sentence(c):
@@ -28,7 +28,7 @@ def remove_duplicates(df: DataFrame, row_id: str | None = None, prefilter: bool
             return "No duplicate rows found — nothing to remove."
         return f"Removed {c.rows_removed:,} duplicate row(s). Dataset now has {c.rows_after:,} rows."
 
-    return StepResult(df, lambda d: distinct_rows(nan_to_null(d), row_id, prefilter), sentence, drops_rows=True)
+    return StepResult(df, lambda d: distinct_rows(nan_to_null(d), row_id), sentence, drops_rows=True)
 
 
 def duplicate_preview(df: DataFrame, row_id: str, limit: int = 50) -> DataFrame:

@@ -27,7 +27,9 @@ def most_common(df: DataFrame, name: str) -> DataFrame:
 
 
 def counts_by_column(df: DataFrame, names: Sequence[str], keep_missing: bool = False) -> DataFrame:
-    """``(ordinal, column, value, count)`` of several columns in one scan and one shuffle."""
+    """``(ordinal, column, value, count)`` of several columns in one scan and one shuffle; no rows without columns."""
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, value string, count bigint")
     cells = F.inline(
         F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), col(n).cast("string").alias("value")) for i, n in enumerate(names)])
     )

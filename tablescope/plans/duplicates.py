@@ -1,9 +1,8 @@
-"""Equal rows, found through row digests.
+"""Equal rows.
 
-Grouping whole rows shuffles the whole table.  Equal rows have equal digests, so a first job groups
-eight-byte digests (hot rows collapse before the shuffle) and keeps those that occur more than once.
-Only rows with such a digest can have a twin, and only they are compared in full: the digest alone
-never decides.
+Copies are counted by 128-bit digests, so sixteen bytes of a row are shuffled and hot rows collapse before that.  Where rows
+themselves are returned they are grouped whole, equal ones collapsing in the map tasks.  One plan whatever the number of
+copies, no job before the result is asked for, nothing written.
 """
 
 from __future__ import annotations
@@ -12,17 +11,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import col, comparable, holds_map
-from ..session import scratch_path
+from ..functions.columns import col, comparable, holds_map, is_nested
 
-# Repeated digests are broadcast up to this many (8 bytes each, counted before the join); beyond it
-# rows are grouped directly.
-BROADCAST_DIGESTS = 1_000_000
 
-
-def row_digest(df: DataFrame, names: Sequence[str]) -> Column:
-    return F.xxhash64(*[comparable(df, n) for n in names])
+def row_digest(df: DataFrame, names: Sequence[str]) -> tuple[Column, Column]:
+    """Two independent hashes of a row.  As hashes pass over nulls, they enter as flags, nested values as text."""
+    values = []
+    for n in names:
+        dtype, value = df.schema[n].dataType, comparable(df, n)
+        nested = is_nested(dtype) and not isinstance(dtype, T.BinaryType)
+        values += [F.to_json(F.struct(value.alias("v"))) if nested else value, value.isNull()]
+    return F.xxhash64(*values).alias("h1"), F.xxhash64(F.lit(1), *values).alias("h2")
 
 
 def row_groups(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -31,52 +32,17 @@ def row_groups(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*keys).groupBy(*[f"g{i}" for i in range(len(names))]).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def repeated_digests(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, int]:
-    """Digests of more than one row, as a written table (small, and kept if executors are lost)."""
-    path = scratch_path(df.sparkSession, "digests")
-    found = df.select(row_digest(df, names).alias("digest")).groupBy("digest").count().where("count > 1")
-    found.select("digest").write.parquet(path)
-    table = df.sparkSession.read.schema("digest bigint").parquet(path)
-    return table, table.count()
-
-
-def possible_copies(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
-    """The rows that may have a twin, or None if no row has: all true copies are among them."""
-    digests, repeated = repeated_digests(df, names)
-    if repeated == 0:
-        return None
-    if repeated > BROADCAST_DIGESTS:
-        return df
-    return df.withColumn("digest", row_digest(df, names)).join(F.broadcast(digests), "digest", "left_semi").drop("digest")
-
-
 def count_copies(df: DataFrame) -> int:
     """Rows that repeat an earlier row."""
-    rows = possible_copies(df, df.columns) if df.columns else None
-    if rows is None:
+    if not df.columns:
         return 0
-    copies = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
-    return row_groups(rows, df.columns).agg(copies).collect()[0][0]
-
+    groups = df.select(*row_digest(df, df.columns)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).collect()[0][0]
 
-def distinct_rows(df: DataFrame, row_id: str | None = None, prefilter: bool = True) -> DataFrame:
-    """One row of each set of equal rows; with ``row_id``, the one with the lowest id.
 
-    Rows whose digest occurs once pass through where they are; only possible copies are shuffled.
-    ``prefilter=False`` runs no job up front and groups all rows.
-    """
-    names = [n for n in df.columns if n != row_id]
-    if not prefilter:
-        return _grouped(df, names, row_id)
-    digests, repeated = repeated_digests(df, names)
-    if repeated == 0:
-        return df
-    if repeated > BROADCAST_DIGESTS:
-        return _grouped(df, names, row_id)
-    marked = df.withColumn("digest", row_digest(df, names))
-    single = marked.join(F.broadcast(digests), "digest", "left_anti").drop("digest")
-    copied = marked.join(F.broadcast(digests), "digest", "left_semi").drop("digest")
-    return single.unionByName(_grouped(copied, names, row_id))
+def distinct_rows(df: DataFrame, row_id: str | None = None) -> DataFrame:
+    """One row of each set of equal rows; with ``row_id``, the one with the lowest id."""
+    return _grouped(df, [n for n in df.columns if n != row_id], row_id)
 
 
 def _grouped(df: DataFrame, names: Sequence[str], row_id: str | None) -> DataFrame:
@@ -96,11 +62,8 @@ def preview_copies(df: DataFrame, row_id: str, limit: int) -> DataFrame:
     joined back as a broadcast of at most ``limit`` rows, and no group is ever gathered whole.
     """
     names = [n for n in df.columns if n != row_id]
-    rows = possible_copies(df, names)
-    if rows is None:
-        return df.limit(0)
     order = [F.col(f"g{i}").asc_nulls_last() for i in range(len(names))]
-    first = row_groups(rows, names).where("copies > 1").orderBy(*order).limit(limit).drop("copies")
+    first = row_groups(df, names).where("copies > 1").orderBy(*order).limit(limit).drop("copies")
     same = [comparable(df, n).eqNullSafe(F.col(f"g{i}")) for i, n in enumerate(names)]
     shown = [col(n).asc_nulls_last() for n in names]
     return df.join(F.broadcast(first), same, "left_semi").orderBy(*shown, col(row_id)).limit(limit)

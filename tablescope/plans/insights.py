@@ -217,6 +217,8 @@ def segments(table: Table, names: list[str] | None = None) -> DataFrame:
 def segment_value_ratio(table: Table, names: list[str] | None = None) -> DataFrame:
     """Categories whose mean money is at least twice that of the lowest category."""
     names = names or table.of_type("categorical")[: V.SEGMENT_COLUMNS]
+    if not names or not money_columns(table):
+        return table.df.sparkSession.createDataFrame([], "ordinal int, column string, top_category string, top_avg double, bottom_category string, bottom_avg double, ratio double")
     money = money_columns(table)[0]
     cells = F.inline(
         F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), col(n).cast("string").alias("value")) for i, n in enumerate(names)])

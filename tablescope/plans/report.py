@@ -42,7 +42,9 @@ def report_categories(table: Table) -> DataFrame:
 def report_top(table: Table, names: list[str] | None = None) -> DataFrame:
     """Top five values of up to two columns with many values; each a top-n, never a full sort."""
     names = names or table.of_type("high_cardinality")[: V.TOP_COLUMNS]
-    rows = table.df.agg(F.count(F.lit(1)).alias("n_rows"))
+    if not names:
+        return table.df.sparkSession.createDataFrame([], "ordinal int, column string, place int, value string, count bigint, pct_of_rows double")
+    rows = F.broadcast(table.df.agg(F.count(F.lit(1)).alias("n_rows")))
     parts = []
     for i, name in enumerate(names):
         top = top_values(table.df, name, V.REPORT_TOP_SEGMENTS).crossJoin(rows)

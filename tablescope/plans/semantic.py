@@ -30,7 +30,11 @@ class Table:
 
 
 def parse_date(column: Column, pattern: str) -> Column:
-    return F.when(column.rlike(V.DATE_FORMATS[pattern]), F.try_to_timestamp(column, F.lit(pattern))).cast("timestamp_ntz")
+    """Timestamps without zone; text with an offset becomes the time in the session's zone."""
+    read = F.when(column.rlike(V.DATE_FORMATS[pattern]), F.try_to_timestamp(column, F.lit(pattern))).cast("timestamp_ntz")
+    if "yyyy" in pattern:
+        return read
+    return F.when(F.year(read) > V.LAST_TWO_DIGIT_YEAR, read - F.expr("INTERVAL 100 YEARS")).otherwise(read)
 
 
 def _date_measures(name: str) -> dict[tuple, Measure]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.columns import BOOLEAN_TEXT, INTEGER_TEXT, NUMBER_TEXT, col, is_text, nan_to_null, plain_number
-from ..plans.measures import gather, rows_where
+from ..plans.measures import Measure, gather
 from ..plans.semantic import Table, detect
 from ..session import scratch_path
 
@@ -28,26 +28,31 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = V.NULL_TOKENS) -> DataFra
     return df.withColumns({n: F.when(~col(n).isin(*tokens), col(n)) for n in texts}) if texts else df
 
 
+def _unlike(value: Column) -> Column:
+    """Bits of the kinds that a text is not of (fits 64 bits, all digits, number, true or false); null without text."""
+    no = lambda test, bit: F.when(test, 0).otherwise(bit)
+    fits = value.rlike(INTEGER_TEXT) & value.try_cast("bigint").isNotNull()
+    bits = no(fits, 1) + no(value.rlike(INTEGER_TEXT), 2) + no(value.rlike(NUMBER_TEXT), 4) + no(value.rlike(BOOLEAN_TEXT), 8)
+    return F.when(value.isNotNull(), bits)
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Give each text column the narrowest type that every non-missing value has.
 
-    Whole numbers, numbers, true/false, else text; a column without values becomes numeric.
+    Whole numbers, numbers, true/false, else text; a column without values becomes numeric.  Whole numbers of which one
+    does not fit 64 bits stay text: as doubles, different ids would become one.  One aggregate per column.
     """
     texts = [f.name for f in df.schema.fields if is_text(f.dataType)]
     if not texts:
         return df
-    patterns = {"bigint": INTEGER_TEXT, "double": NUMBER_TEXT, "boolean": BOOLEAN_TEXT}
-    measures = {("present", n): rows_where(col(n).isNotNull()) for n in texts}
-    measures |= {(kind, n): rows_where(col(n).rlike(p)) for n in texts for kind, p in patterns.items()}
-    seen = gather(df, measures)
+    against = {"bigint": 1, "digits": 2, "double": 4, "boolean": 8}  # bits: some value is not of this kind
+    seen = gather(df, {n: Measure(F.bit_or(_unlike(col(n))), "bit_or({})") for n in texts})
     typed: dict[str, Column] = {}
     for name in texts:
-        kind = next((k for k in patterns if seen[(k, name)] == seen[("present", name)]), None)
-        if seen[("present", name)] == 0:
-            kind = "double"
+        kind = "double" if seen[name] is None else next((k for k, bit in against.items() if not seen[name] & bit), None)
         if kind == "double":
             typed[name] = plain_number(col(name))
-        elif kind:
+        elif kind in ("bigint", "boolean"):
             typed[name] = col(name).try_cast(kind)
     return df.withColumns(typed) if typed else df
 

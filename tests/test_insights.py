@@ -127,8 +127,19 @@ def test_bars(spark, one):
 
 def test_scatter_has_the_exact_size(spark):
     df = spark.range(20000).selectExpr("id x", "id y")
-    assert charts.scatter_sample(df, "x", "y", rows=500).count() == 500
-    assert charts.scatter_sample(df.limit(30), "x", "y", rows=500).count() == 30
+    assert charts.scatter_sample(df, "x", "y", keys=["x"], rows=500).count() == 500
+    assert charts.scatter_sample(df.limit(30), "x", "y", keys=["x"], rows=500).count() == 30
+    cut = charts.scatter_sample(df.repartition(7), "x", "y", keys=["x"], rows=500)
+    assert sorted(cut.collect()) == sorted(charts.scatter_sample(df, "x", "y", keys=["x"], rows=500).collect())
+
+
+def test_tables_without_the_wanted_columns_give_empty_frames(spark):
+    from tablescope.plans import insights, report
+    from tablescope.plans.semantic import detect
+
+    table = detect(spark.range(100).selectExpr("id x"))
+    for found in (insights.segments(table), insights.segment_value_ratio(table), report.report_categories(table), report.report_top(table)):
+        assert found.collect() == []
 
 
 def test_p99_cap(one):

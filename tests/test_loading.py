@@ -95,3 +95,27 @@ def test_every_row_local_step_keeps_a_stream(spark, tmp_path):
 
 def test_step_counts():
     assert StepCounts(5, 3, 0).rows_removed == 2
+
+
+def test_wide_integers_keep_their_digits(spark):
+    ids = [str(1234567890123456787 + i) for i in range(3)]
+    df = spark.createDataFrame([(a, a + "000", a + ".5") for a in ids], "a string, b string, c string")
+    found = loading.infer_types(df)
+    assert [t for _, t in found.dtypes] == ["bigint", "string", "double"]
+    assert sorted(str(r.a) for r in found.collect()) == ids and sorted(r.b for r in found.collect()) == [a + "000" for a in ids]
+
+
+def test_scratch_folders_are_shared(spark, tmp_path):
+    from tablescope.session import scratch_path
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            _jsc = spark.sparkContext._jsc
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(ValueError):
+            scratch_path(Elsewhere, "x")

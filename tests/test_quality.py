@@ -1,6 +1,6 @@
 import pytest
 
-from tablescope.plans import duplicates, quality
+from tablescope.plans import quality
 from tablescope.plans.duplicates import count_copies, preview_copies, row_groups
 from tablescope.plans.profile import missing_profile, profile
 from tablescope.plans.semantic import Table, detect
@@ -12,18 +12,27 @@ def test_nan_null_and_signed_zero_are_one_value(one):
     assert count_copies(nan_to_null(one([None, float("nan"), 0.0, -0.0], "double"))) == 2
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_copies_both_ways(spark, monkeypatch, limit):
-    """Few repeated digests go through the broadcast filter, many through direct grouping."""
-    monkeypatch.setattr(duplicates, "BROADCAST_DIGESTS", limit)
+def test_copies(spark):
     df = spark.createDataFrame([(i % 7, "a" if i % 2 else None) for i in range(30)] + [(99, "z")], "i int, s string")
     assert count_copies(df) == 31 - 15
 
 
 def test_equal_digests_alone_are_not_copies(spark):
-    # NULLs do not enter the digest, so these rows share one.
+    # NULLs do not enter a hash of values alone.
     df = spark.createDataFrame([(1, None), (None, 1)], "a int, b int")
     assert count_copies(df) == 0
+    assert count_copies(spark.sql("SELECT array(1, null) l UNION ALL SELECT array(null, 1) UNION ALL SELECT array(1, null)")) == 1
+
+
+def test_removing_duplicates_starts_no_job(spark):
+    from tablescope.operators.cleaning import remove_duplicates
+
+    df = spark.createDataFrame([(1, 0.0), (1, -0.0), (2, -0.0)], "a int, x double")
+    spark.sparkContext.setJobGroup("lazy", "")
+    step = remove_duplicates(df).df
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("lazy") == []
+    spark.sparkContext.setJobGroup("", "")
+    assert step.count() == 2
 
 
 def test_copies_of_nested_rows(spark):
