@@ -54,17 +54,18 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     neighbours (stars take a minimum, which is combined before the shuffle).  Nodes without an edge do not appear.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    def settled(e: DataFrame) -> tuple[DataFrame, tuple]:
+        e = stored(e.where("a <> b").distinct(), f"{name}-edges")
+        return e, tuple(e.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 24)), F.sum(F.shiftright(F.xxhash64("b", "a"), 24))).first())
+
+    edges, mark = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
         around = both(edges)
         low = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = around.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        after = stored(small.where("a <> b").distinct(), f"{name}-edges")
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        edges = after
-        if same:
-            nodes = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-            roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-            return nodes.union(roots)
+        edges, after = settled(small)
+        if after == mark:  # stars only: each node has its component's smallest
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+        mark = after

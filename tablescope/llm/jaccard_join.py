@@ -8,8 +8,9 @@
    ones.  For sets beyond ``LONG`` shingles k = 1 (pairs grow with the square of the prefix); sets near that length are
    indexed both ways.
 3. Verification in two rounds, as only components are asked for.  First every key's members are checked against one
-   member, the one with the largest recurring share.  Keys whose members are then in one component are done.  The
-   members of the others are checked against all members of other components, in blocks of ``BLOCK`` rows.
+   member, the one with the largest recurring share.  Keys whose members are then in one component are done.  In the
+   others, members outside the key's largest component are checked against all members of other components, in blocks of
+   ``BLOCK`` by ``BLOCK`` rows.  Members whose recurring shingles cannot suffice for any partner's size are left out.
 
 No pair is written but links that hold, and those only as a spanning forest of each block.
 
@@ -29,7 +30,7 @@ from .common import components, stored
 
 RARE = 24  # answer for about 64 documents: shingles up to it are indexed alone
 LONG = 500
-BLOCK = 256
+BLOCK = 128
 SETS = "id bigint, n_shingles bigint, set_a bigint, set_b bigint, recurring binary, ranks binary"
 
 
@@ -95,6 +96,11 @@ def shingle_sets(docs: DataFrame, id: str, text: str, *, length: int, percent: i
     return stored(corpus.map_with(C.answered(asked, _holders, short=True, extra="u2"), settle, SETS), "shingle-sets")
 
 
+def reach(n: int, recurring: int, percent: int) -> int:
+    """Largest size of a set that a set of ``n`` can link with, as they share its recurring shingles at most."""
+    return recurring * (100 + percent) // percent - n
+
+
 def _keys(percent: int):
     def of(n: int, ranks, tokens) -> list[int]:
         import numpy as np
@@ -122,8 +128,9 @@ def _keys(percent: int):
             rows = []
             for i, n, tokens, ranks in zip(*(c.to_pylist() for c in batch.columns)):
                 found = set(of(n, np.frombuffer(ranks, np.uint8), np.frombuffer(tokens, np.uint64)))
-                rows += [(k, i, n, len(tokens) / 8 / n) for k in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["key", "id", "n", "share"])
+                rows += [(k, i, n, reach(n, len(tokens) // 8, percent), len(tokens) / 8 / n) for k in found]
+            kinds = (pa.int64(),) * 4 + (pa.float64(),)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["key", "id", "n", "most", "share"])
 
     return run
 
@@ -143,30 +150,39 @@ def _links(percent: int):
 
 
 def _block_links(percent: int):
-    """Within one block (or pair of blocks): links between rows of different components, as a spanning forest."""
+    """Links of a block of a key's minority members with a block of all its members, as a spanning forest of components."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        rows = sorted(set(zip(*(table.column(c).to_pylist() for c in ("id", "component", "n", "recurring")))))
-        ids, parts, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        rows: dict = {}
+        for i, *row in zip(*(table.column(c).to_pylist() for c in ("id", "minor", "component", "n", "recurring"))):
+            if i not in rows or row[0]:
+                rows[i] = row
+        ids = np.array(sorted(rows), np.int64)
+        minor, parts, sizes = (np.array([rows[i][k] for i in ids.tolist()], np.int64) for k in range(3))
+        sets = [np.frombuffer(rows[i][3], np.uint64) for i in ids.tolist()]
         token = np.unique(np.concatenate(sets), return_inverse=True)[1]
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(token, kind="stable")
-        owner, token = owner[order], token[order]
-        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        shared = np.zeros((len(rows), len(rows)), np.int32)
-        for i, j in zip(edges[:-1], edges[1:]):
-            if j - i > 1:
-                shared[np.ix_(owner[i:j], owner[i:j])] += 1
-        good = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+        few = np.flatnonzero(minor)
+        several = np.flatnonzero(np.bincount(token) > 1)  # tokens that more than one row has
+        column = np.full(token.max(initial=-1) + 1, -1)
+        column[several] = np.arange(len(several))
+        column, shared = column[token], np.zeros((len(few), len(ids)), np.float32)
+        for lo in range(0, len(several), 20_000):
+            here = (column >= lo) & (column < lo + 20_000)
+            held = np.zeros((len(ids), min(20_000, len(several) - lo)), np.float32)
+            held[owner[here], column[here] - lo] = 1
+            shared += held[few] @ held.T
+        shared = shared.astype(np.int64)
+        good = (100 * shared >= percent * (sizes[few, None] + sizes[None, :] - shared)) & (parts[few, None] != parts[None, :])
         found = []
-        for i, j in zip(*np.nonzero(np.triu(good, 1))):
-            if parts[i] != parts[j]:
-                found.append((ids[i], ids[j]))
-                parts[parts == parts[j]] = parts[i]
+        for i, j in zip(*np.nonzero(good)):
+            p, q = parts[few[i]], parts[j]
+            if p != q:
+                found.append((ids[few[i]], ids[j]))
+                parts[parts == q] = p
         return pa.table([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
@@ -182,12 +198,13 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     heads = able.join(classes.select(F.col("class").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     heads = stored(heads.select("id", F.col("n_shingles").alias("n"), "recurring", "ranks"), "set-heads")
 
-    keyed = heads.select("id", "n", "recurring", "ranks").mapInArrow(_keys(percent), "key bigint, id bigint, n bigint, share double")
+    keyed = heads.select("id", "n", "recurring", "ranks").mapInArrow(_keys(percent), "key bigint, id bigint, n bigint, most bigint, share double")
     keyed = stored(keyed, "set-keys")
-    centres = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("share", "n", "id")).alias("c")).where("held > 1")
-    centres = stored(centres.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("m")), "set-centres")
-    close = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
-    shared = stored(keyed.join(centres, "key"), "set-shared")  # members of keys that two or more have
+    centres = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("least"), F.max("most").alias("top"), F.max(F.struct("share", "n", "id", "most")).alias("c"))
+    centres = stored(centres.where("held > 1").select("key", "least", "top", F.col("c.id").alias("centre"), F.col("c.n").alias("m"), F.col("c.most").alias("m_most")), "set-centres")
+    # members of keys that two or more have, and whose sizes leave them a partner there
+    shared = stored(keyed.join(centres, "key").where("most >= least and n <= top"), "set-shared")
+    close = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n")) & (F.col("n") <= F.col("m_most")) & (F.col("m") <= F.col("most"))
     pairs = shared.where((F.col("id") != F.col("centre")) & close).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     x = heads.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("recurring").alias("x"))
     y = heads.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("recurring").alias("y"))
@@ -197,16 +214,24 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     # keys whose members are still in several components, one of those with the same members
     open_ = shared.select("key", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = stored(open_, "set-open")
-    mark = F.sum(F.shiftright(F.xxhash64("id"), 24))  # of 40 bits: no overflow below 2 ** 23 members
-    several = open_.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("held"), mark.alias("mark"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "id"), 24)).alias("mark2"))
-    several = several.where("p <> q").groupBy("held", "mark", "mark2").agg(F.min("key").alias("key"))
-    several = stored(several.select("key", F.ceil(F.col("held") / (BLOCK // 2)).cast("int").alias("blocks")), "set-several")
-    rows = open_.join(several, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    rows = rows.select("key", "id", "component", F.explode(both).alias("at"))
-    rows = rows.join(heads.select("id", "n", "recurring"), "id").select("key", "at.i", "at.j", "id", "component", "n", "recurring")
+    mark = [F.sum("held").alias("held"), F.max(F.struct("held", "component")).alias("major"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("parts")]
+    hashes = [F.sum(F.shiftright(F.xxhash64(F.lit(k), "id"), 24)).alias(c) for k, c in ((1, "x"), (2, "y"))]  # 40 bits: no overflow below 2 ** 23 members
+    several = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"), *hashes).groupBy("key").agg(*mark).where("parts > 1")
+    several = several.groupBy("held", "x", "y", "major").agg(F.min("key").alias("key"))
+    several = stored(several.select(
+        "key", F.col("major.component").alias("major"), F.ceil((F.col("held") - F.col("major.held")) / BLOCK).cast("int").alias("minors"),
+        F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "set-several")
+    rows = open_.join(several, "key")
+    place = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = F.transform(every("minors"), lambda i: F.struct(i.alias("i"), place(3, "blocks").alias("j"), F.lit(0).alias("minor")))
+    as_minor = F.transform(every("blocks"), lambda j: F.struct(place(4, "minors").alias("i"), j.alias("j"), F.lit(1).alias("minor")))
+    roles = F.when(F.col("component") == F.col("major"), as_member).otherwise(F.concat(as_member, as_minor))
+    rows = rows.select("key", "id", "component", F.explode(roles).alias("at"))
+    rows = rows.join(heads.select("id", "n", "recurring"), "id").select("key", "at.i", "at.j", "at.minor", "id", "component", "n", "recurring")
     more = rows.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
-    parts = components(spark, links.union(more), "set")
+    stars = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts = components(spark, stars.union(more), "set")
 
     found = member.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").select(F.col("id").alias("__id"), F.coalesce("component", "class").alias("__component")).distinct()
     done = sets.select("id", "n_shingles").join(found, sets["id"] == found["__id"], "left")
