@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the library from where it lies; a cluster gets it by ``--py-files``."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
+    return spark
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(run: Query) -> Query:
-        QUERIES[name] = run
+        QUERIES[name] = lambda spark, sf_dir: run(importable(spark), sf_dir)
         if sql:
             ORACLES[name] = sql
         return run
@@ -109,6 +119,4 @@ def op9_suffix_dedup(spark, sf_dir):
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
