@@ -814,3 +814,4 @@ ORACLES["report"] = clean_orders(
  cats AS ({union([top_rows('clean', 0, 'priority_label', 3), top_rows('clean', 1, 'order_status', 3)])}), lines AS ({report_lines()})
  SELECT (row_number() OVER (ORDER BY a, b, c))::INT AS line_no, line FROM lines"""
 )
+ORACLES["report_sink"] = f"SELECT line FROM ({ORACLES['report']}) whole"

@@ -582,6 +582,18 @@ def full_report(spark, sf_dir):
     return report.report(prepared(spark, sf_dir, "dirty_orders"), ["Trimmed text."], "orders", AS_OF)
 
 
+@query("report_sink")
+def report_sink(spark, sf_dir):
+    lines = report.report(prepared(spark, sf_dir, "dirty_orders"), ["Trimmed text."], "orders", AS_OF)
+    path = saving.write_report(lines, scratch_path(spark, "report"), "orders", datetime.date(2024, 7, 15))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("table_context")
+def table_context(spark, sf_dir):
+    return report.table_context(prepared(spark, sf_dir, "dirty_orders"), "orders")
+
+
 @query("table_profile")
 def table_profile(spark, sf_dir):
     found = report.table_profile(prepared(spark, sf_dir, "dirty_orders"))
