@@ -32,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import stored, texts, total_bytes
+from .common import stored, texts
 
 MIN_REVISIT = 1000
 BLOCK_LINES = 1000
-PART_BYTES = 24_000_000  # html of one archive file
-PART_LINES = 100_000  # captures of one part of the index
+PART_LINES = 50_000  # captures of one part of the index
 NO_ID = -(2**63)
 CAPTURE = "urlkey string, page_id bigint, url string, kind string, refers_to bigint, file string, offset bigint, length bigint"
 PART = "first string, blocks string, directory string"
@@ -220,7 +219,7 @@ def written(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
         folder = f"file://{folder}" if folder.startswith("/") else folder
     folder = folder.replace("file:////", "file:///")
     narrow = pages.select(F.col(id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    rows, size = total_bytes(narrow, "html")
+    rows = narrow.count()
     heads = stored(narrow.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("bigint").alias("n_bytes")).distinct(), "heads")
     keepers = heads.where(F.col("n_bytes") >= min_revisit).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     keepers = stored(keepers.where("n > 1").select("digest", "n_bytes", "keeper"), "keepers")
@@ -229,12 +228,12 @@ def written(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     plan = plan.withColumn("kind", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     both = narrow.withColumn("__digest", F.sha1("html")).join(plan, narrow["page_id"].eqNullSafe(plan["__id"]) & (F.col("__digest") == F.col("digest")))
     both = both.select("page_id", "url", F.when(F.col("kind") == "response", F.col("html")).alias("html"), "digest", "kind", "refers_to", "n_bytes")
-    files = max(1, size // PART_BYTES, spark.sparkContext.defaultParallelism if size > PART_BYTES else 1)
-    captures = stored(both.repartition(files, "page_id").mapInArrow(_write(folder), CAPTURE), "captures")
+    # a task of the join writes a file: the pages are shuffled once
+    captures = stored(both.mapInArrow(_write(folder), CAPTURE), "captures")
     line = F.udf(line_of, "string")
     lines = captures.withColumn("line", line("urlkey", "page_id"))
     order = lines.select("line", "page_id", "url", "kind", "refers_to", "file", "offset", "length")
-    parts = order.repartitionByRange(max(1, rows // PART_LINES, min(files, 8)), "line", "file", "offset").sortWithinPartitions("line", "file", "offset").mapInArrow(_index(folder), PART)
+    parts = order.repartitionByRange(max(1, rows // PART_LINES), "line", "file", "offset").sortWithinPartitions("line", "file", "offset").mapInArrow(_index(folder), PART)
     return folder, captures, stored(parts, "index-parts")
 
 
@@ -268,4 +267,5 @@ def fetched(folder: str, parts: DataFrame, wanted: DataFrame, url: str = "url",
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     lines = wanted.select(line(F.col(url).cast("string"), F.col(id).cast("bigint")).alias("line")).distinct()
-    return lines.repartitionByRange("line").sortWithinPartitions("line").mapInArrow(run, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    tasks = max(len(listed.value), spark.sparkContext.defaultParallelism)
+    return lines.repartitionByRange(tasks, "line").sortWithinPartitions("line").mapInArrow(run, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
