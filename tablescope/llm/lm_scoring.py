@@ -1,14 +1,22 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Words are counted over all training documents; words, and then pairs and triples of such words, whose share of all training
-tokens reaches ``WORD_SHARE`` or ``GRAM_SHARE`` (and that occur twice) become the automaton.  As counts of one order add up
-to the tokens at most, it has at most 1 / share words, pairs and triples, whatever the corpus: that is what makes it fit to
-be sent to all tasks.  Every other word is looked up by a join of its occurrences with the word counts.
+Words, pairs and triples of words are counted over all training documents; pairs and triples seen ``min_count`` times are
+the model's arcs, at every size of the corpus.  The model is never in one place.  Documents are dealt to chunks, and the
+chunks ask buckets of n-gram hashes (``chunks``) in three rounds:
+
+1. how often the corpus holds each of the chunk's words and pairs,
+2. how often it holds the triples whose two pairs are arcs,
+3. what the backoff weights of the chunk's contexts are.  A bucket names one of the chunks that hold an n-gram as its
+   owner; a chunk sends, for each context, the sums over the arcs that it owns, and the bucket adds them up.
+
+With these answers a chunk builds the part of the automaton that its own texts can reach, whose size is that of the
+chunk, and traverses it.  A context or n-gram that a third of all documents hold costs a bucket one entry per chunk.
+N-grams are told apart by 64-bit hashes.
 
 States are the contexts: none, a word, two words.  An arc of a seen n-gram has its discounted probability; a state without
 an arc for the next word follows its failure arc, which costs the context's backoff weight and leads to the shorter
-context.  At the root every word has the smoothed unigram probability (c + 0.1) / (N + 0.1 * (V + 1)), a word outside the
-automaton that of its joined count; so probabilities of each context sum to one over known words and one unknown word.
+context.  At the root every word has the smoothed unigram probability (c + 0.1) / (N + 0.1 * (V + 1)), also one that no
+training document has; so probabilities of each context sum to one over known words and one unknown word.
 
 A text is one traversal from the state "begin" to the token "end".  Traversals go in step over many texts at once; long
 texts are entered again every ``PIECE`` tokens by reading the two tokens before, after which the state is the same.
@@ -19,98 +27,213 @@ Without training documents N and V are 0 and all tokens have the same probabilit
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from ..session import scratch_path
+from . import chunks as C
+from .common import stored, texts, total_bytes
 
-WORD_SHARE = 1e-6
-GRAM_SHARE = 4e-7
+MIN_COUNT = 2
 DISCOUNT = 0.5
 PIECE = 256
-FLUSH = 300_000  # words counted before they are passed on
-GRAMS = 3_000_000  # n-grams gathered before they are counted
-BATCH_TOKENS = 1_500_000
+CHUNK_BYTES = 6_000_000  # text of a chunk
 END = b" "  # no word has a blank
+PAIRS, WORDS, TRIPLES, CONTEXTS = (k << 24 for k in range(4))  # first bucket of each kind of question
 
 
 def held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _count_words(batches):
-    from collections import Counter
+class Texts(C.Chunks):
+    """Chunks of rows with an id of any type; rows are dealt by id and text, so null ids do not meet in one chunk."""
 
-    import pyarrow as pa
+    def __init__(self, docs: DataFrame, id: str, text: str):
+        spark = docs.sparkSession
+        rows, size = total_bytes(docs, text)
+        self.size, self.n = size, max(1, math.ceil(size / CHUNK_BYTES), math.ceil(rows / 200_000))
+        name = f"lm_{uuid.uuid4().hex}"
+        body = F.col(text).cast("string")
+        narrow = docs.select(F.pmod(F.xxhash64(F.col(id), body), F.lit(self.n)).cast("int").alias("chunk"), F.col(id).alias("id"), held_out(F.col(id)).alias("held_out"), body.alias("text"))
+        tasks = min(self.n, max(1, math.ceil(size / C.TASK_BYTES)))
+        writer = narrow.repartition(tasks, "chunk").write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "lm-chunks"))
+        writer.bucketBy(tasks, "chunk").saveAsTable(name)
+        self.table = spark.table(name)
 
-    def batch(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
 
-    counts = Counter()
-    for b in batches:
-        for text in texts(b.column(0)):
-            counts.update(text.lower().split())
-            counts[END] += 1
-            if len(counts) > FLUSH:
-                yield batch(counts)
-                counts = Counter()
-    yield batch(counts)
+def _joined(a, b):
+    """Hashes of n-grams, made of the hashes of their context and their last word."""
+    import numpy as np
+
+    return C.mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def _coded(body: list[bytes], known: dict[bytes, int]):
-    """Texts one after the other as begin, words (-1 outside the automaton), end."""
+def _planes(numbers: bytes, kind: str) -> bytes:
+    """First bytes of all numbers, then second bytes and so on: small counts and sorted keys compress to a part."""
     import numpy as np
 
-    begin, end, lengths, flat = len(known), known.get(END, -1), [], []
-    get = known.get
-    for text in body:
-        words = text.lower().split()
-        flat.append(begin)
-        flat += [get(w, -1) for w in words]
-        flat.append(end)
-        lengths.append(len(words) + 2)
-    return np.array(flat, np.int64), np.array(lengths, np.int64)
+    return np.frombuffer(numbers, np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
 
 
-def _grams(shared, order: int):
-    def run(batches):
+def _numbers(planes: bytes, kind: str):
+    import numpy as np
+
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _asked(chunk: int, first: int, keys, bits: int, extra, kind: str) -> list[tuple]:
+    import numpy as np
+
+    order = np.argsort(keys, kind="stable")
+    return [(c, first + b, _planes(k, "u8"), _planes(x, kind)) for c, b, k, x in C.asked(chunk, keys[order], bits, extra[order])]
+
+
+def _answered(messages: DataFrame, judge, extra: str, kind: str) -> DataFrame:
+    """``chunks.answered`` for numbers in planes."""
+
+    def run(table):
         import numpy as np
-        import pyarrow as pa
 
-        known = {w: k for k, w in enumerate(shared.value[0])}
-        pairs, k = shared.value[1], len(known) + 1
-
-        def batch(parts):
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "c"])
-
-        parts, held = [], 0
-        for b in batches:
-            body = texts(b.column(0))
-            for at in range(0, len(body), 500):
-                seq, _ = _coded(body[at : at + 500], known)
-                a, b2 = seq[:-1], seq[1:]
-                pair = np.where((a >= 0) & (b2 >= 0) & (b2 < k - 1), a * k + b2, -1)
-                if order == 2:
-                    keys = pair[pair >= 0]
-                else:
-                    often = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] == pair if len(pairs) else np.zeros(len(pair), bool)
-                    both = often[:-1] & often[1:]
-                    keys = pair[:-1][both] * k + seq[2:][both]
-                parts.append(keys)
-                held += len(keys)
-                if held > GRAMS:
-                    yield batch(parts)
-                    parts, held = [], 0
-        yield batch(parts)
-
-    return run
+        chunks, buckets = table.column("chunk").to_pylist(), table.column("bucket").to_pylist()
+        parts = [_numbers(x, "u8") for x in table.column("keys").to_pylist()]
+        more = np.concatenate([_numbers(x, extra) for x in table.column("extra").to_pylist()])
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        starts = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        said = np.empty(len(keys), kind)
+        said[order] = judge(keys, more, order, starts)
+        ends = np.cumsum([len(p) for p in parts]).tolist()
+        return C.as_table([(c, b, _planes(said[e - len(p) : e].tobytes(), kind)) for c, b, p, e in zip(chunks, buckets, parts, ends)], C.ANSWER)
+
+    return messages.groupBy("bucket").applyInArrow(run, C.ANSWER)
+
+
+def _round(messages: DataFrame, judge, extra: str, kind: str, name: str) -> DataFrame:
+    """Answers as a table; the shuffle files of the round before can go, and the next one needs their room."""
+    import gc
+
+    spark = messages.sparkSession
+    done = stored(_answered(messages, judge, extra, kind), name)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return done
+
+
+def _said(answers, first: int, keys, kind: str):
+    """Answers to the questions of one kind, in the order of ``keys``."""
+    import numpy as np
+
+    rows = sorted((b, x) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist()) if first <= b < first + (1 << 24))
+    out = np.empty(len(keys), kind)
+    out[np.argsort(keys, kind="stable")] = np.concatenate([np.zeros(0, kind), *(_numbers(x, kind) for _, x in rows)])
+    return out
+
+
+def _totals(keys, extra, order, starts):
+    """Twice the sum of the chunks' counts; one more for the owner."""
+    import numpy as np
+
+    n = np.add.reduceat(extra[order].astype(np.uint64), starts) * np.uint64(2)
+    out = np.repeat(n, np.diff(starts, append=len(order)))
+    out[starts] += np.uint64(1)
+    return out
+
+
+def _weight(seen, lower):
+    """Backoff weight, as log10, of contexts whose arcs have the probability ``seen``, and ``lower`` in the shorter context."""
+    import numpy as np
+
+    return np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - lower, 1e-12))
+
+
+def _weights(keys, extra, order, starts):
+    import numpy as np
+
+    seen, lower = np.add.reduceat(extra.reshape(-1, 2)[order], starts, axis=0).T
+    return np.repeat(_weight(seen, lower), np.diff(starts, append=len(order)))
+
+
+def _tally(batches):
+    """Tokens and distinct words of the training documents, from the answers to the words' owners."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        said = np.concatenate([np.zeros(0, np.uint64), *(_numbers(x, "u8") for x in texts(b.column(0)))])
+        counts = said[said & np.uint64(1) == 1] >> np.uint64(1)
+        yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())], pa.int64()), pa.array([int((counts > 0).sum())], pa.int64())], ["n", "v"])
+
+
+class Part:
+    """A chunk's texts one after the other as begin, words, end; its distinct words and pairs; with answers, more."""
+
+    def __init__(self, table):
+        import hashlib
+
+        import numpy as np
+
+        split = [t.lower().split() for t in texts(table.column("text"))]
+        known = {w: k for k, w in enumerate(dict.fromkeys([END, *(w for s in split for w in s)]))}
+        self.lengths = np.array([len(s) + 2 for s in split], np.int64)
+        begin, flat = len(known), []
+        for s in split:
+            flat.append(begin)
+            flat += map(known.__getitem__, s)
+            flat.append(0)
+        self.k, self.seq = begin + 1, np.array(flat, np.int64)
+        self.hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in [*known, b"\n"]), np.uint64)
+        self.text = np.repeat(np.arange(len(split)), self.lengths)
+        training = ~np.array(table.column("held_out").to_pylist(), bool)
+        self.training = training[self.text]
+        self.words = np.bincount(self.seq[self.training], minlength=self.k)[:begin]  # counts in this chunk's training texts
+        inside = np.flatnonzero(self.seq[1:] != begin)
+        self.pairs, self.pair_at = np.unique(self.seq[inside] * self.k + self.seq[inside + 1], return_inverse=True)
+        self.pair_counts = np.bincount(self.pair_at[self.training[inside]], minlength=len(self.pairs))
+        self.inside = inside
+        self.pair_keys = _joined(self.hashes[self.pairs // self.k], self.hashes[self.pairs % self.k])
+
+    def counted(self, answers, min_count: int) -> None:
+        """Corpus counts of words and pairs; the pairs that are arcs, and the triples that could be."""
+        import numpy as np
+
+        self.words = (_said(answers, WORDS, self.hashes[:-1], "u8") >> np.uint64(1)).astype(np.int64)
+        said = _said(answers, PAIRS, self.pair_keys, "u8")
+        arc = said >= 2 * min_count
+        place = np.full(len(self.seq), -1)  # the arc that begins at a token
+        place[self.inside] = np.where(arc, np.cumsum(arc) - 1, -1)[self.pair_at]
+        self.pairs, self.pair_keys, said = self.pairs[arc], self.pair_keys[arc], said[arc]
+        self.pair_counts, self.own_pairs = (said >> np.uint64(1)).astype(np.int64), (said & np.uint64(1)).astype(float)
+        at = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
+        triples, triple_at = np.unique(place[at] * self.k + self.seq[at + 2], return_inverse=True)
+        self.triple_counts = np.bincount(triple_at[self.training[at]], minlength=len(triples))
+        self.head, self.last = triples // self.k, triples % self.k
+        self.triple_keys = _joined(self.pair_keys[self.head], self.hashes[self.last])
+
+    def completed(self, answers, min_count: int) -> None:
+        """Corpus counts of triples; those that are arcs."""
+        import numpy as np
+
+        said = _said(answers, TRIPLES, self.triple_keys, "u8")
+        arc = said >= 2 * min_count
+        self.head, self.last, said = self.head[arc], self.last[arc], said[arc]
+        self.triple_counts, self.own_triples = (said >> np.uint64(1)).astype(np.int64), (said & np.uint64(1)).astype(float)
+        self.context_keys = np.concatenate([C.mixed(self.hashes + np.uint64(1)), self.pair_keys])
+
+    def automaton(self, begins: int, total: int, distinct: int, weights=None) -> Automaton:
+        return Automaton(self.words, begins, total, distinct, self.pairs, self.pair_counts, (self.head, self.last), self.triple_counts, weights)
 
 
 class Automaton:
-    """Arcs sorted by (state, word), failure arcs, weights as log10."""
+    """Arcs sorted by (state, word), failure arcs, weights as log10.
+
+    Counts are those of the corpus; words, pairs and triples may be a part of the model, then ``weights`` has the backoff
+    weights of its contexts (words, begin, pairs).  Triples are ``pair code * k + word`` or (places of pairs, words)."""
 
-    def __init__(self, counts, begins: int, total: int, distinct: int, pairs, pair_counts, triples, triple_counts):
+    def __init__(self, counts, begins: int, total: int, distinct: int, pairs, pair_counts, triples, triple_counts, weights=None):
         import numpy as np
 
         words = len(counts)
@@ -120,26 +243,17 @@ class Automaton:
         before = np.append(counts, begins).astype(float)  # how often a word (or begin) is followed by something
         a, b = pairs // k, pairs % k
         p2 = (pair_counts - DISCOUNT) / before[a]
-        context, c = triples // k, triples % k
-        which = np.searchsorted(pairs, context)
+        which, c = triples if isinstance(triples, tuple) else (np.searchsorted(pairs, triples // k), triples % k)
         p3 = (triple_counts - DISCOUNT) / pair_counts[which]
-        shorter = p2[np.searchsorted(pairs, b[which] * k + c)]
-        heads = np.unique(which)  # pairs that are states
-        state_of = np.full(len(pairs), -1)
-        state_of[heads] = 1 + k + np.arange(len(heads))
-        n = 1 + k + len(heads)
-        rest = lambda group, seen, lower, size: np.log10(
-            np.maximum(1 - np.bincount(group, seen, size), 1e-12) / np.maximum(1 - np.bincount(group, lower, size), 1e-12))
-        self.weight = np.zeros(n)
-        self.weight[1 : 1 + k] = rest(a, p2, p1[b], k)
-        at = state_of[which] - 1 - k
-        self.weight[1 + k :] = rest(at, p3, shorter, len(heads))
-        self.fail = np.concatenate([np.zeros(1 + k, np.int64), 1 + b[heads]])
-        follow = np.where(state_of >= 0, state_of, 1 + b)
-        # triples lead to the pair of their last two words
-        last = follow[np.searchsorted(pairs, b[which] * k + c)]
-        self.arc = np.concatenate([np.arange(words), (1 + a) * k + b, state_of[which] * k + c])
-        self.next = np.concatenate([1 + np.arange(words), follow, last]).astype(np.int32)
+        shorter = np.searchsorted(pairs, b[which] * k + c)  # the pair of a triple's last two words
+        n = 1 + k + len(pairs)
+        self.seen = lambda pair, triple: np.stack([  # noqa: E731  arcs of each context: their probability, and that in the shorter context
+            np.concatenate([np.bincount(a, p2 * pair, k), np.bincount(which, p3 * triple, len(pairs))]),
+            np.concatenate([np.bincount(a, p1[b] * pair, k), np.bincount(which, p2[shorter] * triple, len(pairs))])], axis=1)
+        self.weight = np.concatenate([[0.0], _weight(*self.seen(1.0, 1.0).T) if weights is None else weights])
+        self.fail = np.concatenate([np.zeros(1 + k, np.int64), 1 + b])
+        self.arc = np.concatenate([np.arange(words), (1 + a) * k + b, (1 + k + which) * k + c])
+        self.next = np.concatenate([1 + np.arange(words), np.arange(1 + k, n), 1 + k + shorter]).astype(np.int32)
         self.log = np.concatenate([np.log10(p1), np.log10(p2), np.log10(p3)])
         order = np.argsort(self.arc)
         self.arc, self.next, self.log = self.arc[order], self.next[order], self.log[order]
@@ -148,7 +262,7 @@ class Automaton:
         self.log1 = np.log10(p1)
 
     def traverse(self, seq, lengths):
-        """Log10 probability of each text of ``_coded``; words outside the automaton cost the way to the root alone."""
+        """Log10 probability of each text; a word of -1 costs the way to the root alone."""
         import numpy as np
 
         first = np.cumsum(lengths) - lengths
@@ -184,85 +298,57 @@ class Automaton:
         return np.bincount(text, total, len(lengths))
 
 
-def _score(shared):
-    def run(batches):
-        from collections import Counter
+def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", *, min_count: int = MIN_COUNT) -> DataFrame:
+    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row; scores are log10 probabilities."""
+    min_count = max(1, min_count)
+    corpus = Texts(docs, id, text)
+    begins = corpus.table.where("not held_out").count()
+    bits = {WORDS: corpus.bits(0.02), PAIRS: corpus.bits(0.1), TRIPLES: corpus.bits(0.06), CONTEXTS: corpus.bits(0.08)}
+
+    def words_and_pairs(table, _):
+        import numpy as np
+
+        part, chunk = Part(table), table.column("chunk")[0].as_py()
+        return C.as_table(
+            _asked(chunk, WORDS, part.hashes[:-1], bits[WORDS], part.words.astype(np.uint32), "u4")
+            + _asked(chunk, PAIRS, part.pair_keys, bits[PAIRS], part.pair_counts.astype(np.uint32), "u4"), C.MESSAGE)
+
+    def triples(table, answers):
+        import numpy as np
+
+        part = Part(table)
+        part.counted(answers, min_count)
+        return C.as_table(_asked(table.column("chunk")[0].as_py(), TRIPLES, part.triple_keys, bits[TRIPLES], part.triple_counts.astype(np.uint32), "u4"), C.MESSAGE)
+
+    counts = _round(corpus.map(words_and_pairs, C.MESSAGE), _totals, "u4", "u8", "lm-counts")
+    tally = counts.where(f"bucket >= {WORDS} and bucket < {TRIPLES}").select("keys").mapInArrow(_tally, "n bigint, v bigint")
+    total, distinct = tally.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    counts = counts.union(_round(corpus.map_with(counts, triples, C.MESSAGE), _totals, "u4", "u8", "lm-triples"))
 
+    def contexts(table, answers):
+        part = Part(table)
+        part.counted(answers, min_count)
+        part.completed(answers, min_count)
+        seen = part.automaton(begins, total, distinct).seen(part.own_pairs, part.own_triples)
+        return C.as_table(_asked(table.column("chunk")[0].as_py(), CONTEXTS, part.context_keys, bits[CONTEXTS], seen, "f8"), C.MESSAGE)
+
+    answers = counts.union(_round(corpus.map_with(counts, contexts, C.MESSAGE), _weights, "f8", "f8", "lm-weights"))
+
+    def scores(table, answers):
         import numpy as np
         import pyarrow as pa
 
-        words, automaton = shared.value
-        known = {w: k for k, w in enumerate(words)}
-        for b in batches:
-            body, rows, at = texts(b.column(1)), b.column(0), 0
-            while at < len(body):
-                end, size = at, 0
-                while end < len(body) and (end == at or size + len(body[end]) // 5 < BATCH_TOKENS):
-                    size += len(body[end]) // 5
-                    end += 1
-                seq, lengths = _coded(body[at:end], known)
-                score = automaton.traverse(seq, lengths)
-                text = np.repeat(np.arange(len(lengths)), lengths)
-                is_known = (seq >= 0) & (seq < len(words))
-                base = np.bincount(text[is_known], automaton.log1[seq[is_known]], len(lengths))
-                n_known = np.bincount(text[is_known], minlength=len(lengths))
-                rare = [Counter(w for w in t.lower().split() if w not in known) for t in body[at:end]]
-                if END not in known:
-                    for c in rare:
-                        c[END] += 1
-                offsets = np.concatenate([[0], np.cumsum([len(c) for c in rare])]).astype(np.int32)
-                names = pa.array([w for c in rare for w in c], pa.binary()).cast(pa.string())
-                numbers = pa.array([n for c in rare for n in c.values()], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.slice(at, end - at), pa.array(lengths - 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score),
-                     pa.ListArray.from_arrays(pa.array(offsets), names), pa.ListArray.from_arrays(pa.array(offsets), numbers)],
-                    ["row", "n_tokens", "n_known", "base", "score", "words", "counts"])
-                at = end
-
-    return run
-
-
-def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", *, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
-    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row; scores are log10 probabilities."""
-    import numpy as np
+        part = Part(table)
+        part.counted(answers, min_count)
+        part.completed(answers, min_count)
+        automaton = part.automaton(begins, total, distinct, _said(answers, CONTEXTS, part.context_keys, "f8"))
+        word = part.seq < part.k - 1
+        of, seq, n = part.text[word], part.seq[word], len(part.lengths)
+        known = np.bincount(of[part.words[seq] > 0], minlength=n)
+        return pa.table(
+            [table.column("id"), table.column("held_out"), pa.array(part.lengths - 1), pa.array(known.astype(np.int64)), pa.array([total] * n, pa.int64()),
+             pa.array(np.bincount(of, automaton.log1[seq], n)), pa.array(automaton.traverse(part.seq, part.lengths))],
+            names=[id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(id), F.col(text).cast("string").alias("text"), held_out(F.col(id)).alias("held_out"))
-    training = narrow.where("not held_out").select("text")
-    words = stored(training.mapInArrow(_count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    begins = training.count()
-
-    def often(counts: DataFrame, share: float) -> DataFrame:  # at most 1 / share rows
-        return counts.where(F.col("c") >= max(2, int(np.ceil(share * total))))
-
-    def numbers(counts: DataFrame) -> tuple:
-        table = counts.orderBy("key").toArrow()
-        return table.column("key").to_numpy().astype(np.int64), table.column("c").to_numpy().astype(np.int64)
-
-    listed = often(words, word_share).orderBy(F.desc("c"), "word").toArrow()
-    names = [w.encode() for w in listed.column("word").to_pylist()]
-    counts = listed.column("c").to_numpy().astype(np.int64)
-    grams = {}
-    for order in (2, 3):
-        shared = spark.sparkContext.broadcast((names, grams[2][0] if order == 3 else np.zeros(0, np.int64)))
-        found = training.mapInArrow(_grams(shared, order), "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
-        grams[order] = numbers(often(found, gram_share))
-    automaton = Automaton(counts, begins, total, distinct, *grams[2], *grams[3])
-    shared = spark.sparkContext.broadcast((names, automaton))
-
-    rows = narrow.withColumn("row", F.struct(F.col(id), F.monotonically_increasing_id().alias("n"), "held_out"))
     kind = docs.schema[id].dataType.simpleString()
-    parts = rows.select("row", "text").mapInArrow(
-        _score(shared), f"row struct<`{id}`: {kind}, n: bigint, held_out: boolean>, n_tokens bigint, n_known bigint, base double, score double, words array<string>, counts array<bigint>")
-    parts = stored(parts, "lm-parts")
-    z = total + 0.1 * (distinct + 1)
-    rare = parts.select(F.col("row.n").alias("n"), F.explode(F.arrays_zip("words", "counts")).alias("x")).select("n", F.col("x.words").alias("word"), F.col("x.counts").alias("m"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    looked_up = rare.join(words, "word", "left").groupBy("n").agg(
-        F.sum(F.col("m") * F.log10((c + 0.1) / F.lit(z))).alias("more"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("more_known"))
-    done = parts.withColumn("n", F.col("row.n")).drop("words", "counts").join(looked_up, "n", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return done.select(
-        f"row.{id}", "row.held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return corpus.map_with(answers, scores, f"`{id}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -379,6 +379,25 @@ def test_pieces_make_no_difference(monkeypatch):
     assert np.allclose(a.traverse(seq, lengths), want)
 
 
+@pytest.mark.parametrize("min_count", [1, 2, 3])
+def test_scores_do_not_depend_on_chunks(make, monkeypatch, min_count):
+    table = make(ROWS)
+    order = lambda rows: sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))
+    want = order(lm_scoring.scored(table, min_count=min_count).collect())
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 9_000)
+    got = order(lm_scoring.scored(table, min_count=min_count).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
+
+
+def test_rare_grams_stay_in_a_large_corpus(make):
+    """Words, pairs and triples seen twice among six million tokens."""
+    trained = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:32]
+    rows = [(i, "a " * 200_000) for i in trained[2:]] + [(i, "rare words stand") for i in trained[:2]]
+    got = {r.doc_id: r.score for r in lm_scoring.scored(make(rows)).where(F.col("doc_id").isin(trained[:2])).collect()}
+    want = math.log10(1.5 / 32) + 3 * math.log10(1.5 / 2)
+    assert all(math.isclose(got[i], want, rel_tol=1e-9) for i in trained[:2]), (got, want)
+
+
 # --- pages -----------------------------------------------------------------------------------------------
 
 
