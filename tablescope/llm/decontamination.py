@@ -11,8 +11,9 @@ a whole batch at once and left before the traversal.
 
 The index is sent to the tasks in shards of ``SHARD_ITEMS`` items of at most ``ITEM_WORDS`` words each; more items mean
 more passes over the documents, longer items are cut into pieces that are searched alone.  Terms are words of letters
-and digits in lower case.  Items with fewer than ``min_words`` terms are not searched: they would hit by chance.  Null
-texts have no terms.  Equal items are each found; rows with the same id report one best row for each item.
+and digits in lower case.  Items with fewer than ``min_words`` terms share too few terms to be ranked: with ``short`` they
+are found where a document has all of their terms, question and answer, one after the other, by a trie over the
+documents' terms; without it they are not searched.  Null texts have no terms.  Equal items are each found; rows with the same id report one best row for each item.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def halves(text: str) -> tuple[list[str], list[str]]:
 class Index:
     """Postings of one shard: per term, item numbers, impacts and block maxima."""
 
-    def __init__(self, items: list[tuple[object, str]], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[object, str]], k1: float = 1.2, b: float = 0.75, short: list[tuple[object, str]] = ()):
         self.ids = [i for i, _ in items]
         docs = [terms(t) for _, t in items]
         self.halves = [tuple(map(shingles, halves(t))) for _, t in items]
@@ -84,6 +85,8 @@ class Index:
             self.impacts.append(x)
             self.block_max.append([max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)])
             self.term_max.append(max(x))
+        self.ranked = len(self.number)  # terms from here on are those of short items alone, without postings
+        self.short_ids, self.short = [i for i, _ in short], [[self.number.setdefault(w, len(self.number)) for w in terms(t)] for _, t in short]
 
     def arrays(self) -> None:
         """Postings as arrays, for the bound on whole batches of passages; made where they are used."""
@@ -93,9 +96,19 @@ class Index:
         self.posting_ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
         self.posting_item = np.array([i for x in self.items for i in x], dtype=np.int64)
         self.posting_impact = np.array([i for x in self.impacts for i in x])
-        self.rare = np.array([*(n <= RARE for n in sizes), False])  # the last one for number -1
-        frequent = np.repeat(~self.rare[:-1], sizes)
+        self.rare = np.array([*(n <= RARE for n in sizes), *[False] * (len(self.number) - self.ranked), False])  # the last one for number -1
+        frequent = np.repeat(~self.rare[: self.ranked], sizes)
         self.frequent_share = np.bincount(self.posting_item[frequent], self.posting_impact[frequent], len(self.ids))
+        # the trie of short items: by depth, sorted keys of (node above, term), and the items that end at each node
+        nodes, self.trie = {(): 0}, []
+        for depth in range(1, max(map(len, self.short), default=0) + 1):
+            heads = sorted({(nodes[tuple(w[: depth - 1])], w[depth - 1], tuple(w[:depth])) for w in self.short if len(w) >= depth})
+            nodes |= {head: k for k, (_, _, head) in enumerate(heads)}
+            ends = [[] for _ in heads]
+            for k, w in enumerate(self.short):
+                if len(w) == depth:
+                    ends[nodes[tuple(w)]].append(k)
+            self.trie.append((np.array([above * len(self.number) + t for above, t, _ in heads], dtype=np.int64), ends))
 
     def search(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (item, score) with score at or above the threshold, by block-max WAND."""
@@ -204,8 +217,29 @@ def _open_passages(index: Index, numbers, ends, threshold: float):
     return owner, found - base[owner]
 
 
+def _short_hits(index: Index, numbers, ends) -> set[tuple]:
+    """(text, short item) pairs in which the text has the item's terms one after the other."""
+    import numpy as np
+
+    found, node, at = set(), np.zeros(len(numbers), dtype=np.int64), np.arange(len(numbers))
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    for depth, (keys, items) in enumerate(index.trie):
+        inside = at + depth < ends[text[at]]
+        at, node = at[inside], node[inside]
+        known = numbers[at + depth] >= 0
+        at, node = at[known], node[known]
+        key = node * len(index.number) + numbers[at + depth]
+        node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[node] == key
+        at, node = at[hit], node[hit]
+        last = np.array([bool(x) for x in items])[node]
+        for k, n in np.unique(np.stack([text[at[last]], node[last]]), axis=1).T.tolist():
+            found |= {(k, i) for i in items[n]}
+    return found
+
+
 def _best_hits(body: list[bytes], index: Index, words: _Words, threshold: float, overlap: float) -> list[tuple]:
-    """(text, item, score, question overlap, answer overlap): the best passage of each text for each item."""
+    """(text, item id, score, question overlap, answer overlap): the best passage of each text for each item."""
     split = [t.split() for t in body]
     coded = [list(map(words.codes.get, t)) for t in split]
     numbers, ends = words.terms_of([list(map(words.code, t)) if None in c else c for c, t in zip(coded, split)])
@@ -213,7 +247,7 @@ def _best_hits(body: list[bytes], index: Index, words: _Words, threshold: float,
     step, ready = index.longest, (-1, [])
     for k, p in zip(*(x.tolist() for x in _open_passages(index, numbers, ends, threshold - 1e-9))):
         begin = int(ends[k - 1]) if k else 0
-        query = sorted(set(numbers[begin + p * step : min(begin + (p + 2) * step, int(ends[k]))].tolist()) - {-1})
+        query = sorted(t for t in set(numbers[begin + p * step : min(begin + (p + 2) * step, int(ends[k]))].tolist()) if 0 <= t < index.ranked)
         found = index.search(query, threshold - 1e-9)
         if not found:
             continue
@@ -226,7 +260,8 @@ def _best_hits(body: list[bytes], index: Index, words: _Words, threshold: float,
             shares = [len(half & grams) / len(half) if half else 1.0 for half in index.halves[at]]
             if min(shares) >= overlap:
                 best[k, at] = max(best.get((k, at), (0.0,)), (score, *shares))
-    return [(k, at, *score) for (k, at), score in best.items()]
+    hits = [(k, index.ids[at], *score) for (k, at), score in best.items()]
+    return hits + [(k, index.short_ids[at], 1.0, 1.0, 1.0) for k, at in sorted(_short_hits(index, numbers, ends))]
 
 
 def _search(shard, threshold: float, overlap: float):
@@ -247,14 +282,14 @@ def _search(shard, threshold: float, overlap: float):
                         words = _Words(index)
             columns = [pa.array([h[i] for h in found], pa.float64()) for i in (2, 3, 4)]
             rows = pa.array([h[0] for h in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array([index.ids[h[1]] for h in found], run.kind), *columns], ["id", "item_id", "score", "question_overlap", "answer_overlap"])
+            yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array([h[1] for h in found], run.kind), *columns], ["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return run
 
 
 def contaminated(
     docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *,
-    threshold: float = 0.7, overlap: float = 0.8, min_words: int = 8,
+    threshold: float = 0.7, overlap: float = 0.8, min_words: int = 8, short: bool = False,
 ) -> DataFrame:
     """Rows ``(id, item_id, score, question_overlap, answer_overlap)``, one for each document and item found in it."""
     import pyarrow as pa
@@ -264,30 +299,35 @@ def contaminated(
     kinds = docs.schema[id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     kind = f"id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
     narrow = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    passes, shard = [], []
+    passes, shard, phrases = [], [], []
 
     def searched():
-        run = _search(spark.sparkContext.broadcast(Index(shard)), threshold, overlap)
+        run = _search(spark.sparkContext.broadcast(Index(shard, short=phrases)), threshold, overlap)
         run.kind = to_arrow_type(items.schema[item_id].dataType)
         passes.append(narrow.mapInArrow(run, kind))
 
     for row in items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator():
         words = terms(row.t)
         if len(words) < min_words:
+            if words and short:
+                phrases.append((row.i, row.t))
+                if len(phrases) == SHARD_ITEMS:
+                    searched()
+                    shard, phrases = [], []
             continue
         pieces = [row.t] if len(words) <= ITEM_WORDS else [" ".join(words[i : i + ITEM_WORDS]) for i in range(0, len(words), ITEM_WORDS)]
         for piece in pieces:
             shard.append((row.i, piece))
             if len(shard) == SHARD_ITEMS:
                 searched()
-                shard = []
-    if shard or not passes:
+                shard, phrases = [], []
+    if shard or phrases or not passes:
         searched()
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
     return reduce(DataFrame.union, passes).groupBy("id", "item_id").agg(best).select(F.col("id").alias(id), F.col("item_id"), "best.*")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in which no item was found, with their own columns."""
-    found = contaminated(docs, items, id, text, **options).select(F.col(id).alias("__id")).distinct()
+    """The rows of ``docs`` in which no item, short ones too, was found, with their own columns."""
+    found = contaminated(docs, items, id, text, **{"short": True} | options).select(F.col(id).alias("__id")).distinct()
     return docs.join(found, docs[id].eqNullSafe(found["__id"]), "left_anti")

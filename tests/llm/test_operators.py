@@ -276,6 +276,15 @@ def test_decontamination_in_shards(spark, monkeypatch):
     assert [r.doc_id for r in decontamination.drop_contaminated(docs, items, min_words=5).collect()] == [9]
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Who wrote it? Ada."), (2, "Yes."), (3, "one two three four five six seven"), (4, "... ?"), (5, None), (6, "who wrote it? Bob"), (7, " ".join(f"long{i}" for i in range(12)))]
+    docs = [(1, "before who WROTE it, ada after"), (2, "who wrote it"), (3, "ada who wrote it"), (4, "yes"), (5, "one two three four five six x seven"), (6, "a one two three four five six seven"), (7, items[6][1] + " yes"), (8, None), (9, "who wrote"), (10, "it ada")]
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontamination.contaminated(docs, items, short=True).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (4, 2), (6, 3), (7, 2), (7, 7)]
+    assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()) == [2, 3, 5, 8, 9, 10]
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
