@@ -10,7 +10,8 @@ Passages in which no item can reach the threshold, given its rare terms there an
 a whole batch at once and left before the traversal.
 
 The index is sent to the tasks in shards of ``SHARD_ITEMS`` items of at most ``ITEM_WORDS`` words each; more items mean
-more passes over the documents, longer items are cut into pieces that are searched alone.  Terms are words of letters
+more passes over the documents.  Longer items are searched as pieces of equal size; where one is found, the whole item is
+scored and its question and answer compared in the passages of twice the item's words around it.  Terms are words of letters
 and digits in lower case.  Items with fewer than ``min_words`` terms share too few terms to be ranked: with ``short`` they
 are found where a document has all of their terms, question and answer, one after the other, by a trie over the
 documents' terms; without it they are not searched.  Null texts have no terms.  Equal items are each found; rows with the same id report one best row for each item.
@@ -58,9 +59,16 @@ class Index:
     """Postings of one shard: per term, item numbers, impacts and block maxima."""
 
     def __init__(self, items: list[tuple[object, str]], k1: float = 1.2, b: float = 0.75, short: list[tuple[object, str]] = ()):
-        self.ids = [i for i, _ in items]
-        docs = [terms(t) for _, t in items]
-        self.halves = [tuple(map(shingles, halves(t))) for _, t in items]
+        self.ids, docs, self.halves, self.whole = [], [], [], []
+        for i, t in items:
+            words, both = terms(t), tuple(map(shingles, halves(t)))
+            n = max(1, -(-len(words) // ITEM_WORDS))
+            whole = [len(words), {}, len(docs)] if n > 1 else None  # terms, raw impact of each, first piece
+            for k in range(n):
+                self.ids.append(i)
+                docs.append(words[k * len(words) // n : (k + 1) * len(words) // n])
+                self.halves.append(both)
+                self.whole.append(whole)
         n, mean = len(docs), sum(map(len, docs)) / max(1, len(docs))
         self.longest = max(map(len, docs), default=1)
         counts: dict[str, dict[int, int]] = {}
@@ -73,9 +81,11 @@ class Index:
             for w, of in counts.items()
         }
         own = [0.0] * n
-        for of in impact.values():
+        for w, of in impact.items():
             for at, x in of.items():
                 own[at] += x
+                if self.whole[at]:
+                    self.whole[at][1][w] = self.whole[at][1].get(w, 0.0) + x
         self.number = {w: k for k, w in enumerate(impact)}
         self.items, self.impacts, self.block_max, self.term_max = [], [], [], []
         for of in impact.values():
@@ -238,13 +248,31 @@ def _short_hits(index: Index, numbers, ends) -> set[tuple]:
     return found
 
 
+def _whole_hits(index: Index, at: int, words: list[str], start: int, stop: int, threshold: float, overlap: float, seen: tuple):
+    """Score and overlaps of the whole item of piece ``at`` in its own passages that meet ``start`` to ``stop``."""
+    n, impact, first = index.whole[at]
+    for q in range(max(0, start // n - 1), min(stop, len(words)) // n + 1):
+        if (seen[0], first, q) in seen[1]:
+            continue
+        seen[1].add((seen[0], first, q))
+        here = words[q * n : (q + 2) * n]
+        score = sum(impact.get(w, 0.0) for w in set(here)) / sum(impact.values())
+        if score < threshold - 1e-9:
+            continue
+        sizes = {len(g) for half in index.halves[at] for g in half}
+        grams = {tuple(here[i : i + m]) for m in sizes for i in range(len(here) - m + 1)}
+        shares = [len(half & grams) / len(half) if half else 1.0 for half in index.halves[at]]
+        if min(shares) >= overlap:
+            yield score, *shares
+
+
 def _best_hits(body: list[bytes], index: Index, words: _Words, threshold: float, overlap: float) -> list[tuple]:
     """(text, item id, score, question overlap, answer overlap): the best passage of each text for each item."""
     split = [t.split() for t in body]
     coded = [list(map(words.codes.get, t)) for t in split]
     numbers, ends = words.terms_of([list(map(words.code, t)) if None in c else c for c, t in zip(coded, split)])
     best: dict[tuple, tuple] = {}
-    step, ready = index.longest, (-1, [])
+    step, ready, judged = index.longest, (-1, []), set()
     for k, p in zip(*(x.tolist() for x in _open_passages(index, numbers, ends, threshold - 1e-9))):
         begin = int(ends[k - 1]) if k else 0
         query = sorted(t for t in set(numbers[begin + p * step : min(begin + (p + 2) * step, int(ends[k]))].tolist()) if 0 <= t < index.ranked)
@@ -253,6 +281,11 @@ def _best_hits(body: list[bytes], index: Index, words: _Words, threshold: float,
             continue
         if ready[0] != k:
             ready = k, [t for w in split[k] for t in terms(w.decode("utf-8", "replace"))]
+        for at, _ in found:
+            if index.whole[at]:
+                for hit in _whole_hits(index, at, ready[1], p * step, (p + 2) * step, threshold, overlap, (k, judged)):
+                    best[k, index.whole[at][2]] = max(best.get((k, index.whole[at][2]), (0.0,)), hit)
+        found = [x for x in found if not index.whole[x[0]]]
         here = ready[1][p * step : (p + 2) * step]
         sizes = {len(g) for at, _ in found for half in index.halves[at] for g in half}
         grams = {tuple(here[i : i + n]) for n in sizes for i in range(len(here) - n + 1)}
@@ -315,12 +348,10 @@ def contaminated(
                     searched()
                     shard, phrases = [], []
             continue
-        pieces = [row.t] if len(words) <= ITEM_WORDS else [" ".join(words[i : i + ITEM_WORDS]) for i in range(0, len(words), ITEM_WORDS)]
-        for piece in pieces:
-            shard.append((row.i, piece))
-            if len(shard) == SHARD_ITEMS:
-                searched()
-                shard, phrases = [], []
+        shard.append((row.i, row.t))
+        if len(shard) == SHARD_ITEMS:
+            searched()
+            shard, phrases = [], []
     if shard or phrases or not passes:
         searched()
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")

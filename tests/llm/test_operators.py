@@ -285,6 +285,17 @@ def test_short_items_are_found_whole(spark):
     assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()) == [2, 3, 5, 8, 9, 10]
 
 
+def test_long_items_are_verified_whole(spark):
+    """A piece, or the item's last word, is not the item; the whole item is found, also with some words changed."""
+    words = [f"t{j}" for j in range(400)] + ["common"]
+    changed = ["x" if j % 100 == 7 else w for j, w in enumerate(words)]
+    docs = [(1, "a common word"), (2, "before " + " ".join(words) + " after"), (3, " ".join(words[:220])), (4, " ".join(f"y{j}" for j in range(1000)) + " " + " ".join(changed)), (5, " ".join(words[201:]))]
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(words)), (2, "some other item " * 4)], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontamination.contaminated(docs, items).collect()}
+    assert sorted(got) == [2, 4] and math.isclose(got[2].score, 1.0) and got[2].question_overlap == got[2].answer_overlap == 1.0
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).orderBy("doc_id").collect()] == [1, 3, 5]
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
