@@ -3,8 +3,9 @@
 The standard library's parser streams its events into lines (blocks: paragraphs, headings, list items, table rows).  Each
 line has a ratio, its characters by its tags; ratios are smoothed along the page by a Gaussian window and split into two
 clusters by a threshold (two means on a logarithmic scale).  Lines of the upper cluster vote, by their characters, for the
-innermost element that holds most of them; an ``article`` or ``main`` around it is taken in its stead.  The text is every
-line of that element, however short, so a paragraph of one word is kept; if no ``article`` or ``main`` marks the content,
+innermost element that holds most of them; an ``article`` or ``main`` around it is taken in its stead, or all of those
+inside it that got votes, if they hold as large a share together
+or a single line of up to ``LONE`` characters stands outside them.  The text is every line of that element, however short, so a paragraph of one word is kept; if no ``article`` or ``main`` marks the content,
 lines of the upper cluster outside the element count too.
 
 What says what it is does not take part: scripts, styles, menus, footers, side bars, forms, page headers, and elements whose
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.0  # lines
 VOTE = 0.8  # share of the upper cluster's characters that the element holds
+LONE = 200  # characters of a line that does not outvote an article
 #: Names of HTML elements by their role, and words that mark what is not content.
 SILENT = frozenset("script style noscript template head title svg canvas iframe object select option button textarea".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
@@ -197,11 +199,15 @@ def main_text(html: str | None) -> str:
     around = next(x[3] for x in upper if element in x[3])
     around = around[: around.index(element) + 1]
     named = [n for n in around if n in page.main]
-    if not named:  # the vote went wide of the mark: the marked element that got most, if it got any
-        named = sorted((n for n in page.main if votes.get(n)), key=lambda n: (-votes[n], n))[:1]
+    if not named:  # marked elements that hold the wanted share of the votes among them: all that got any
+        named = [n for n in page.main if votes.get(n)]
+        outside = [x[0] for x in upper if page.main.keys().isdisjoint(x[3])]
+        if sum(len(x[0]) for x in upper) - sum(map(len, outside)) < need and (len(outside) > 1 or len(outside[0]) > LONE):
+            named = []
+    else:
+        named = named[:1]
     if named:
-        element = named[0]
-        kept = [x for x in lines if element in x[3]]
+        kept = [x for x in lines if not set(named).isdisjoint(x[3])]
     else:
         chosen = set(map(id, upper))
         kept = [x for x in lines if element in x[3] or id(x) in chosen]

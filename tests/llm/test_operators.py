@@ -557,3 +557,12 @@ def test_odd_tables(spark, name):
     if name in ("lines", "one_of_each", "leaks", "keep"):
         assert set(docs.columns) <= set(got[0].asDict())
     assert CALLS[name](docs.where("false"), spark).collect() == []
+
+
+def test_articles_need_the_votes():
+    story = [f"Paragraph {i} of the story, which goes on for long enough to be told from a menu or a teaser line." for i in range(8)]
+    teasers = "".join(f"<article><a href=x>Other story {i} has a teaser that is rather long too, but it is one</a></article>" for i in range(2))
+    page = "<html><body><div>" + "".join(f"<p>{x}</p>" for x in story) + f"</div>{teasers}</body></html>"
+    assert set(story) <= set(html_text.main_text(page).split("\n"))
+    page = "<html><body><nav><a>One</a></nav>" + "".join(f"<article><p>{x}</p></article>" for x in story) + "</body></html>"
+    assert html_text.main_text(page).split("\n") == story
