@@ -9,7 +9,9 @@ or a single line of up to ``LONE`` characters stands outside them.  The text is
 lines of the upper cluster outside the element count too.
 
 What says what it is does not take part: scripts, styles, menus, footers, side bars, forms, page headers, and elements whose
-class, id or role names an advert, notice, menu, comment section or the like.
+class, id or role names an advert, notice, menu, comment section or the like.  Words in class and id do not count on a page
+where they would take the wanted share of the upper cluster.  A head without end tag ends at the first element of the
+body, other silent elements at the latest where the element around them does.
 
 Null or empty html, and pages without text, give an empty text.  White space inside a line becomes one space, lines are
 joined by a line feed; nothing else is shortened.  A tag or comment that the page's end cuts off is left out.
@@ -30,6 +32,7 @@ LONE = 200  # characters of a line that does not outvote an article
 #: Names of HTML elements by their role, and words that mark what is not content.
 SILENT = frozenset("script style noscript template head title svg canvas iframe object select option button textarea".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
+IN_HEAD = frozenset("head html base link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOXES = frozenset(
     "html body div section article main aside nav header footer form ul ol dl table thead tbody tfoot tr figure blockquote details fieldset dialog menu center".split()
@@ -46,18 +49,23 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def _marked(attrs) -> bool:
+SOFT = 2  # left out for a word in class or id alone
+
+
+def _marked(attrs) -> int:
+    """0, 1 or ``SOFT``."""
+    soft = 0
     for name, value in attrs:
         if name == "hidden" or (name == "role" and (value or "").lower() in ROLES) or (name == "aria-hidden" and value == "true"):
-            return True
+            return 1
         if name == "style" and "display:none" in (value or "").replace(" ", "").lower():
-            return True
+            return 1
         if name in ("class", "id") and value:
             for one in value.lower().split():
                 words = _WORD.findall(one)
                 if not MARKS.isdisjoint(words) and not {"has", "with", "no", "without", "content", "layout"} & set(words):
-                    return True
-    return False
+                    soft = SOFT
+    return soft
 
 
 class Page(HTMLParser):
@@ -69,64 +77,76 @@ class Page(HTMLParser):
         self.main: dict[int, str] = {}  # article and main elements
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # element, number, left out
         self.count, self.silent, self.text, self.tags, self.heading = 0, 0, [], 0, False
-        self.silent_tag = ""
+        self.silent_tag, self.line_tag, self.within = "", "", {}
 
     def _line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
                 name, _, out = self.open[-1]
-                out = out or (not self.heading and any(x[0] == "header" for x in self.open))
+                out = int(not self.heading and any(x[0] == "header" for x in self.open)) or out
                 self.lines.append((text, self.tags, out, tuple(x[1] for x in self.open)))
                 self.tags = 0
             self.text = []
 
     def handle_starttag(self, tag, attrs):
+        if self.silent and self.silent_tag == "head" and tag not in IN_HEAD:
+            self.silent = 0  # its end tag may be left out
         if self.silent:
             self.silent += tag == self.silent_tag
+            self.within[tag] = self.within.get(tag, 0) + 1
             return
         self.tags += 1
         if tag in SILENT:
-            self.silent, self.silent_tag = 1, tag
+            self.silent, self.silent_tag, self.within = 1, tag, {}
         elif tag == "br":
             self.text.append(" ")
         elif tag in BOXES:
             self._line()
-            self.heading = False
+            self.heading, self.line_tag = False, ""
             self.count += 1
             out = self.open[-1][2]
             if tag in ("article", "main"):
-                out = _marked(attrs) or (out and (tag == "article" or "main" in self.main.values()))
+                out = out if tag == "article" or "main" in self.main.values() else 0
+                out = 1 if out == 1 else _marked(attrs) or out
                 if not out:
                     self.main[self.count] = tag
             elif tag not in ("html", "body"):
                 inside = any(x[1] in self.main for x in self.open)
-                out = out or tag in OUTSIDE or (tag == "header" and not inside) or _marked(attrs)
+                hard = tag in OUTSIDE or (tag == "header" and not inside)
+                out = 1 if out == 1 or hard else _marked(attrs) or out
             self.open.append((tag, self.count, out))
         elif tag in LINES:
             if tag in ("td", "th"):
                 self.text.append(" ")
                 return
             self._line()
-            self.heading = tag in HEADINGS
-            if attrs and _marked(attrs):
+            self.heading, self.line_tag = tag in HEADINGS, tag
+            if attrs and (out := _marked(attrs)):
                 self.count += 1
-                self.open.append((tag, self.count, True))
+                self.open.append((tag, self.count, 1 if self.open[-1][2] == 1 else out))
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
+        if tag == "svg":  # the slash ends an element of SVG
+            self.tags += not self.silent
         else:
             self.handle_starttag(tag, attrs)  # as browsers do, the slash says nothing
 
     def handle_endtag(self, tag):
         if self.silent:
-            self.silent -= tag == self.silent_tag
-            return
+            if tag == self.silent_tag:
+                self.silent -= 1
+                return
+            if self.within.get(tag):
+                self.within[tag] -= 1
+                return
+            if tag != self.line_tag and all(x[0] != tag for x in self.open):
+                return
+            self.silent = 0  # the element around it ends
         self.tags += 1
         if tag in BOXES or (tag in LINES and tag not in ("td", "th")):
             self._line()
-            self.heading = False
+            self.heading, self.line_tag = False, ""
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k][0] == tag:
                     del self.open[k:]
@@ -183,6 +203,13 @@ def main_text(html: str | None) -> str:
     page.feed(_whole(html))
     page.close()
     page._line()
+    ratios = [0.0 if out == 1 else math.log1p(len(text) / max(1, tags)) for text, tags, out, _ in page.lines]
+    if ratios:  # class words do not count where they would take the wanted share of the upper cluster
+        smooth = _smoothed(ratios)
+        cut = _threshold(smooth)
+        upper = [x for x, s in zip(page.lines, smooth) if s >= cut and x[2] != 1]
+        if sum(len(x[0]) for x in upper if x[2]) >= VOTE * sum(len(x[0]) for x in upper):
+            page.lines = [(text, tags, out == 1, around) for text, tags, out, around in page.lines]
     lines = [x for x in page.lines if not x[2]]
     if not lines:
         return ""

@@ -566,3 +566,19 @@ def test_articles_need_the_votes():
     assert set(story) <= set(html_text.main_text(page).split("\n"))
     page = "<html><body><nav><a>One</a></nav>" + "".join(f"<article><p>{x}</p></article>" for x in story) + "</body></html>"
     assert html_text.main_text(page).split("\n") == story
+
+
+def test_silent_elements_end():
+    story = "A paragraph of the story that is long enough to be told from the rest of the page."
+    for page in (f"<html><head><title>T</title><meta name=a><p>{story}</p>", f"<head><title>T</title><body><p>{story}</p></body>", f"<div><svg class=icon /><p>{story}</p></div>",
+                 f"<div><div><button>Buy</div><p>{story}</p></div>", f"<div><p><button>Buy</p><p>{story}</p></div>"):
+        assert html_text.main_text(page) == story, page
+    assert html_text.main_text(f"<div><svg><g><svg/></g><text>no</text></svg><p>{story}</p></div>") == story
+
+
+def test_marked_wrappers_of_the_story():
+    story = [f"Paragraph {i} of the story, which goes on for long enough to be told from a menu or a teaser line." for i in range(8)]
+    page = "<body><nav>One</nav>" + "".join(f'<div class="elementor-widget-container"><p>{x}</p></div>' for x in story) + "<p>Short end</p></body>"
+    assert set(story) <= set(html_text.main_text(page).split("\n"))
+    page = f'<body><div class="text"><p>{"</p><p>".join(story)}</p></div><div class="widget"><p>{story[0].upper()}</p></div></body>'
+    assert html_text.main_text(page).split("\n") == story
