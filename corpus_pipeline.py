@@ -22,8 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 characters or more in three or more documents stay in the last of them only."""
+    """Lines of 20 characters or more in three or more documents stay in the last of them only.
+
+    Documents that lose all of their words by that go: their lines are in others.  Those without words before stay."""
     done = line_dedup.drop_repeated_lines(docs, min_docs=3, min_chars=20)
+    done = done.where((F.col("n_dropped") == 0) | F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\x0B\f\r]"))
     return done.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

@@ -582,3 +582,13 @@ def test_marked_wrappers_of_the_story():
     assert set(story) <= set(html_text.main_text(page).split("\n"))
     page = f'<body><div class="text"><p>{"</p><p>".join(story)}</p></div><div class="widget"><p>{story[0].upper()}</p></div></body>'
     assert html_text.main_text(page).split("\n") == story
+
+
+def test_pipeline_drops_documents_emptied_by_line_dedup(spark):
+    import corpus_pipeline
+
+    copy = "This line is long enough to be dropped\nand so is this one, which follows it\n"
+    rows = [(i, copy) for i in range(5)] + [(5, copy + "own"), (6, ""), (7, None), (8, " \n"), (9, "short")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert {i: (t or "").strip() for i, t in got.items()} == {5: copy + "own", 6: "", 7: "", 8: "", 9: "short"}
