@@ -25,12 +25,12 @@ KINDS = {
 }
 
 
-def difference(spark, db, sf_dir: str, name: str) -> str | None:
+def difference(spark, db, sf_dir: str, name: str, queries: dict = QUERIES, oracles: dict = ORACLES) -> str | None:
     """None if rows, column names, types and values agree, else what differs."""
-    got = QUERIES[name](spark, sf_dir)
-    if name not in ORACLES:
+    got = queries[name](spark, sf_dir)
+    if name not in oracles:
         return None if got.count() else "no rows"
-    want = db.sql(ORACLES[name])
+    want = db.sql(oracles[name])
     columns = sorted(got.columns)
     if columns != sorted(want.columns):
         return f"columns {columns} against {sorted(want.columns)}"

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import connect, difference
+from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,8 +21,9 @@ def test_entry(spark):
 
 def test_every_key_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     assert difference(spark, db, SF_DIR, name) is None
