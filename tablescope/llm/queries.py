@@ -10,7 +10,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard_join, line_dedup, lm_scoring, mixing, passage_dedup, quality_rules, suffix_dedup, warc
+from . import alignment, decontamination, divergence, html_text, jaccard_join, line_dedup, lm_scoring, mixing, passage_dedup, quality_rules, string_kernel
+from . import suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,4 +120,40 @@ def op9_suffix_dedup(spark, sf_dir):
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op11_source_divergence", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+cnt AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term),
+lang_cnt AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM cnt GROUP BY lang, term),
+size AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM lang_cnt GROUP BY lang),
+grp AS (SELECT d.lang, d.source, coalesce((SELECT sum(n) FROM cnt c WHERE c.lang = d.lang AND c.source = d.source), 0)::HUGEINT AS total
+    FROM (SELECT DISTINCT lang, source FROM d) d),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.total + s.v) AS p
+    FROM grp g JOIN size s USING (lang) JOIN kept k USING (lang) LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 1)) // (total + v) AS q FROM lang_cnt JOIN size USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM terms),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS k FROM ranked)
+SELECT lang, source, part, item, value::BIGINT AS value, k::INTEGER AS rank FROM numbered WHERE part = 'pair' OR k <= 200
+""")
+def op11_source_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents", "text", "lang", "source"), min_docs=3, top_terms=200)
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark, sf_dir):
+    return alignment.aligned(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op13_language_id")
+def op13_language_id(spark, sf_dir):
+    return string_kernel.identified(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), folds=5)
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
