@@ -168,13 +168,17 @@ def learned(docs: DataFrame, train: Column, *, text: str = "text", lang: str = "
     """A classifier's state from the rows of ``train`` with a language and a letter, or None without any."""
     body = F.col(text).cast("string")
     rows = docs.where(train & F.col(lang).isNotNull() & body.rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(body).alias("h"), body.alias("text"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.02).alias("texts"))
+    common = counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not common:
         return None
     each = max(2, sample_rows // len(common))
     names = sorted((r.lang for r in common), key=str.encode)
+    # of a language with many texts, only about twice the wanted number have hashes that small
+    ends = [(r.lang, min(2**63 - 1, int(2**64 * (2 * each + 50) / max(1, r.texts)) - 2**63)) for r in common]
+    top = F.broadcast(docs.sparkSession.createDataFrame(ends, "lang string, top bigint"))
     order = Window.partitionBy("lang").orderBy("h")
-    least = rows.where(F.col("lang").isin(names)).select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
+    least = rows.join(top, "lang").where("h <= top").select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
     keys = stored(least.select("lang", "h"), "language-sample")
     sample = rows.join(F.broadcast(keys), ["lang", "h"]).select("lang", "text", "h")  # at most SAMPLE_ROWS keys
     grams = sample.dropDuplicates(["lang", "h"]).orderBy("lang", "h").select("lang", "text").mapInArrow(_grams, "lang string, grams binary")
