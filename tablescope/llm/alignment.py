@@ -1,10 +1,12 @@
 """Cross-tokenizer alignment by whitespace-token anchors.
 
 Every text is encoded whole by two tokenizers: A, a byte-level BPE, gets a space and the text, B, a piece model, adds that
-space itself.  Both token sequences then spell the same bytes; where they do not, the text has no tokens.  Byte offsets at
+space itself.  Where the ids of A's vocabulary are its merge ranks, as in all vocabularies of its kind, A runs on ranks, which
+gives the same ids in a quarter of the time (``Coders``).  Both token sequences then spell the same bytes; where they do not, the text has no tokens.  Byte offsets at
 which tokens of both end cut a text into groups.  Instead of walking every text, it is cut into windows at its anchors: offsets
 where both sequences end a token and both next tokens begin with a space.  What a window holds (groups, links, their
-spelling) depends on its token ids alone, so it is worked out once per pair of id tuples and looked up from then on.
+spelling) depends on its token ids alone, so it is worked out once per pair of id tuples (packed, 32 bits an id)
+and looked up from then on.
 
 A link is an occurrence pair of an A and a B token in one group.  Corpus-wide counts of linked id pairs go three ways:
 
@@ -24,10 +26,13 @@ One text is held in memory by one task with its tokens, about 60 bytes for each
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
 from array import array
 from collections import Counter
-from itertools import accumulate
+from itertools import chain
+from json import loads
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +44,13 @@ TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 8_000_000  # text of a block
 STEP_BYTES = 500_000  # text that is encoded at once
+#: -1 and -2, which stand between the 32-bit ids of A and those of B in a packed group, and after it.  Ids are below 2^24, so
+#: neither is found anywhere else when looked for from the left.
+BETWEEN, AFTER = b"\xff\xff\xff\xff", b"\xfe\xff\xff\xff"
+#: The fixed pattern by which byte-level vocabularies cut text before merging.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANK_RUN = 50_000  # runs of so many blanks are left to the other library, as their end is found by going back step by step
+LONG_BLANKS = re.compile(r"\s{%d}" % BLANK_RUN)
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -49,6 +61,26 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def ranked(config: dict):
+    """The byte-level BPE of a tokenizer file run by ranks, or None if its ids are not the ranks of its merges.
+
+    A merge's id is then the number of merges before it plus 256, so merging the pair with the smallest id is merging by rank.
+    """
+    import tiktoken
+
+    model, cut, spelled = config["model"], config["pre_tokenizer"] or {}, byte_level()
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    vocabulary = model["vocab"]
+    fits = model["type"] == "BPE" and not config["normalizer"] and not any(model.get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+    fits = fits and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    fits = fits and all(vocabulary.get(a + b) == 256 + k for k, (a, b) in enumerate(merges)) and {vocabulary.get(c) for c in spelled} == set(range(256))
+    if not fits:
+        return None
+    special = {t["content"] for t in config["added_tokens"]}
+    ranks = {bytes(map(spelled.__getitem__, entry)): k for entry, k in vocabulary.items() if entry not in special}
+    return tiktoken.Encoding("ranked", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Coders:
     """Both tokenizers, from the contents of their files, and the bytes of every id."""
 
@@ -61,6 +93,7 @@ class Coders:
 
         self.a = tokenizers.Tokenizer.from_str(json.decode())
         self.a.encode_special_tokens = True
+        self.ranked = ranked(loads(json))
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         spelled, special = byte_level(), {k: v.content for k, v in self.a.get_added_tokens_decoder().items()}
         entries = self.a.get_vocab(with_added_tokens=True)
@@ -71,18 +104,11 @@ class Coders:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
 
     def encoded(self, body: list[str]) -> tuple[list, list]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in body], add_special_tokens=False)], self.b.encode(body, num_threads=1)
-
-
-def groups_of(a: tuple, b: tuple, length_a, length_b) -> list[tuple[tuple, tuple]]:
-    """Groups of two token sequences that spell the same bytes: cut wherever tokens of both end."""
-    ends = {e: k for k, e in enumerate(accumulate(map(length_b.__getitem__, b)), 1)}
-    out, i, j = [], 0, 0
-    for k, e in enumerate(accumulate(map(length_a.__getitem__, a)), 1):
-        if e in ends:
-            out.append((a[i:k], b[j : ends[e]]))
-            i, j = k, ends[e]
-    return out
+        spaced = [" " + t for t in body]
+        slow = [k for k, t in enumerate(spaced) if self.ranked is None or (len(t) > BLANK_RUN and LONG_BLANKS.search(t))]
+        plain = dict(zip(slow, self.a.encode_batch_fast([spaced[k] for k in slow], add_special_tokens=False)))
+        a = [plain[k].ids if k in plain else self.ranked.encode_ordinary(t) for k, t in enumerate(spaced)]
+        return a, self.b.encode(body, num_threads=1)
 
 
 class Block:
@@ -92,43 +118,44 @@ class Block:
         import numpy as np
 
         self.coders, self.number, self.spell = coders, number, spell
-        self.length_a, self.length_b = [len(x) for x in coders.bytes_a], [len(x) for x in coders.bytes_b]
-        self.sizes = [np.array(x, np.int64) for x in (self.length_a, self.length_b)]
+        self.sizes = [np.array([len(x) for x in y], np.int64) for y in (coders.bytes_a, coders.bytes_b)]
         self.marked = [np.array([x[:1] == b" " for x in y]) for y in (coders.bytes_a, coders.bytes_b)]
-        self.windows: dict[tuple, int] = {}
-        self.known: dict[tuple, tuple] = {}  # groups, likewise
+        self.windows: dict[bytes, int] = {}
         self.spelling: list[str] = []
-        self.groups, self.links, self.starts = array("q"), array("q"), array("q", [0])
+        self.groups, self.starts = array("q"), array("q", [0])  # of each window
+        self.known: dict[bytes, int] = {}  # groups, likewise
+        self.group_spelling: list[str] = []
+        self.pair, self.times, self.pair_starts = array("q"), array("q"), array("q", [0])  # of each group
+        self.links = array("q")
         self.pairs: dict[int, int] = {}
-        self.pair, self.times = array("q"), array("q")
         self.rows: list[tuple] = []
         self.held: list = []  # numbers of the pairs of each document
         self.bytes = 0
 
-    def group(self, key: tuple) -> tuple[str, int, tuple, tuple]:
-        """Spelling, links, numbers of the linked pairs and how often each is linked."""
-        a, b = key
-        found: dict[int, int] = {}
-        many = Counter(b).items() if len(b) > 1 else ((b[0], 1),)
-        for x, m in Counter(a).items() if len(a) > 1 else ((a[0], 1),):
+    def group(self, key: bytes) -> int:
+        """Number of a group that was not met before: its spelling, links, and the linked pairs with how often each is linked."""
+        a, b = (array("i", ids).tolist() for ids in key.split(BETWEEN))
+        many = Counter(b).items()
+        for x, m in Counter(a).items():
             for y, n in many:
-                found[self.pairs.setdefault(x << 32 | y, len(self.pairs))] = m * n
-        known = self.known[key] = f"{','.join(map(str, a))}|{','.join(map(str, b))}", len(a) * len(b), tuple(found), tuple(found.values())
-        return known
-
-    def window(self, key: tuple) -> int:
-        spelled, links, known, groups = [], 0, self.known, groups_of(*key, self.length_a, self.length_b)
-        for g in groups:
-            spelling, n, pair, times = known.get(g) or self.group(g)
-            spelled.append(spelling)
-            links += n
-            self.pair.extend(pair)
-            self.times.extend(times)
+                self.pair.append(self.pairs.setdefault(x << 32 | y, len(self.pairs)))
+                self.times.append(m * n)
+        self.pair_starts.append(len(self.pair))
+        self.links.append(len(a) * len(b))
+        number = self.known[key] = len(self.group_spelling)
+        self.group_spelling.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+        return number
+
+    def window(self, key: bytes) -> int:
+        known, group, numbers = self.known, self.group, []
+        for part in key.split(AFTER)[:-1]:
+            k = known.get(part)
+            numbers.append(group(part) if k is None else k)
         number = self.windows[key] = len(self.spelling)
-        self.spelling.append(";".join(spelled))
-        self.groups.append(len(groups))
-        self.links.append(links)
-        self.starts.append(len(self.pair))
+        spelling = self.group_spelling
+        self.spelling.append(";".join([spelling[k] for k in numbers]))
+        self.groups.extend(numbers)
+        self.starts.append(len(self.groups))
         return number
 
     def add(self, ids: list, raw: list[bytes]) -> None:
@@ -146,31 +173,39 @@ class Block:
         if not coded:
             return
         n_a, n_b = (np.array([len(c[k]) for c in coded]) for k in (0, 1))
-        flat = [[x for c in coded for x in c[k]] for k in (0, 1)]
-        a, b = (np.array(x, np.int64) for x in flat)
+        a, b = (np.fromiter(chain.from_iterable(c[k] for c in coded), np.int64, n.sum()) for k, n in enumerate((n_a, n_b)))
         end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
-        # anchors: shared ends before space-marked tokens of both, and the ends of documents (equal in both, as verified)
+        # groups end where tokens of both do; anchors are those ends before space-marked tokens of both, and the ends of
+        # documents (equal in both, as verified)
         at = np.searchsorted(end_b, end_a, side="right") - 1
         i = np.flatnonzero((at >= 0) & (end_b[at] == end_a))
-        next_a, next_b = np.append(a, a[-1])[i + 1], np.append(b, b[-1])[at[i] + 1]
-        last = np.cumsum(n_a) - 1
-        i = i[self.marked[0][next_a] & self.marked[1][next_b] | np.isin(i, last)]
         to_a, to_b = i + 1, at[i] + 1
-        edge = np.searchsorted(to_a, last + 1) + 1  # windows up to the end of each document
-        windows, new, (flat_a, flat_b) = self.windows, self.window, flat
-        met, p, q = [], 0, 0
-        for r, s in zip(to_a.tolist(), to_b.tolist()):
-            key = (tuple(flat_a[p:r]), tuple(flat_b[q:s]))
-            k = windows.get(key)
-            met.append(new(key) if k is None else k)
-            p, q = r, s
-        w = np.array(met)
+        next_a, next_b = np.append(a, a[-1])[to_a], np.append(b, b[-1])[to_b]
+        last = np.cumsum(n_a)
+        anchor = np.flatnonzero(self.marked[0][next_a] & self.marked[1][next_b] | np.isin(to_a, last)) + 1
+        edge = np.searchsorted(to_a[anchor - 1], last) + 1  # windows up to the end of each document
+        # all groups one after the other, ids of A, BETWEEN, ids of B, AFTER; a window's key is a stretch of it
+        size_a, size_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        offset = np.concatenate([[0], np.cumsum(size_a + size_b + 2)])
+        packed = np.empty(offset[-1], np.int32)
+        packed[np.arange(len(a)) + np.repeat(offset[:-1] - to_a + size_a, size_a)] = a
+        packed[np.arange(len(b)) + np.repeat(offset[:-1] + size_a + 1 - to_b + size_b, size_b)] = b
+        packed[offset[:-1] + size_a], packed[offset[1:] - 1] = -1, -2
+        packed, cuts = packed.tobytes(), (4 * offset[np.append(0, anchor)]).tolist()
+        keys = [packed[x:y] for x, y in zip(cuts, cuts[1:])]
+        met = list(map(self.windows.get, keys))
+        for k in [k for k, w in enumerate(met) if w is None]:
+            w = self.windows.get(keys[k])
+            met[k] = self.window(keys[k]) if w is None else w
         doc = np.repeat(np.arange(len(coded)), np.diff(edge, prepend=0))
-        starts, groups, links = (np.frombuffer(x, np.int64) for x in (self.starts, self.groups, self.links))
-        first, n = starts[w], starts[w + 1] - starts[w]
-        place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        pair, times = np.frombuffer(self.pair, np.int64)[place], np.frombuffer(self.times, np.int64)[place]
-        key = np.repeat(doc, n) << 32 | pair
+        group, of = _spread(np.array(met), self.starts, self.groups)
+        doc = doc[of]
+        links = np.frombuffer(self.links, np.int64)[group]
+        first = np.searchsorted(doc, np.arange(len(coded)))
+        n_groups, n_links = np.diff(first, append=len(doc)), np.add.reduceat(links, first)
+        pair, of = _spread(group, self.pair_starts, self.pair)
+        times, _ = _spread(group, self.pair_starts, self.times)
+        key = doc[of] << 32 | pair
         order = np.argsort(key, kind="stable")
         key = key[order]
         heads = np.flatnonzero(np.diff(key, prepend=-1))
@@ -179,8 +214,6 @@ class Block:
         pair = (key & 0xFFFFFFFF).astype(np.uint32)
         self.held.append(pair)
         begin = np.concatenate([[0], edge[:-1]])
-        n_groups, n_links = np.add.reduceat(groups[w], begin), np.add.reduceat(links[w], begin)
-        del starts, groups, links  # views keep the arrays from growing
         for k, i in enumerate(ids):
             text = ";".join([self.spelling[x] for x in met[begin[k] : edge[k]]])
             mine = slice(cut[k], cut[k + 1])
@@ -200,9 +233,21 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=schema)
 
 
+def _spread(which, starts: array, values: array):
+    """The stretches of ``values`` that ``which`` names, one after the other, and the place in ``which`` that each is of."""
+    import numpy as np
+
+    starts, values = np.frombuffer(starts, np.int64), np.frombuffer(values, np.int64)
+    first, n = starts[which], starts[which + 1] - starts[which]
+    of = np.repeat(np.arange(len(which)), n)
+    return values[np.arange(len(of)) + (first - np.cumsum(n) + n)[of]], of
+
+
 def _blocks(batches, files, block_bytes: int, spell: bool, names: list[str]):
     from pyspark import TaskContext
 
+    # the windows of a block are many small tuples without cycles; going over them again and again takes a fifth of the time
+    gc.disable()
     coders, done, block, kind = None, 0, None, None
     for batch in batches:
         if not batch.num_rows:
@@ -223,6 +268,7 @@ def _blocks(batches, files, block_bytes: int, spell: bool, names: list[str]):
                 block, done = None, done + 1
     if block:
         yield block.written(kind, names)
+    gc.enable()
 
 
 def _pairs(batches):
