@@ -15,11 +15,11 @@ from ..functions.columns import (
 from ..operators.tallies import counts_by_column, top_values
 from ..operators.timeline import aggregate_by_time, granularity_for, is_plausible, plausible_dates, trend_headline
 from .measures import local_frame, together
-from .profile import profile
+from .profile import POSITIVE_MEDIAN, Profile, profile
 from .quality import is_extreme
-from .quantiles import Quantiles
 from .semantic import Table
 
+MONEY_QUANTILES = (0.5, 0.99, POSITIVE_MEDIAN)
 INSIGHT_DDL = "section int, ordinal int, kind string, column string, headline string, detail string, note string"
 
 
@@ -131,18 +131,18 @@ def trend_insight(table: Table, as_of: datetime.datetime | None = None) -> DataF
 # --- Money ----------------------------------------------------------------------------------
 
 
-def financial_summary(table: Table) -> DataFrame:
-    """Total, median, mean, p99, maximum and zero share of every money column that holds values."""
+def financial_summary(table: Table, found: Profile | None = None) -> DataFrame:
+    """Total, median, mean, p99, maximum and zero share of every money column that holds values, and the median of its
+    positive values where most are zero: one more rank of the same search."""
     names = money_columns(table)
-    df = nan_to_null(table.df.select(*[col(n) for n in names]))
-    found = profile(df, table.types, (0.5, 0.99)).frame.where("numeric AND present > 0")
-    mostly_zero = [r.column for r in found.where(percent(F.col("zeros"), F.col("present"), 1) > V.MOSTLY_ZERO_PCT).collect()]
-    positive = Quantiles({n: (F.when(col(n) > 0, col(n).cast("double")), (0.5,)) for n in mostly_zero}).solve(df)
-    medians = local_frame(df.sparkSession, [(n, v[0]) for n, v in positive.items()], "column string, median_positive double")
-    return found.join(F.broadcast(medians), "column", "left").select(
-        "ordinal", "column", "total", "median", "mean", "p99", F.col("maximum").alias("max_value"),
-        F.col("zeros").alias("n_zero"), percent(F.col("zeros"), F.col("present"), 1).alias("zero_pct"),
-        is_extreme().alias("is_extreme"), "median_positive",
+    found = found or profile(table.df.select(*[col(n) for n in names]), table.types, MONEY_QUANTILES)
+    rows = found.frame.where(F.col("column").isin(*names) & (F.col("present") > 0))
+    zero_pct = percent(F.col("zeros"), F.col("present"), 1)
+    place = F.array_position(F.lit(names) if names else F.array().cast("array<string>"), F.col("column")).cast("int") - 1
+    return rows.select(
+        place.alias("ordinal"), "column", "total", "median", "mean", "p99", F.col("maximum").alias("max_value"),
+        F.col("zeros").alias("n_zero"), zero_pct.alias("zero_pct"), is_extreme().alias("is_extreme"),
+        F.when(zero_pct > V.MOSTLY_ZERO_PCT, F.col("median_positive")).alias("median_positive"),
     )
 
 

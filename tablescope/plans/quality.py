@@ -64,10 +64,11 @@ def is_extreme() -> Column:
     return (F.col("p99") > 0) & (F.col("maximum") > F.col("p99") * V.EXTREME_FACTOR)
 
 
-def score_parts(table: Table, given: Profile | None = None) -> tuple[Profile, DataFrame]:
-    """The profile used, and one row with every penalty, the score and the grade."""
+def score_parts(table: Table, given: Profile | None = None, n_copies: int | None = None) -> tuple[Profile, DataFrame]:
+    """The profile used, and one row with every penalty, the score and the grade; what is given is not computed."""
     found, n_copies = together(
-        lambda: given or profile(table.df, table.types, QUALITY_QUANTILES), lambda: count_copies(table.df)
+        lambda: given or profile(table.df, table.types, QUALITY_QUANTILES),
+        lambda: count_copies(table.df) if n_copies is None else n_copies,
     )
     numeric = numeric_health(found).agg(
         F.coalesce(F.count_if("is_highly_skewed") * V.SKEW_PENALTY, F.lit(0.0)).alias("skew_penalty"),

@@ -10,12 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.columns import missing, percent
+from ..functions.columns import missing, number_columns, percent
 from ..operators.tallies import counts_by_column, top_values
 from ..operators.timeline import date_range
-from .insights import financial_summary, money_columns
+from .duplicates import count_copies
+from .insights import MONEY_QUANTILES, financial_summary, money_columns
 from .measures import aggregate, local_frame, together
-from .profile import QUANTILES, Profile, profile
+from .profile import QUALITY_QUANTILES, QUANTILES, Profile, profile
 from .quality import findings, score_parts
 from .semantic import Table
 
@@ -110,13 +111,17 @@ def report(
     """The whole report as ``(line_no, line)``: a few lines per column, made from small frames."""
     as_of = as_of or datetime.datetime.now()
     dates = table.of_type("date_column")
-    (found, score), ends, *sections = together(
-        lambda: score_parts(table),
+    money = dict.fromkeys(money_columns(table), {*QUALITY_QUANTILES, *MONEY_QUANTILES})
+    wanted = dict.fromkeys(number_columns(table.df), QUALITY_QUANTILES) | {n: tuple(ps) for n, ps in money.items()}
+    spread, n_copies, ends, *sections = together(
+        lambda: profile(table.df, table.types, wanted),
+        lambda: count_copies(table.df),
         lambda: date_range(table.df, dates[0], as_of).collect()[0] if dates else (None, None),
-        lambda: _money_lines(table),
         lambda: _category_lines(table),
         lambda: _segment_lines(table),
     )
+    found, score = score_parts(table, spread, n_copies)
+    sections.insert(0, _money_lines(table, spread))
     totals = score.collect()[0]
     lines = [RULE, "  DATA ANALYSIS REPORT", RULE, f"  Dataset   : {name}", f"  Generated : {as_of:%B %d, %Y at %I:%M %p}"]
     lines += [f"  Records   : {totals.n_rows:,}", f"  Columns   : {totals.n_cols}", RULE, ""]
@@ -134,11 +139,11 @@ def report(
     return local_frame(table.df.sparkSession, list(enumerate(lines, 1)), "line_no int, line string")
 
 
-def _money_lines(table: Table) -> list[str]:
+def _money_lines(table: Table, found: Profile) -> list[str]:
     if not money_columns(table):
         return []
     lines = ["  Financial Columns:"]
-    for row in financial_summary(table).orderBy("ordinal").collect():
+    for row in financial_summary(table, found).orderBy("ordinal").collect():
         lines += [f"    {row.column}:", f"      Total   : ${row.total:>15,.2f}", f"      Median  : ${row.median:>15,.2f}"]
         lines += [f"      Average : ${row.mean:>15,.2f}", f"      Zero $  : {row.n_zero:,} records ({row.zero_pct}%)", ""]
     return lines

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablescope.plans import quantiles
-from tablescope.plans.quantiles import SketchKind, exact_quantiles
+from tablescope.plans.quantiles import Positive, Quantiles, SketchKind, exact_quantiles
 
 PS = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -65,3 +65,34 @@ def test_missed_proposals_are_noticed(spark, small_sketches, monkeypatch):
 def test_any_values(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert exact_quantiles(df, F.col("x"), [0.25, 0.5, 0.99]) == pytest.approx([expected(values, p) for p in (0.25, 0.5, 0.99)], rel=1e-9, abs=1e-9)
+
+
+def test_positive_values_are_ranks_of_the_same_search(spark, small_sketches):
+    rng = random.Random(3)
+    rows = [(0.0 if rng.random() < 0.5 else rng.gauss(0, 100), float(-i), None if i % 3 else 1.0 * i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = Quantiles({n: (F.col(n), (0.25, Positive(0.5), Positive(0.9))) for n in "abc"}).solve(df)
+    for i, n in enumerate("abc"):
+        values = [r[i] for r in rows if r[i] is not None]
+        positive = [v for v in values if v > 0]
+        want = [expected(values, 0.25), *([expected(positive, 0.5), expected(positive, 0.9)] if positive else [None, None])]
+        assert got[n] == [w if w is None else pytest.approx(w, rel=1e-12) for w in want]
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, "")
+    run()
+    spark.sparkContext.setJobGroup("", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_columns(spark, monkeypatch):
+    """A profile of 12 columns and one of 48: the same number of jobs, also where quantiles need more scans."""
+    from tablescope.plans.profile import QUALITY_QUANTILES, profile
+    from tablescope.plans.quality import numeric_health
+
+    monkeypatch.setattr(quantiles, "OPENING", SketchKind(1000, 0.05))
+    one = spark.range(20_000).repartition(4)
+    wide = {n: one.select(*[((F.col("id") * 7919) % 20_011 + i).cast("double").alias(f"x{i}") for i in range(n)]) for n in (12, 48)}
+    counts = {n: jobs_of(spark, f"columns {n}", lambda d=d: numeric_health(profile(d, quantiles=QUALITY_QUANTILES)).collect()) for n, d in wide.items()}
+    assert counts[12] == counts[48] > 3
