@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    col, currency_number, is_date, is_float, is_number, is_text, missing, nan_to_null, strip_text,
+    col, currency_number, is_date, is_float, is_nested, is_number, is_text, missing, nan_to_null, strip_text,
     title_text,
 )
 from ..plans.duplicates import distinct_rows, preview_copies
-from ..plans.quantiles import exact_quantiles
+from .statistics import Ask, Request, answer_now, present
 from .steps import StepResult, not_found, unchanged
-from .tallies import most_common
 
 FILL_STRATEGIES = ("mean", "median", "mode", "constant")
 
@@ -51,11 +50,15 @@ def rename_column(df: DataFrame, old: str, new: str) -> StepResult:
     return StepResult(df, lambda d: d.withColumnRenamed(old, new), lambda _: f"Renamed column '{old}' to '{new}'.")
 
 
-def fill_missing(df: DataFrame, name: str, strategy: str, value: Any = None, semantic_type: str | None = None) -> StepResult:
+def fill_missing(
+    df: DataFrame, name: str, strategy: str, value: Any = None, semantic_type: str | None = None, rank_error: float | None = None, ask: Ask = answer_now
+) -> StepResult:
     """Fill missing cells with the mean, median, most common or a given value.
 
     The value is found first and enters the plan as a literal: plans of long recipes stay small, and
-    the count of filled cells is still left to whoever asks for it.
+    the count of filled cells is still left to whoever asks for it.  With ``rank_error`` the median may be a value whose
+    rank is off by that share of the present cells; the share is checked, not trusted.  Decimal columns stay decimal
+    (the filled value is rounded to their scale), whole numbers become doubles, nested columns have no most common value.
     """
     if name not in df.columns:
         return not_found(df, name)
@@ -66,17 +69,22 @@ def fill_missing(df: DataFrame, name: str, strategy: str, value: Any = None, sem
         return unchanged(df, f"'{name}' is a date column: fill it with the most common date or remove the rows.")
     if strategy in ("mean", "median") and not is_number(dtype):
         return unchanged(df, f"'{name}' is not a numeric column — it has no {strategy}.")
+    if strategy == "mode" and is_nested(dtype):
+        return unchanged(df, f"'{name}' holds nested values — it has no most common value.")
     if strategy == "constant" and value is None:
         return unchanged(df, "No fill value provided for constant strategy.")
-    clean = nan_to_null(df)
+    cells, exact = present(df, name), isinstance(dtype, T.DecimalType)
     if strategy in ("mean", "median"):
-        found = clean.agg(F.avg(col(name))).collect()[0][0] if strategy == "mean" else exact_quantiles(clean, col(name), [0.5])[0]
+        if strategy == "mean":
+            found = ask(df, Request("aggregate", cells, make=lambda x: [F.avg(x)]))[0]
+        else:
+            found = ask(df, Request("quantile", cells, p=0.5, rank_error=rank_error))
         if found is None:
             return unchanged(df, f"'{name}' has no values — it has no {strategy}.")
-        fill = F.lit(float(found))
+        fill = F.lit(found).cast(dtype) if exact else F.lit(float(found))
         words = f"the {'column average' if strategy == 'mean' else 'median value'} ({found:,.2f})"
     elif strategy == "mode":
-        found = most_common(clean, name).select(F.col("value").cast("string")).collect()[0][0]
+        found = ask(df, Request("mode", cells, dtype))
         if found is None:
             return unchanged(df, f"Could not determine a mode for '{name}'.")
         fill, words = F.lit(found).cast(dtype), f"the most common value ('{found}')"
@@ -85,16 +93,15 @@ def fill_missing(df: DataFrame, name: str, strategy: str, value: Any = None, sem
         if fill is None:
             return unchanged(df, f"The value '{value}' does not fit the type of '{name}'.")
         words = f"the value '{value}'"
-    whole = is_number(dtype) and not is_float(dtype) and strategy in ("mean", "median")
-    present = col(name).cast("double") if whole else col(name)
-    present = F.when(~missing(df, name), present)
+    whole = is_number(dtype) and not is_float(dtype) and not exact and strategy in ("mean", "median")
+    kept = F.when(~missing(df, name), col(name).cast("double") if whole else col(name))
 
     def sentence(c):
         if not c.cells_changed:
             return f"'{name}' has no missing values — nothing to fill."
         return f"Filled {c.cells_changed:,} missing value(s) in '{name}' with {words}."
 
-    return StepResult(df, lambda d: d.withColumn(name, F.coalesce(present, fill)), sentence, touched=missing(df, name))
+    return StepResult(df, lambda d: d.withColumn(name, F.coalesce(kept, fill)), sentence, touched=missing(df, name))
 
 
 def typed_constant(text: str) -> Any:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.columns import count_text, percent
+from ..functions.columns import count_text, missing, percent
 from ..operators import cleaning, transforms
+from ..operators.statistics import Ask, Request, Unknown, answer_now, answers
 from ..operators.steps import StepCounts, StepResult
 from .duplicates import count_copies
 from .measures import local_frame, together
@@ -34,6 +35,9 @@ OPERATIONS: dict[str, Callable[..., StepResult]] = {
     "extract_date_part": transforms.extract_date_part,
 }
 
+# Steps that need statistics of their column before they can be bound.
+ASKING = ("fill_missing", "log_transform", "standard_scale", "minmax_scale", "one_hot_encode")
+
 # Steps that look at one row at a time, and so also run on a stream.
 ROW_LOCAL = ("drop_missing_rows", "drop_column", "rename_column", "trim_whitespace", "standardize_case", "currency_to_number", "extract_date_part")
 
@@ -43,13 +47,24 @@ class Step:
     operation: str
     arguments: dict[str, Any] = field(default_factory=dict)
 
-    def on(self, df: DataFrame) -> StepResult:
-        return OPERATIONS[self.operation](df, **self.arguments)
+    def on(self, df: DataFrame, ask: Ask = answer_now) -> StepResult:
+        more = {"ask": ask} if self.operation in ASKING else {}
+        return OPERATIONS[self.operation](df, **self.arguments, **more)
 
     @property
     def column(self) -> str | None:
         return self.arguments.get("name") or self.arguments.get("old")
 
+    @property
+    def columns(self) -> set[str]:
+        """Columns that the step names."""
+        return {v for k, v in self.arguments.items() if k in ("name", "old", "new")}
+
+    @property
+    def needs_rows(self) -> bool:
+        """Whether it drops rows by more than the cell of one column."""
+        return self.operation == "remove_duplicates" or (self.operation == "drop_missing_rows" and self.column is None)
+
     @property
     def row_local(self) -> bool:
         constant = self.operation == "fill_missing" and self.arguments.get("strategy") == "constant"
@@ -70,12 +85,61 @@ class Recipe:
         return Recipe(self.steps[:-1])
 
     def bind(self, df: DataFrame) -> list[StepResult]:
-        results = []
-        for step in self.steps:
-            results.append(step.on(df))
-            df = results[-1].df
+        """The steps bound to their statistics, which are found for a whole run of steps in one search.
+
+        A run ends at a step that needs whole rows (removed duplicates, rows with any missing cell).  Within it, what steps ask
+        is gathered first (``_wanted``) and answered together; only a statistic of a column that itself waits for one takes another search.
+        """
+        results: list[StepResult] = []
+        at = 0
+        while at < len(self.steps):
+            end = next((i for i in range(at, len(self.steps)) if self.steps[i].needs_rows), len(self.steps))
+            known: dict[int, Any] = {}
+            while True:
+                frame, asked = self._wanted(df, range(at, end), known)
+                if not asked:
+                    break
+                known.update(zip(asked, answers(frame, list(asked.values()))))
+            for i in range(at, min(end + 1, len(self.steps))):
+                results.append(self.steps[i].on(df, lambda _, request, i=i: known[i]))
+                df = results[-1].df
+            at = end + 1
         return results
 
+    def _wanted(self, df: DataFrame, run: range, known: dict[int, Any]) -> tuple[DataFrame, dict[int, Request]]:
+        """The requests of a run of steps beyond what is known, by step, and a frame of all rows of ``df`` to answer them on.
+
+        A step whose request is not known makes its columns pending; later steps on those wait, too, and others go on.
+        Rows dropped for a missing cell are marked, not dropped, and requests behind hold for the rows that are left.
+        """
+        alive, pending, asked = None, set(), {}
+        for i in run:
+            step = self.steps[i]
+            if step.columns & pending:
+                if step.operation == "drop_missing_rows":
+                    break
+                pending |= step.columns
+                continue
+
+            def ask(_, request, i=i, alive=alive):
+                if i not in known:
+                    raise Unknown(replace(request, alive=alive))
+                return known[i]
+
+            try:
+                result = step.on(df, ask)
+            except Unknown as unknown:
+                asked[i] = unknown.request
+                pending |= step.columns
+                continue
+            if result.drops_rows:
+                kept, flag = ~missing(df, step.column), f"__alive_{i}"
+                df = df.withColumn(flag, kept if alive is None else alive & kept)
+                alive = F.col(flag)
+            else:
+                df = result.df
+        return df, asked
+
     def run(self, df: DataFrame) -> DataFrame:
         results = self.bind(df)
         return results[-1].df if results else df
