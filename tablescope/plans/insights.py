@@ -12,8 +12,9 @@ from ..functions import vocabulary as V
 from ..functions.columns import (
     col, contains_any, count_text, fixed_text, is_number, nan_to_null, percent, value_text,
 )
-from ..operators.tallies import counts_by_column, top_values
+from ..operators.tallies import counts_by_column
 from ..operators.timeline import aggregate_by_time, granularity_for, is_plausible, plausible_dates, trend_headline
+from .leaders import leaders
 from .measures import local_frame, together
 from .profile import POSITIVE_MEDIAN, Profile, profile
 from .quality import is_extreme
@@ -281,28 +282,20 @@ def segment_insights(table: Table) -> DataFrame | None:
 
 
 def topn_segments(table: Table, name: str, ordinal: int = 0) -> DataFrame:
-    """The leading value, its share, and the top-ten value with the highest mean money."""
-    df = table.df
-    top = top_values(df, name, V.TOP_VALUES)
-    place = F.min(F.struct((-F.col("count")).alias("rank"), "value"))
-    leader = top.agg(F.count(F.lit(1)).alias("shown"), place.alias("leader")).where("shown >= 2")
-    rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    found = leader.crossJoin(rows).select(
-        F.lit(ordinal).alias("ordinal"),
-        F.lit(name).alias("column"),
-        F.col("leader")["value"].cast("string").alias("top_value"),
-        (-F.col("leader")["rank"]).alias("top_count"),
-        percent(-F.col("leader")["rank"], F.col("n_rows"), 1).alias("top_pct"),
-    )
+    """The leading value, its share, and the top-ten value with the highest mean money: a sketch proposes, one scan counts."""
     money = money_columns(table)
-    if not money:
-        return found.withColumns({"best_value": F.lit(None).cast("string"), "best_avg": F.lit(None).cast("double")})
-    among = df.select(col(name).alias("value"), col(money[0]).alias("money")).join(F.broadcast(top.select("value")), "value", "left_semi")
-    means = among.groupBy("value").agg(F.avg("money").alias("mean"))
-    best = means.agg(F.min(F.when(F.col("mean").isNotNull(), F.struct((-F.col("mean")).alias("rank"), "value"))).alias("best"))
-    return found.crossJoin(best).select(
-        *found.columns, F.col("best")["value"].cast("string").alias("best_value"), (-F.col("best")["rank"]).alias("best_avg")
-    )
+    found = leaders(table.df, name, V.TOP_VALUES, money[0] if money else None)
+    rows = [(ordinal, k, r.value, r["count"], r.mean, found.n_rows) for k, r in enumerate(found.rows)]
+    dtype = table.df.schema[name].dataType.simpleString()
+    top = table.df.sparkSession.createDataFrame([(*r[:4], None if r[4] is None else float(r[4]), r[5]) for r in rows], f"ordinal int, k int, value {dtype}, count bigint, mean double, n_rows bigint")
+    place = F.min(F.struct("k", "value", "count", "n_rows"))
+    best = F.min(F.when(F.col("mean").isNotNull(), F.struct((-F.col("mean")).alias("rank"), "value")))
+    leader = top.groupBy("ordinal").agg(F.count(F.lit(1)).alias("shown"), place.alias("leader"), best.alias("best")).where("shown >= 2")
+    return leader.select(
+        "ordinal", F.lit(name).alias("column"), F.col("leader")["value"].cast("string").alias("top_value"), F.col("leader")["count"].alias("top_count"),
+        percent(F.col("leader")["count"], F.col("leader")["n_rows"], 1).alias("top_pct"),
+        F.col("best")["value"].cast("string").alias("best_value"), (-F.col("best")["rank"]).alias("best_avg"),
+    )
 
 
 def topn_insights(table: Table) -> DataFrame | None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.columns import missing, number_columns, percent
-from ..operators.tallies import counts_by_column, top_values
+from ..operators.tallies import counts_by_column
 from ..operators.timeline import date_range
 from .duplicates import count_copies
 from .insights import MONEY_QUANTILES, financial_summary, money_columns
+from .leaders import leaders
 from .measures import aggregate, local_frame, together
 from .profile import QUALITY_QUANTILES, QUANTILES, Profile, profile
 from .quality import findings, score_parts
@@ -41,23 +43,17 @@ def report_categories(table: Table) -> DataFrame:
 
 
 def report_top(table: Table, names: list[str] | None = None) -> DataFrame:
-    """Top five values of up to two columns with many values; each a top-n, never a full sort."""
+    """Top five values of up to two columns with many values: a sketch proposes, one scan counts, never a full sort."""
     names = names or table.of_type("high_cardinality")[: V.TOP_COLUMNS]
-    if not names:
-        return table.df.sparkSession.createDataFrame([], "ordinal int, column string, place int, value string, count bigint, pct_of_rows double")
-    rows = F.broadcast(table.df.agg(F.count(F.lit(1)).alias("n_rows")))
-    parts = []
-    for i, name in enumerate(names):
-        top = top_values(table.df, name, V.REPORT_TOP_SEGMENTS).crossJoin(rows)
-        place = F.row_number().over(W.partitionBy("ordinal").orderBy(F.desc("count"), "value"))
-        parts.append(
-            top.select(F.lit(i).alias("ordinal"), F.lit(name).alias("column"), F.col("value").cast("string").alias("value"), "count", "n_rows")
-            .select("ordinal", "column", place.alias("place"), "value", "count", percent(F.col("count"), F.col("n_rows"), 1).alias("pct_of_rows"))
-        )
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    found = together(*[lambda n=n: leaders(table.df, n, V.REPORT_TOP_SEGMENTS) for n in names])
+    spark, parts = table.df.sparkSession, []
+    for i, (name, top) in enumerate(zip(names, found)):
+        dtype = table.df.schema[name].dataType.simpleString()
+        rows = [(i, name, k, r.value, r["count"], top.n_rows) for k, r in enumerate(top.rows, 1)]
+        part = spark.createDataFrame(rows, f"ordinal int, column string, place int, value {dtype}, count bigint, n_rows bigint")
+        parts.append(part.withColumn("value", F.col("value").cast("string")))
+    whole = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "ordinal int, column string, place int, value string, count bigint, n_rows bigint"))
+    return whole.select("ordinal", "column", "place", "value", "count", percent(F.col("count"), F.col("n_rows"), 1).alias("pct_of_rows"))
 
 
 def table_profile(table: Table, found: Profile | None = None) -> DataFrame:
