@@ -725,6 +725,19 @@ ORACLES["recipe_audit"] = with_dirty(
         ]
     ),
 )
+ORACLES["fill_median_approx"] = with_dirty("dirty_orders", "SELECT count(*) AS n_rows, 0::BIGINT AS left_missing, true AS within_bound FROM dirty_orders")
+ORACLES["recipe_audit_written"] = with_dirty(
+    "dirty_customer",
+    """, low AS (SELECT * REPLACE (lower(c_mktsegment) AS c_mktsegment) FROM dirty_customer),
+ n AS (SELECT (SELECT count(*) FROM dirty_customer) AS a, (SELECT count(*) FROM (SELECT DISTINCT * FROM low)) AS b,
+  (SELECT count(*) FROM dirty_customer WHERE lower(c_mktsegment) IS DISTINCT FROM c_mktsegment) AS cased,
+  (SELECT count(*) FROM (SELECT DISTINCT * FROM low) WHERE trim(c_name) IS DISTINCT FROM c_name) AS trimmed)
+ SELECT 1::INT AS step, 'standardize_case' AS operation, 'c_mktsegment' AS "column", a AS rows_before, a AS rows_after, cased AS cells_changed,
+  'Standardized ''c_mktsegment'' text to lowercase.' AS message FROM n
+ UNION ALL SELECT 2, 'remove_duplicates', NULL, a, b, 0, concat('Removed ', format('{:,}', a - b), ' duplicate row(s). Dataset now has ', format('{:,}', b), ' rows.') FROM n
+ UNION ALL SELECT 3, 'trim_whitespace', 'c_name', b, b, trimmed, 'Trimmed extra whitespace from all values in ''c_name''.' FROM n
+ UNION ALL SELECT 4, 'drop_column', 'c_nationkey', b, b, 0, 'Removed column ''c_nationkey''. Dataset now has 4 columns.' FROM n""",
+)
 ORACLES["recipe_undo"] = with_dirty("dirty_orders", RECIPE_STAGES + " SELECT * FROM t3")
 
 # --- Report -------------------------------------------------------------------------------------------------------------------
@@ -815,3 +828,34 @@ ORACLES["report"] = clean_orders(
  SELECT (row_number() OVER (ORDER BY a, b, c))::INT AS line_no, line FROM lines"""
 )
 ORACLES["report_sink"] = f"SELECT line FROM ({ORACLES['report']}) whole"
+
+
+def context_lines() -> str:
+    """The metadata of dirty_orders as (line_no, line): names of columns by type, then what the tables say."""
+    kinds = {
+        "Date columns       ": ("date_column",), "Numeric columns    ": ("metric", "financial"), "Category columns   ": ("categorical",),
+        "Identifier columns ": ("id_column",), "Text/high-card cols": ("text", "high_cardinality"),
+    }
+    shown = [c for c, kind in ORDER_TYPES if kind in ("metric", "financial")]
+    gaps = union([f"SELECT {i} AS i, '{c}' AS c, {pct(f'count(*) - count({c})', 'count(*)', 1)} AS share FROM clean HAVING count({c}) < count(*)" for i, c in enumerate(DIRTY_ORDER_COLUMNS)])
+    parts = ["SELECT 0 AS a, 0 AS b, 0 AS c, 'Dataset name   : orders' AS line"]
+    parts += ["SELECT 1, 0, 0, concat('Rows           : ', format('{:,}', n_rows)) FROM graded", "SELECT 2, 0, 0, 'Columns        : 8'"]
+    parts += ["SELECT 3, 0, 0, concat('Quality score  : ', score, ' / 100 (', grade, ')') FROM graded", "SELECT 4, 0, 0, 'Column inventory:'"]
+    for k, (label, types) in enumerate(kinds.items()):
+        parts.append(f"SELECT 5, {k}, 0, '  - {label}: {', '.join(c for c, kind in ORDER_TYPES if kind in types) or 'None'}'")
+    parts.append(f"SELECT 6, 0, 0, concat('Missing values : ', coalesce(string_agg(concat(c, ' (', share, '% missing)'), ', ' ORDER BY i), 'No missing values.')) FROM ({gaps})")
+    parts.append("SELECT 7, 0, 0, 'Numeric column statistics:'")
+    for k, c in enumerate(shown):
+        values = {"min": f"min({c})::DOUBLE", "max": f"max({c})::DOUBLE", "mean": f"avg({c})", "median": f"quantile_cont({c}::DOUBLE, 0.5)"}
+        spread = ", ', ', ".join(f"'{label}=', format('{{:.2f}}', {value})" for label, value in values.items())
+        parts.append(f"SELECT 8, {k}, 0, concat('  - {c}: ', {spread}) FROM clean")
+    parts.append("SELECT 9, 0, 0, 'Quality findings:'")
+    parts.append("SELECT 10, section, ordinal, concat('  - ', message) FROM (SELECT * FROM findings ORDER BY section, ordinal LIMIT 6)")
+    return union(parts)
+
+
+ORACLES["table_context"] = clean_orders(
+    scored("clean", ORDER_NUMBERS, DIRTY_ORDER_COLUMNS)
+    + f""", findings AS ({FINDINGS}), lines AS ({context_lines()})
+ SELECT (row_number() OVER (ORDER BY a, b, c))::INT AS line_no, line FROM lines"""
+)

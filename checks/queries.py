@@ -281,6 +281,19 @@ def fill_median(spark, sf_dir):
     return rounded(_filled(spark, sf_dir, "total_amount", "median"), 4, "total_amount")
 
 
+@query("fill_median_approx")
+def fill_median_approx(spark, sf_dir):
+    """Rows, cells left missing, and whether the filled value's rank is within the bound."""
+    df = read(spark, sf_dir, "dirty_orders").select("o_orderkey", "total_amount")
+    filled = cleaning.fill_missing(df, "total_amount", "median", rank_error=0.005).df.withColumnRenamed("total_amount", "filled")
+    value = filled.join(df.where("total_amount IS NULL"), "o_orderkey", "left_semi").agg(F.max("filled").alias("value"))
+    x, v = F.col("total_amount"), F.col("value")
+    ranks = df.crossJoin(F.broadcast(value)).agg(F.count(x).alias("n"), F.count_if(x < v).alias("below"), F.count_if(x <= v).alias("up_to"))
+    within = (F.col("below") - 1 <= 0.505 * F.col("n")) & (F.col("up_to") + 1 >= 0.495 * F.col("n"))
+    sizes = filled.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("filled").isNull()).alias("left_missing"))
+    return sizes.crossJoin(ranks.select(within.alias("within_bound")))
+
+
 @query("fill_mode")
 def fill_mode(spark, sf_dir):
     return _filled(spark, sf_dir, "priority_label", "mode")
@@ -546,6 +559,15 @@ def recipe_audit(spark, sf_dir):
     return _steps().audit(read(spark, sf_dir, "dirty_orders"))
 
 
+@query("recipe_audit_written")
+def recipe_audit_written(spark, sf_dir):
+    """The audit that is counted while the cleaned table is written; its duplicates are real ones."""
+    path = scratch_path(spark, "audited")
+    steps = recipe.Recipe().then("standardize_case", name="c_mktsegment", case="lower").then("remove_duplicates")
+    steps = steps.then("trim_whitespace", name="c_name").then("drop_column", name="c_nationkey")
+    return steps.audit_beside(read(spark, sf_dir, "dirty_customer"), lambda df: df.write.parquet(path))
+
+
 @query("recipe_undo")
 def recipe_undo(spark, sf_dir):
     return _steps().undo().undo().undo().undo().run(read(spark, sf_dir, "dirty_orders"))

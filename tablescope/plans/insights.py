@@ -194,9 +194,9 @@ def financial_insights(table: Table, summary: DataFrame | None = None) -> DataFr
 # --- Segments ------------------------------------------------------------------------------------
 
 
-def segments(table: Table, names: list[str] | None = None) -> DataFrame:
-    """Most and least common value of up to four categorical columns, in one scan and one shuffle."""
-    names = names or table.of_type("categorical")[: V.SEGMENT_COLUMNS]
+def segments(table: Table, names: list[str] | None = None, limit: int | None = V.SEGMENT_COLUMNS) -> DataFrame:
+    """Most and least common value of the first ``limit`` categorical columns (None: all), in one scan and one shuffle."""
+    names = names or table.of_type("categorical")[:limit]
     counts = counts_by_column(table.df, names, keep_missing=True)
     place = F.when(F.col("value").isNotNull(), F.struct((-F.col("count")).alias("rank"), "value"))
     found = counts.groupBy("ordinal", "column").agg(
@@ -215,9 +215,9 @@ def segments(table: Table, names: list[str] | None = None) -> DataFrame:
     )
 
 
-def segment_value_ratio(table: Table, names: list[str] | None = None) -> DataFrame:
+def segment_value_ratio(table: Table, names: list[str] | None = None, limit: int | None = V.SEGMENT_COLUMNS) -> DataFrame:
     """Categories whose mean money is at least twice that of the lowest category."""
-    names = names or table.of_type("categorical")[: V.SEGMENT_COLUMNS]
+    names = names or table.of_type("categorical")[:limit]
     if not names or not money_columns(table):
         return table.df.sparkSession.createDataFrame([], "ordinal int, column string, top_category string, top_avg double, bottom_category string, bottom_avg double, ratio double")
     money = money_columns(table)[0]
@@ -246,8 +246,8 @@ def segment_value_ratio(table: Table, names: list[str] | None = None) -> DataFra
     )
 
 
-def segment_insights(table: Table) -> DataFrame | None:
-    names = table.of_type("categorical")[: V.SEGMENT_COLUMNS]
+def segment_insights(table: Table, limit: int | None = V.SEGMENT_COLUMNS) -> DataFrame | None:
+    names = table.of_type("categorical")[:limit]
     if not names:
         return None
     found = segments(table, names)
@@ -298,8 +298,8 @@ def topn_segments(table: Table, name: str, ordinal: int = 0) -> DataFrame:
     )
 
 
-def topn_insights(table: Table) -> DataFrame | None:
-    names = table.of_type("high_cardinality")[: V.TOP_COLUMNS]
+def topn_insights(table: Table, limit: int | None = V.TOP_COLUMNS) -> DataFrame | None:
+    names = table.of_type("high_cardinality")[:limit]
     money = money_columns(table)
     parts = []
     for i, name in enumerate(names):
@@ -330,16 +330,21 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
     return whole
 
 
-def insights(table: Table, as_of: datetime.datetime | None = None) -> DataFrame:
-    """All insight sentences in reading order; a column that has one does not get another."""
+def insights(
+    table: Table, as_of: datetime.datetime | None = None, segment_columns: int | None = V.SEGMENT_COLUMNS, top_columns: int | None = V.TOP_COLUMNS
+) -> DataFrame:
+    """All insight sentences in reading order; a column that has one does not get another.
+
+    The first ``segment_columns`` categorical columns and ``top_columns`` columns with many values are told about; None is all.
+    """
     outcome = outcome_column(table)
-    trend, money = together(lambda: trend_insight(table, as_of), lambda: financial_insights(table))
+    trend, money, tops = together(lambda: trend_insight(table, as_of), lambda: financial_insights(table), lambda: topn_insights(table, top_columns))
     produced = [
         (1, "outcome", None if outcome is None else outcome_insight(table, outcome)),
         (2, "time_trend", trend),
         (3, "financial", money),
-        (4, "segment", segment_insights(table)),
-        (5, "high_cardinality_segment", topn_insights(table)),
+        (4, "segment", segment_insights(table, segment_columns)),
+        (5, "high_cardinality_segment", tops),
     ]
     parts = []
     for section, kind, found in produced:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
@@ -152,38 +153,71 @@ class Recipe:
         """One row per step: rows before and after, cells changed, and the sentence.
 
         Steps that keep all rows are counted together in one scan, by flags carried beside the data;
-        only a step that drops rows starts a new scan.
+        only a step that drops rows starts a new scan.  Beside a write, ``audit_beside`` counts without any scan of its own.
         """
         results = self.bind(df)
+        counted, _ = self._flagged(df, results, lambda frame, _, __: frame)
+        measured = together(
+            *[lambda f=frame, m=marks: f.agg(F.count(F.lit(1)), *[F.count_if(_touched(i)) for i in m]).collect()[0] for frame, marks, _ in counted]
+        )
+        return self._audited(df.sparkSession, results, [(marks, end, list(row)) for (_, marks, end), row in zip(counted, measured)])
+
+    def audit_beside(self, df: DataFrame, write: Callable[[DataFrame], Any]) -> DataFrame:
+        """``write`` gets the cleaned table and must run over all of it, once; the audit is counted by the same scan.
+
+        The counts are metrics that Spark observes while rows pass: one observation before each step that drops rows, and
+        one at the end.  No job is started but those of ``write``.  Metrics are those of the action that ended well, so a
+        lost executor's tasks count once.
+        """
+        results, seen = self.bind(df), []
+
+        def observed(frame: DataFrame, marks: list[int], end: int) -> DataFrame:
+            seen.append((marks, end, Observation(f"rows before step {end + 1}, {uuid.uuid4().hex}")))
+            return frame.observe(seen[-1][-1], F.count(F.lit(1)).alias("rows"), *[F.count_if(_touched(i)).alias(f"cells_{i}") for i in marks])
+
+        _, cleaned = self._flagged(df, results, observed)
+        write(cleaned)
+        parts = [(marks, end, [watch.get["rows"], *[watch.get[f"cells_{i}"] for i in marks]]) for marks, end, watch in seen]
+        return self._audited(df.sparkSession, results, parts)
+
+    def _flagged(self, df: DataFrame, results: list[StepResult], watch: Callable) -> tuple[list[tuple[DataFrame, list[int], int]], DataFrame]:
+        """Frames before each step that drops rows and at the end, with the flags they carry and the step; the final table."""
         frame, flags, counted = df, [], []
         for i, result in enumerate(results):
             if result.touched is not None and not result.refused:
                 flags.append(i)
                 frame = frame.withColumn(f"__touched_{i}", F.coalesce(result.touched, F.lit(False)))
             if result.drops_rows:
+                frame = watch(frame, flags, i)
                 counted.append((frame, flags, i))
-                frame, flags = result.df, []
+                frame, flags = result.transform(frame.drop(*[f"__touched_{k}" for k in flags])), []
             else:
                 frame = result.transform(frame)
+        frame = watch(frame, flags, len(results))
         counted.append((frame, flags, len(results)))
+        return counted, frame.drop(*[f"__touched_{k}" for k in flags])
+
+    def _audited(self, spark, results: list[StepResult], parts: list[tuple[list[int], int, list[int]]]) -> DataFrame:
+        """Rows of the audit from (flags, step, rows and cells of the flags) of each part of the recipe."""
         before: dict[int, int] = {}
         cells: dict[int, int] = {}
         start = 0
-        measured = together(
-            *[lambda s=s, m=m: s.agg(F.count(F.lit(1)), *[F.count_if(f"__touched_{i}") for i in m]).collect()[0] for s, m, _ in counted]
-        )
-        for row, (_, marks, end) in zip(measured, counted):
+        for marks, end, row in parts:
             before.update(dict.fromkeys(range(start, end + 1), row[0]))
             cells.update(zip(marks, row[1:]))
             start = end + 1
-        before[len(results)] = measured[-1][0]
+        before[len(results)] = parts[-1][2][0]
         lines = []
         for i, (step, result) in enumerate(zip(self.steps, results)):
             after = before[i + 1] if result.drops_rows else before[i]
             counts = StepCounts(before[i], after, cells.get(i, 0))
             lines.append((i + 1, step.operation, step.column, *(counts.rows_before, counts.rows_after, counts.cells_changed), result.sentence(counts)))
         ddl = "step int, operation string, column string, rows_before bigint, rows_after bigint, cells_changed bigint, message string"
-        return local_frame(df.sparkSession, lines, ddl)
+        return local_frame(spark, lines, ddl)
+
+
+def _touched(step: int) -> Column:
+    return F.col(f"__touched_{step}")
 
 
 # --- Suggestions -----------------------------------------------------------------------

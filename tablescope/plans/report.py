@@ -26,9 +26,9 @@ LEVEL_MARKS = {"good": "  [OK]     ", "warning": "  [NOTE]   ", "problem": "  [I
 RULE, LINE = "=" * 65, "-" * 40
 
 
-def report_categories(table: Table) -> DataFrame:
-    """Top three values of up to four categorical columns, and how many more there are."""
-    names = table.of_type("categorical")[: V.SEGMENT_COLUMNS]
+def report_categories(table: Table, limit: int | None = V.SEGMENT_COLUMNS) -> DataFrame:
+    """Top three values of the first ``limit`` categorical columns (None: all), and how many more there are."""
+    names = table.of_type("categorical")[:limit]
     counts = counts_by_column(table.df, names, keep_missing=True)
     # A categorical column has at most fifty values, so these windows are short.
     whole = W.partitionBy("ordinal")
@@ -42,9 +42,9 @@ def report_categories(table: Table) -> DataFrame:
     )
 
 
-def report_top(table: Table, names: list[str] | None = None) -> DataFrame:
-    """Top five values of up to two columns with many values: a sketch proposes, one scan counts, never a full sort."""
-    names = names or table.of_type("high_cardinality")[: V.TOP_COLUMNS]
+def report_top(table: Table, names: list[str] | None = None, limit: int | None = V.TOP_COLUMNS) -> DataFrame:
+    """Top five values of the first ``limit`` columns with many values (None: all): a sketch proposes, one scan counts."""
+    names = names or table.of_type("high_cardinality")[:limit]
     found = together(*[lambda n=n: leaders(table.df, n, V.REPORT_TOP_SEGMENTS) for n in names])
     spark, parts = table.df.sparkSession, []
     for i, (name, top) in enumerate(zip(names, found)):
@@ -56,10 +56,10 @@ def report_top(table: Table, names: list[str] | None = None) -> DataFrame:
     return whole.select("ordinal", "column", "place", "value", "count", percent(F.col("count"), F.col("n_rows"), 1).alias("pct_of_rows"))
 
 
-def table_profile(table: Table, found: Profile | None = None) -> DataFrame:
-    """Metadata only: missing share per column, and the spread of the first eight numbers."""
+def table_profile(table: Table, found: Profile | None = None, limit: int | None = V.PROFILE_NUMERIC_COLUMNS) -> DataFrame:
+    """Metadata only: missing share per column, and the spread of the first ``limit`` numbers (None: all)."""
     found = found or profile(table.df, table.types, (0.5,))
-    numbers = table.of_type("metric", "financial")[: V.PROFILE_NUMERIC_COLUMNS]
+    numbers = table.of_type("metric", "financial")[:limit]
     shown = F.col("column").isin(*numbers)
     return found.frame.select(
         "ordinal", "column", "semantic_type",
@@ -68,8 +68,13 @@ def table_profile(table: Table, found: Profile | None = None) -> DataFrame:
     )
 
 
-def table_context(table: Table, name: str = "Dataset") -> DataFrame:
-    """The table in a few lines of metadata, without any row of it: ``(line_no, line)``."""
+def table_context(
+    table: Table, name: str = "Dataset", numbers: int | None = V.PROFILE_NUMERIC_COLUMNS, messages: int | None = V.CONTEXT_FINDINGS
+) -> DataFrame:
+    """The table in a few lines of metadata, without any row of it: ``(line_no, line)``.
+
+    ``numbers`` numeric columns and ``messages`` findings are told; None is all.
+    """
     spread = profile(table.df, table.types, QUANTILES)
     found, score = score_parts(table, spread)
     row = score.collect()[0]
@@ -80,13 +85,14 @@ def table_context(table: Table, name: str = "Dataset") -> DataFrame:
         "Identifier columns": ("id_column",), "Text/high-card cols": ("text", "high_cardinality"),
     }
     lines += [f"  - {label:19}: {', '.join(table.of_type(*types)) or 'None'}" for label, types in groups.items()]
-    columns = table_profile(table, found).orderBy("ordinal").collect()
-    absent = [f"{c.column} ({c.missing_pct}% missing)" for c in columns if c.missing_pct > 0]
+    columns = table_profile(table, found, numbers).orderBy("ordinal").collect()
+    gaps = {r.column for r in found.frame.where("missing > 0").select("column").collect()}
+    absent = [f"{c.column} ({c.missing_pct}% missing)" for c in columns if c.column in gaps]
     lines += [f"Missing values : {', '.join(absent) or 'No missing values.'}", "Numeric column statistics:"]
     lines += [
         f"  - {c.column}: min={c.minimum:.2f}, max={c.maximum:.2f}, mean={c.mean:.2f}, median={c.median:.2f}" for c in columns if c.median is not None
     ]
-    lines += ["Quality findings:", *[f"  - {f.message}" for f in findings(table, (found, score)).limit(V.CONTEXT_FINDINGS).collect()]]
+    lines += ["Quality findings:", *[f"  - {f.message}" for f in findings(table, (found, score)).collect()[:messages]]]
     return local_frame(table.df.sparkSession, list(enumerate(lines, 1)), "line_no int, line string")
 
 
@@ -102,8 +108,9 @@ def table_delta(original: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def report(
-    table: Table, actions: Sequence[str] = (), name: str = "Dataset", as_of: datetime.datetime | None = None
-) -> DataFrame:
+    table: Table, actions: Sequence[str] = (), name: str = "Dataset", as_of: datetime.datetime | None = None,
+    category_columns: int | None = V.SEGMENT_COLUMNS, top_columns: int | None = V.TOP_COLUMNS,
+) -> DataFrame:
     """The whole report as ``(line_no, line)``: a few lines per column, made from small frames."""
     as_of = as_of or datetime.datetime.now()
     dates = table.of_type("date_column")
@@ -113,8 +120,8 @@ def report(
         lambda: profile(table.df, table.types, wanted),
         lambda: count_copies(table.df),
         lambda: date_range(table.df, dates[0], as_of).collect()[0] if dates else (None, None),
-        lambda: _category_lines(table),
-        lambda: _segment_lines(table),
+        lambda: _category_lines(table, category_columns),
+        lambda: _segment_lines(table, top_columns),
     )
     found, score = score_parts(table, spread, n_copies)
     sections.insert(0, _money_lines(table, spread))
@@ -145,10 +152,10 @@ def _money_lines(table: Table, found: Profile) -> list[str]:
     return lines
 
 
-def _category_lines(table: Table) -> list[str]:
+def _category_lines(table: Table, limit: int | None) -> list[str]:
     if not table.of_type("categorical"):
         return []
-    lines, rows = ["  Category Breakdowns:"], report_categories(table).orderBy("ordinal", "place").collect()
+    lines, rows = ["  Category Breakdowns:"], report_categories(table, limit).orderBy("ordinal", "place").collect()
     for ordinal in sorted({r.ordinal for r in rows}):
         group = [r for r in rows if r.ordinal == ordinal]
         lines.append(f"    {group[0].column} ({group[0].categories} categories):")
@@ -158,10 +165,10 @@ def _category_lines(table: Table) -> list[str]:
     return lines
 
 
-def _segment_lines(table: Table) -> list[str]:
+def _segment_lines(table: Table, limit: int | None) -> list[str]:
     if not table.of_type("high_cardinality"):
         return []
-    lines, rows = ["  High-Volume Segments (Top 5 each):"], report_top(table).orderBy("ordinal", "place").collect()
+    lines, rows = ["  High-Volume Segments (Top 5 each):"], report_top(table, limit=limit).orderBy("ordinal", "place").collect()
     for ordinal in sorted({r.ordinal for r in rows}):
         group = [r for r in rows if r.ordinal == ordinal]
         lines += [f"    {group[0].column}:", *[f"      {r.value:35} {r['count']:>7,}  ({r.pct_of_rows}%)" for r in group], ""]

@@ -120,3 +120,36 @@ def test_approximate_median_keeps_its_bound(spark, shape):
     assert approximate_quantile(df.where("false"), F.col("x"), 0.5, 0.1).value is None
     filled = cleaning.fill_missing(df, "x", "median", rank_error=0.01).df
     assert filled.where("x IS NULL").count() == 0
+
+
+AUDITED = [STEPS[0], STEPS[1], STEPS[3], ("remove_duplicates", {}), ("fill_missing", {"name": "n", "strategy": "constant", "value": 0}), ("drop_column", {"name": "pay"})]
+
+
+def test_audit_beside_a_write(spark, untidy, tmp_path):
+    made, path = built(AUDITED), str(tmp_path / "clean")
+    results = made.bind(untidy)
+    want = made.audit(untidy).collect()
+    assert want[3].rows_before > want[3].rows_after and want[0].cells_changed > 50
+
+    frames = []
+    spark.sparkContext.setJobGroup("write alone", "")
+    results[-1].df.write.parquet(str(tmp_path / "alone"))
+    alone = len(spark.sparkContext.statusTracker().getJobIdsForGroup("write alone"))
+
+    def write(df):
+        frames.append(df.columns)
+        spark.sparkContext.setJobGroup("beside", "")
+        df.write.parquet(path)
+
+    got = made.audit_beside(untidy, write)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("beside"))
+    spark.sparkContext.setJobGroup("", "")
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want]
+    assert jobs == alone and frames == [results[-1].df.columns]
+    assert rows_of(spark.read.parquet(path)) == rows_of(results[-1].df)
+
+
+def test_audit_beside_a_write_of_no_rows_and_of_no_steps(spark, untidy, tmp_path):
+    got = built(AUDITED).audit_beside(untidy.where("false"), lambda df: df.write.parquet(str(tmp_path / "none"))).collect()
+    assert [(r.rows_before, r.rows_after, r.cells_changed) for r in got] == [(0, 0, 0)] * len(AUDITED)
+    assert Recipe().audit_beside(untidy, lambda df: df.write.format("noop").mode("overwrite").save()).collect() == []
