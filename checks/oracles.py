@@ -725,6 +725,18 @@ ORACLES["recipe_audit"] = with_dirty(
         ]
     ),
 )
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"]
+PAIRS = [(a, b) for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :]]
+ORACLES["correlation_vif"] = with_dirty(
+    "dirty_lineitem",
+    f""", whole AS (SELECT corr(l_quantity, l_extendedprice) AS ab, corr(l_quantity, l_discount) AS ac, corr(l_extendedprice, l_discount) AS bc, count(*) AS n
+  FROM dirty_lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL),
+ v AS (SELECT n, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS d, ab, ac, bc FROM whole)
+ {union([f"SELECT 'pair' AS part, '{a}' AS column_a, '{b}' AS column_b, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n_rows, {rnd(f'corr({a}, {b})', 8)} AS value FROM dirty_lineitem" for a, b in PAIRS])}
+ UNION ALL SELECT 'vif', 'l_quantity', NULL, n, {rnd('(1 - bc * bc) / d', 8)} FROM v
+ UNION ALL SELECT 'vif', 'l_extendedprice', NULL, n, {rnd('(1 - ac * ac) / d', 8)} FROM v
+ UNION ALL SELECT 'vif', 'l_discount', NULL, n, {rnd('(1 - ab * ab) / d', 8)} FROM v""",
+)
 ORACLES["fill_median_approx"] = with_dirty("dirty_orders", "SELECT count(*) AS n_rows, 0::BIGINT AS left_missing, true AS within_bound FROM dirty_orders")
 ORACLES["recipe_audit_written"] = with_dirty(
     "dirty_customer",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.columns import col
 from tablescope.operators import charts, cleaning, tallies, timeline, transforms
 from tablescope.plans import insights as I
-from tablescope.plans import quality, recipe, report, semantic
+from tablescope.plans import correlation, quality, recipe, report, semantic
 from tablescope.plans.measures import together
 from tablescope.plans.profile import QUALITY_QUANTILES, missing_profile, profile
 from tablescope.session import scratch_path
@@ -258,6 +258,21 @@ def column_health(spark, sf_dir):
     return quality.column_health(prepared(spark, sf_dir, "dirty_lineitem"))
 
 
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"]
+
+
+@query("correlation_vif")
+def correlation_vif(spark, sf_dir):
+    """Variance inflation of three columns of an untidy table, beside their correlations with each other."""
+    df = read(spark, sf_dir, "dirty_lineitem").select(*MEASURES)
+    pairs, vif = together(lambda: correlation.correlations(df), lambda: correlation.variance_inflation(df, MEASURES[:3]))
+    parts = [
+        pairs.select(F.lit("pair").alias("part"), "column_a", "column_b", "n_rows", F.col("correlation").alias("value")),
+        vif.select(F.lit("vif").alias("part"), F.col("column").alias("column_a"), F.lit(None).cast("string").alias("column_b"), "n_rows", F.col("vif").alias("value")),
+    ]
+    return rounded(parts[0].unionByName(parts[1]), 8, "value")
+
+
 # --- Cleaning ------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +39,29 @@ def parse_date(column: Column, pattern: str) -> Column:
     return F.when(F.year(read) > V.LAST_TWO_DIGIT_YEAR, read - F.expr("INTERVAL 100 YEARS")).otherwise(read)
 
 
-def _date_measures(name: str) -> dict[tuple, Measure]:
-    return {("date", name, p): rows_where(parse_date(col(name), p).isNotNull()) for p in V.DATE_FORMATS}
+def fitting_formats(value: Column) -> Column:
+    """Bit set of the formats that a text reads in, numbered in their order."""
+    fits = [F.when(parse_date(value, p).isNotNull(), 1 << i).otherwise(0) for i, p in enumerate(V.DATE_FORMATS)]
+    digits = value.rlike(r"\d")  # every format has some
+    return F.when(digits, reduce(operator.add, fits)).otherwise(0)
+
+
+def format_votes(df: DataFrame, names: list[str]) -> dict[tuple, int]:
+    """How many values of each column read in each format, as ``("date", column, format)``.
+
+    Columns are in long form and every value casts one vote, its bit set; votes are counted per column, and the few sets that
+    occur are added up here.  So the compiled code and the states do not grow with formats times columns.
+    """
+    counts = dict.fromkeys([("date", n, p) for n in names for p in V.DATE_FORMATS], 0)
+    if not names:
+        return counts
+    cells = df.select(F.posexplode(F.array(*[col(n) for n in names])).alias("c", "v")).where("v IS NOT NULL")
+    votes = cells.select("c", fitting_formats(F.col("v")).alias("set")).where("set <> 0").groupBy("c", "set").agg(F.count(F.lit(1)).alias("n"))
+    for r in votes.collect():
+        for i, p in enumerate(V.DATE_FORMATS):
+            if r.set >> i & 1:
+                counts["date", names[r.c], p] += r.n
+    return counts
 
 
 def _best_format(seen: dict, name: str, n_rows: int) -> tuple[str, int]:
@@ -52,7 +75,7 @@ def _best_format(seen: dict, name: str, n_rows: int) -> tuple[str, int]:
 
 def convert_date(df: DataFrame, name: str) -> DataFrame:
     """Replace a text column by timestamps if enough of all rows read as dates, else leave it."""
-    seen = gather(df, {"rows": rows(), **_date_measures(name)})
+    seen = {"rows": df.count()} | format_votes(df, [name])
     pattern = _accepted_format(seen, name)
     return df if pattern is None else df.withColumn(name, parse_date(col(name), pattern))
 
@@ -77,9 +100,8 @@ def detect(df: DataFrame) -> Table:
     for name in counted:
         measures[("present", name)] = rows_where(col(name).isNotNull())
         measures[("distinct", name)] = distinct_estimate(col(name))
-    for name in dated:
-        measures.update(_date_measures(name))
-    seen = gather(df, measures)
+    seen, votes = together(lambda: gather(df, measures), lambda: format_votes(df, dated))
+    seen |= votes
     unsure = [
         n
         for n in counted
@@ -150,13 +172,12 @@ def _numeric_looking(name: str, dtype: T.DataType) -> Column:
 
 
 def _shape_measures(name: str, dtype: T.DataType) -> dict[tuple, Measure]:
-    """How many values look like numbers, money or dates."""
+    """How many values look like numbers or money."""
     measures: dict[tuple, Measure] = {("shaped", name): rows_where(col(name).isNotNull())}
     if is_text(dtype) or is_number(dtype):
         measures[("numeric", name)] = rows_where(_numeric_looking(name, dtype))
     if is_text(dtype):
         measures[("currency", name)] = rows_where(col(name).rlike(V.CURRENCY_TEXT_PATTERN))
-        measures.update(_date_measures(name))
     return measures
 
 
@@ -174,11 +195,14 @@ def expected_types(df: DataFrame, sample_rows: int | None = None, order_by: str
         measures[("present", name)] = rows_where(col(name).isNotNull())
         if not is_nested(dtype):
             measures[("distinct", name)] = distinct_estimate(col(name))
+    texts = [n for n, t in fields.items() if is_text(t)]
     if sample_rows is None:
-        seen = gather(df, measures | {k: m for shape in shapes.values() for k, m in shape.items()})
+        found = together(lambda: gather(df, measures | {k: m for shape in shapes.values() for k, m in shape.items()}), lambda: format_votes(df, texts))
+        seen = found[0] | found[1]
     else:
         first = {n: df.where(col(n).isNotNull()).orderBy(col(order_by)).limit(sample_rows).select(col(n)) for n in fields}
-        found = together(lambda: gather(df, measures), *[lambda n=n: gather(first[n], {"rows": rows()} | shapes[n]) for n in fields])
+        votes = [lambda n=n: format_votes(first[n], [n]) for n in texts]
+        found = together(lambda: gather(df, measures), *votes, *[lambda n=n: gather(first[n], {"rows": rows()} | shapes[n]) for n in fields])
         seen = {k: v for part in found[1:] for k, v in part.items() if k != "rows"} | found[0]
     unsure = []
     for name, dtype in fields.items():

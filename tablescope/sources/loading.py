@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,17 +60,42 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(typed) if typed else df
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether any quoted field holds a line break: then some line has an odd number of quotes."""
-    lines = spark.read.text(path)
+def odd_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of which some line has an odd number of quotes: only in these can a quoted field hold a line break.
+
+    One scan; what reaches the driver is one path for each such file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).isEmpty()
+    return [_place(r.file) for r in lines.where(quotes % 2 == 1).select("file").distinct().collect()]
+
+
+def _place(uri: str) -> str:
+    """One spelling of a file's place: unescaped, and one slash where it names no host."""
+    return re.sub(r"^([\w+.-]+):///+", r"\1:/", unquote(uri))
+
+
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether any quoted field may hold a line break."""
+    return bool(odd_files(spark, path))
 
 
 def scan_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """All columns as text.  Files are read in splits unless a quoted field really spans lines."""
-    multi_line = spans_lines(spark, path) if multi_line is None else multi_line
-    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8")
+    """All columns as text.  Files are read in splits; only those with an odd line of quotes are read as a whole, each by
+    one task.  Columns are taken by position, named by the first header.  ``multi_line`` sets it for all files."""
+
+    def read(paths, whole: bool, schema=None) -> DataFrame:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.csv(paths, header=True, quote='"', escape='"', multiLine=whole, encoding="UTF-8")
+
+    odd = odd_files(spark, path) if multi_line is None else []
+    plain = read(path, bool(multi_line))
+    if not odd:
+        return plain
+    whole = read(path, True)  # the header itself may hold a quoted line break
+    even = sorted(set(map(_place, whole.inputFiles())) - set(odd))
+    parts = ([read(even, False, whole.schema)] if even else []) + [read(sorted(odd), True, whole.schema)]
+    return reduce(DataFrame.union, parts)
 
 
 def prepare(df: DataFrame, tokens: Sequence[str] = V.NULL_TOKENS) -> Table:

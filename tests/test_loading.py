@@ -119,3 +119,33 @@ def test_scratch_folders_are_shared(spark, tmp_path):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(ValueError):
             scratch_path(Elsewhere, "x")
+
+
+def test_only_files_with_odd_quotes_are_read_whole(spark, tmp_path):
+    for i in range(10):
+        text = 'x\ny "z"' if i == 4 else f"t {i}"
+        quoted = '"' + text.replace('"', '""') + '"'
+        (tmp_path / f"part {i}.csv").write_text(f'id,"a b"\n{i},{quoted}\n{i + 100},"say ""hi"""\n')
+    odd = loading.odd_files(spark, str(tmp_path))
+    assert [p.rsplit("/", 1)[1] for p in odd] == ["part 4.csv"]
+    df = loading.scan_csv(spark, str(tmp_path))
+    assert df.columns == ["id", "a b"]
+    got = {r.id: r["a b"] for r in df.collect()}
+    assert len(got) == 20 and got["4"] == 'x\ny "z"' and got["3"] == "t 3" and got["104"] == 'say "hi"'
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2
+    assert loading.scan_csv(spark, str(tmp_path / "part 1.csv")).count() == 2
+
+
+def test_votes_count_every_format_a_text_reads_in(spark):
+    from tablescope.functions import vocabulary as V
+    from tablescope.functions.columns import col
+    from tablescope.plans.semantic import format_votes, parse_date
+
+    values = ["2024-01-02", "2024-13-02", "1/2/2024", "13/2/2024", "Jan 2, 2024", None, "", "20240102", "no date 5", "1/2/24", "2024-01-02 10:20", "5.6.2024"]
+    df = spark.createDataFrame([(v, w) for v, w in zip(values, reversed(values))], "a string, `b.c` string")
+    got = format_votes(df, ["a", "b.c"])
+    for name in df.columns:
+        for p in V.DATE_FORMATS:
+            assert got["date", name, p] == df.where(parse_date(col(name), p).isNotNull()).count()
+    assert format_votes(df, []) == {}
