@@ -19,6 +19,7 @@ from .measures import DISTINCT_LOG_SIZE
 # Relative width around a threshold inside which a sketch is not believed, above four of its standard errors (0.83 /
 # sqrt(2^14) is 0.0065).  A unique column, whose estimate is around all of its values, is clear of a threshold of 0.95.
 DOUBT = 0.03
+HELD = 1024
 
 
 def exact_distinct(df: DataFrame, names: Sequence[str]) -> dict[str, int | None]:
@@ -37,14 +38,17 @@ def exact_distinct(df: DataFrame, names: Sequence[str]) -> dict[str, int | None]
 def at_most(df: DataFrame, name: str, limit: int) -> list | None:
     """The distinct values of a column, or None where there are more than ``limit``.
 
-    A sketch, exact for as few values as a limit has, is asked first: a column with many values is never grouped.
+    One scan with two small states: a sketch of how many values there are, exact for as few as a limit has, and a frequent-items
+    sketch that holds every value until there are ``HELD`` of them.  So no value is shuffled.
     """
     value = F.when(col(name).isNotNull(), F.xxhash64(comparable(df, name)))
-    estimate = df.agg(F.hll_sketch_estimate(F.hll_sketch_agg(value, F.lit(DISTINCT_LOG_SIZE)))).collect()[0][0] or 0
-    if estimate > limit * (1 + DOUBT) + 1:
-        return None
-    values = [r[0] for r in df.select(col(name)).where(col(name).isNotNull()).distinct().limit(limit + 1).collect()]
-    return values if len(values) <= limit else None
+    present = df.select(col(name).alias("v"), value.alias("h")).where("v IS NOT NULL")
+    if is_nested(df.schema[name].dataType) or limit >= HELD // 2:
+        values = [r[0] for r in present.select("v").distinct().limit(limit + 1).collect()]
+        return values if len(values) <= limit else None
+    held = present.agg(F.hll_sketch_estimate(F.hll_sketch_agg("h", F.lit(DISTINCT_LOG_SIZE))).alias("n"), F.expr(f"approx_top_k(v, {limit + 1}, {HELD})").alias("top"))
+    row = held.collect()[0]
+    return None if (row.n or 0) > limit or len(row.top) > limit else [t["item"] for t in row.top if t["item"] is not None]
 
 
 def doubtful(estimate: float, threshold: float) -> bool:

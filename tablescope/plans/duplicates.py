@@ -8,7 +8,8 @@ bytes in one broadcast row, sized by the number of digests seen twice; with more
 it, at worst all of them, and the plan does what it did without a filter.
 
 All is one lazy plan: no job before the result is asked for, nothing written.  The input is read three times (digests, rows
-that hit, rows that do not), in exchange for not shuffling its rows.
+that hit, rows that do not), in exchange for not shuffling its rows.  That does not pay for a table of which Catalyst knows that
+it is under ``FILTER_FROM`` bytes: such a table is grouped whole, with the same result.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from ..functions.columns import col, comparable, holds_map, is_nested
 
 FILTER_BITS = 1 << 26  # eight megabytes
+FILTER_FROM = 32 << 20
 BITS_PER_DIGEST = 16  # one lone row in 400 hits a filter of this density by chance
 
 
@@ -86,10 +88,16 @@ def with_hits(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return joined.withColumn("__hit", hit[0] & hit[1] & hit[2] & hit[3]).drop("__words", "__bits", "__h1", "__h2")
 
 
-def distinct_rows(df: DataFrame, row_id: str | None = None) -> DataFrame:
-    """One row of each set of equal rows; with ``row_id``, the one with the lowest id."""
+def worth_a_filter(df: DataFrame) -> bool:
+    """Whether the table is not known to be small (an upper estimate, from files and expressions; no job)."""
+    plan = getattr(df, "_jdf", None)
+    return plan is None or int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) >= FILTER_FROM
+
+
+def distinct_rows(df: DataFrame, row_id: str | None = None, filtered: bool | None = None) -> DataFrame:
+    """One row of each set of equal rows; with ``row_id``, the one with the lowest id.  ``filtered`` overrules the size check."""
     names = [n for n in df.columns if n != row_id]
-    if not names:
+    if not names or not (worth_a_filter(df) if filtered is None else filtered):
         return _grouped(df, names, row_id)
     marked = with_hits(df, names)
     alone = marked.where("NOT __hit").drop("__hit")
@@ -106,14 +114,14 @@ def _grouped(df: DataFrame, names: Sequence[str], row_id: str | None) -> DataFra
     return keyed.groupBy(*[f"__g{i}" for i in range(len(names))]).agg(*kept).select(*[col(n) for n in df.columns])
 
 
-def preview_copies(df: DataFrame, row_id: str, limit: int) -> DataFrame:
+def preview_copies(df: DataFrame, row_id: str, limit: int, filtered: bool | None = None) -> DataFrame:
     """The first ``limit`` rows that have a twin, in row order, with their row number.
 
     Only rows that hit the filter of copies are grouped.  A group holds at least two rows, so the first ``limit`` groups in
     order are enough; they are joined back as a broadcast of at most ``limit`` rows, and no group is ever gathered whole.
     """
     names = [n for n in df.columns if n != row_id]
-    hits = with_hits(df, names).where("__hit").drop("__hit")
+    hits = with_hits(df, names).where("__hit").drop("__hit") if (worth_a_filter(df) if filtered is None else filtered) else df
     order = [F.col(f"g{i}").asc_nulls_last() for i in range(len(names))]
     first = row_groups(hits, names).where("copies > 1").orderBy(*order).limit(limit).drop("copies")
     same = [comparable(df, n).eqNullSafe(F.col(f"g{i}")) for i, n in enumerate(names)]

@@ -53,16 +53,16 @@ def _first(counted: DataFrame, n: int) -> list:
 
 def _by_sketch(x: DataFrame, n: int) -> Leaders | None:
     wanted = CANDIDATES * n
-    if x.isEmpty():
-        return Leaders([], 0, True)
-    part = x.groupBy((F.spark_partition_id() % FAN_IN).alias("fan")).agg(
+    blank = x.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in x.schema.fields])  # merged states need one at least
+    part = x.unionByName(blank).groupBy((F.spark_partition_id() % FAN_IN).alias("fan")).agg(
         F.expr(f"approx_top_k_accumulate(value, {TRACKED})").alias("sketch"), F.count(F.lit(1)).alias("rows"), F.count("value").alias("present")
     )
     seen = part.agg(
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {wanted + 1})").alias("top"), F.sum("rows").alias("rows"), F.sum("present").alias("present")
     ).collect()[0]
+    n_rows = seen.rows - 1
     if not seen.present:
-        return Leaders([], seen.rows, True)
+        return Leaders([], n_rows, True)
     candidates = [c for c in seen.top if c["item"] is not None][:wanted]  # missing cells are counted apart
     error = SLACK / TRACKED * seen.rows
     # no value outside the list is estimated above its end; a list that is not full leaves out only values within the error
@@ -76,5 +76,5 @@ def _by_sketch(x: DataFrame, n: int) -> Leaders | None:
         return None
     if counted[-1]["count"] <= outside:
         return None
-    return Leaders(counted, seen.rows, True)
+    return Leaders(counted, n_rows, True)
 

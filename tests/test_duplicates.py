@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from tablescope.plans import duplicates
 
 
+@pytest.fixture(autouse=True)
+def any_size(monkeypatch):
+    monkeypatch.setattr(duplicates, "FILTER_FROM", 0)
+
+
 def wide(spark, n, copies):
     """``n`` different rows, the first ``copies`` of them twice, with an id."""
     base = spark.range(n).select(F.col("id").alias("k"), F.concat(F.lit("row "), F.sha2(F.col("id").cast("string"), 512)).alias("t"), (F.col("id") / 3).alias("x"))
@@ -74,3 +79,12 @@ def test_no_rows_and_no_columns(spark):
     assert duplicates.distinct_rows(empty).collect() == [] and duplicates.preview_copies(empty, "a", 5).collect() == []
     hot = spark.range(3000).select(F.lit("same").alias("t"))
     assert [r.t for r in duplicates.distinct_rows(hot).collect()] == ["same"]
+
+
+def test_small_tables_are_grouped_whole(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "FILTER_FROM", 32 << 20)
+    small, large = spark.range(100).selectExpr("id % 9 AS k"), spark.range(10**8).selectExpr("id AS k", "id % 5 AS v")
+    assert not duplicates.worth_a_filter(small) and duplicates.worth_a_filter(large)
+    assert "__hit" not in duplicates.distinct_rows(small)._jdf.queryExecution().analyzed().toString()
+    assert "__hit" in duplicates.distinct_rows(large)._jdf.queryExecution().analyzed().toString()
+    assert duplicates.distinct_rows(small).count() == duplicates.distinct_rows(small, filtered=True).count() == 9
