@@ -9,8 +9,10 @@ Passages have twice the words of the longest item and step by half, so an item's
 Passages in which no item can reach the threshold, given its rare terms there and all of its frequent ones, are found for
 a whole batch at once and left before the traversal.
 
-The index is sent to the tasks in shards of ``SHARD_ITEMS`` items of at most ``ITEM_WORDS`` words each; more items mean
-more passes over the documents.  Longer items are searched as pieces of equal size; where one is found, the whole item is
+The index is sent to the tasks in shards of about ``SHARD_ITEMS`` items, dealt by a hash, of at most ``ITEM_WORDS`` words each;
+more items mean more passes over the documents, one after the other.  What scores depend on beyond an item (how many items hold
+a term, their number and mean length, the length of passages) is counted over all items by Spark first, so hits and scores are
+the same however the items are dealt.  The driver holds one shard at a time.  Longer items are searched as pieces of equal size; where one is found, the whole item is
 scored and its question and answer compared in the passages of twice the item's words around it.  Terms are words of letters
 and digits in lower case.  Items with fewer than ``min_words`` terms share too few terms to be ranked: with ``short`` they
 are found where a document has all of their terms, question and answer, one after the other, by a trie over the
@@ -22,12 +24,14 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import stored, texts
 
 SHARD_ITEMS = 20_000
 ITEM_WORDS = 400
@@ -55,29 +59,49 @@ def halves(text: str) -> tuple[list[str], list[str]]:
     return words[: len(words) // 2], words[len(words) // 2 :]
 
 
+def pieces(words: list) -> list[list]:
+    """An item's terms, cut into as few equal pieces as ``ITEM_WORDS`` allows."""
+    n = max(1, -(-len(words) // ITEM_WORDS))
+    return [words[k * len(words) // n : (k + 1) * len(words) // n] for k in range(n)]
+
+
+class Statistics(NamedTuple):
+    """Of all items, whatever their shard: pieces, their mean and largest number of terms, and how many hold a term."""
+
+    n: int
+    mean: float
+    longest: int
+    holders: dict[str, int]
+
+    @classmethod
+    def of(cls, docs: list[list[str]]) -> Statistics:
+        holders = Counter(w for words in docs for w in set(words))
+        return cls(len(docs), sum(map(len, docs)) / max(1, len(docs)), max(map(len, docs), default=1), holders)
+
+
 class Index:
-    """Postings of one shard: per term, item numbers, impacts and block maxima."""
+    """Postings of one shard: per term, item numbers, impacts and block maxima.  Made of plain lists, sets and dicts."""
 
-    def __init__(self, items: list[tuple[object, str]], k1: float = 1.2, b: float = 0.75, short: list[tuple[object, str]] = ()):
+    def __init__(self, items: list[tuple[object, str]], k1: float = 1.2, b: float = 0.75, short: list[tuple[object, str]] = (), known: Statistics | None = None):
         self.ids, docs, self.halves, self.whole = [], [], [], []
         for i, t in items:
             words, both = terms(t), tuple(map(shingles, halves(t)))
-            n = max(1, -(-len(words) // ITEM_WORDS))
-            whole = [len(words), {}, len(docs)] if n > 1 else None  # terms, raw impact of each, first piece
-            for k in range(n):
+            cut = pieces(words)
+            whole = [len(words), {}, len(docs)] if len(cut) > 1 else None  # terms, raw impact of each, first piece
+            for piece in cut:
                 self.ids.append(i)
-                docs.append(words[k * len(words) // n : (k + 1) * len(words) // n])
+                docs.append(piece)
                 self.halves.append(both)
                 self.whole.append(whole)
-        n, mean = len(docs), sum(map(len, docs)) / max(1, len(docs))
-        self.longest = max(map(len, docs), default=1)
+        all_n, mean, self.longest, holders = known or Statistics.of(docs)
+        n = len(docs)
         counts: dict[str, dict[int, int]] = {}
         for at, words in enumerate(docs):
             for w in words:
                 counts.setdefault(w, {}).setdefault(at, 0)
                 counts[w][at] += 1
         impact = {
-            w: {at: math.log(1 + (n - len(of) + 0.5) / (len(of) + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(docs[at]) / mean)) for at, f in of.items()}
+            w: {at: math.log(1 + (all_n - holders[w] + 0.5) / (holders[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(docs[at]) / mean)) for at, f in of.items()}
             for w, of in counts.items()
         }
         own = [0.0] * n
@@ -98,6 +122,14 @@ class Index:
         self.ranked = len(self.number)  # terms from here on are those of short items alone, without postings
         self.short_ids, self.short = [i for i, _ in short], [[self.number.setdefault(w, len(self.number)) for w in terms(t)] for _, t in short]
 
+    @classmethod
+    def again(cls, state: dict) -> Index:
+        """The index of a sent state, in a task."""
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        index.arrays()
+        return index
+
     def arrays(self) -> None:
         """Postings as arrays, for the bound on whole batches of passages; made where they are used."""
         import numpy as np
@@ -301,8 +333,7 @@ def _search(shard, threshold: float, overlap: float):
     def run(batches):
         import pyarrow as pa
 
-        index = shard.value
-        index.arrays()
+        index = Index.again(shard.value)
         words = _Words(index)
         for batch in batches:
             ids, body, found, first, size = batch.column(0), texts(batch.column(1)), [], 0, 0
@@ -320,40 +351,63 @@ def _search(shard, threshold: float, overlap: float):
     return run
 
 
+def _counted(min_words: int):
+    """Rows ``(shard, term, pieces that hold it)``, and for each shard without a term: pieces, their terms, the longest."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        holders, sizes = Counter(), {}
+        for batch in batches:
+            for shard, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = terms(t)
+                for piece in pieces(words) if len(words) >= min_words else ():
+                    holders.update((shard, w) for w in set(piece))
+                    n, total, longest = sizes.get(shard, (0, 0, 0))
+                    sizes[shard] = n + 1, total + len(piece), max(longest, len(piece))
+        rows = [(k, w, n, 0, 0) for (k, w), n in holders.items()] + [(k, None, *v) for k, v in sizes.items()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        for at in range(0, len(rows), 100_000):
+            columns = zip(*rows[at : at + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "term", "n", "total", "longest"])
+
+    return run
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *,
     threshold: float = 0.7, overlap: float = 0.8, min_words: int = 8, short: bool = False,
 ) -> DataFrame:
     """Rows ``(id, item_id, score, question_overlap, answer_overlap)``, one for each document and item found in it."""
-    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     kinds = docs.schema[id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     kind = f"id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
     narrow = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    passes, shard, phrases = [], [], []
-
-    def searched():
-        run = _search(spark.sparkContext.broadcast(Index(shard, short=phrases)), threshold, overlap)
+    listed = stored(items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL"), "items")
+    shards = max(1, math.ceil(listed.count() / SHARD_ITEMS))
+    listed = listed.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
+    rows = listed.select("shard", "t").mapInArrow(_counted(min_words), "shard bigint, term string, n bigint, total bigint, longest bigint")
+    counts = stored(rows.groupBy("shard", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("longest")), "item-terms")
+    sizes = counts.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.max("longest"), F.lit(1))).first()
+    holders = counts.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    passes = []
+    for k in range(shards):
+        mine = counts.where((F.col("shard") == k) & F.col("term").isNotNull()).select("term")
+        known = dict(holders.join(mine, "term").collect()) if shards > 1 else dict(holders.collect())
+        known = Statistics(sizes[0], sizes[1] / max(1, sizes[0]), sizes[2], known)
+        held = sorted(((r.i, r.t) for r in listed.where(F.col("shard") == k).select("i", "t").collect()), key=lambda x: (x[1], str(x[0])))
+        long = [(i, t) for i, t in held if len(terms(t)) >= min_words]
+        phrases = [(i, t) for i, t in held if 0 < len(terms(t)) < min_words] if short else []
+        sent = spark.sparkContext.broadcast(Index(long, short=phrases, known=known).__dict__)
+        run = _search(sent, threshold, overlap)
         run.kind = to_arrow_type(items.schema[item_id].dataType)
-        passes.append(narrow.mapInArrow(run, kind))
-
-    for row in items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator():
-        words = terms(row.t)
-        if len(words) < min_words:
-            if words and short:
-                phrases.append((row.i, row.t))
-                if len(phrases) == SHARD_ITEMS:
-                    searched()
-                    shard, phrases = [], []
-            continue
-        shard.append((row.i, row.t))
-        if len(shard) == SHARD_ITEMS:
-            searched()
-            shard, phrases = [], []
-    if shard or phrases or not passes:
-        searched()
+        found = narrow.mapInArrow(run, kind)
+        if shards > 1:  # one index at a time, here and in the executors
+            found = stored(found, "item-hits")
+            sent.unpersist()
+        passes.append(found)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
     return reduce(DataFrame.union, passes).groupBy("id", "item_id").agg(best).select(F.col("id").alias(id), F.col("item_id"), "best.*")
 
