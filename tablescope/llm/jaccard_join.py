@@ -15,7 +15,8 @@
 No pair is written but links that hold, and those only as a spanning forest of each block.
 
 ``100 * shared >= percent * union`` links.  Null or empty texts have an empty set and link with nothing; fewer words than
-a shingle make one shingle of all.  Rows with one id are one node; a null id is a node that is reported without component.
+a shingle make one shingle of all.  Rows with one id are one document with all links of their texts; each reports the size of its
+own set.  Each row with a null id is a document that is reported without component and links with nothing.
 """
 
 from __future__ import annotations
@@ -193,10 +194,15 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     sets = shingle_sets(docs, id, text, length=length, percent=percent)
     able = sets.where("recurring is not null")
-    classes = stored(able.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("class"), F.max("id").alias("last")), "set-classes")
-    member = able.select("id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"]).select("id", "class")
-    heads = able.join(classes.select(F.col("class").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    heads = stored(heads.select("id", F.col("n_shingles").alias("n"), "recurring", "ranks"), "set-heads")
+    same = ["n_shingles", "set_a", "set_b"]
+    classes = able.groupBy(*same).agg(F.min("id").alias("least")).withColumn("class", F.monotonically_increasing_id())
+    classes = stored(classes, "set-classes")  # numbers are given once
+    member = stored(able.select("id", *same).join(classes, same).select("id", "class").distinct(), "set-members")
+    heads = able.join(classes.withColumnRenamed("least", "id"), [*same, "id"]).dropDuplicates(["class"])
+    heads = stored(heads.select(F.col("class").alias("id"), F.col("n_shingles").alias("n"), "recurring", "ranks"), "set-heads")
+    # an id with several texts joins their classes
+    first = member.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("id", "a")
+    joined = member.join(first, "id").where(F.col("a") < F.col("class")).select("a", F.col("class").alias("b"))
 
     keyed = heads.select("id", "n", "recurring", "ranks").mapInArrow(_keys(percent), "key bigint, id bigint, n bigint, most bigint, share double")
     keyed = stored(keyed, "set-keys")
@@ -209,7 +215,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     x = heads.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("recurring").alias("x"))
     y = heads.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("recurring").alias("y"))
     links = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_links(percent), "a bigint, b bigint"), "set-links")
-    parts = stored(components(spark, links, "set"), "set-parts")
+    parts = stored(components(spark, links.union(joined), "set"), "set-parts")
 
     # keys whose members are still in several components, one of those with the same members
     open_ = shared.select("key", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -233,7 +239,10 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     stars = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     parts = components(spark, stars.union(more), "set")
 
-    found = member.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").select(F.col("id").alias("__id"), F.coalesce("component", "class").alias("__component")).distinct()
+    placed = classes.select("class", "least").join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "class"))
+    least = placed.groupBy("component").agg(F.min("least").alias("__component"))
+    found = member.join(placed.join(least, "component"), "class").select(F.col("id").alias("__id"), "__component").distinct()
     done = sets.select("id", "n_shingles").join(found, sets["id"] == found["__id"], "left")
     return done.select(F.col("id").alias(id), "n_shingles", F.coalesce("__component", "id").alias("component_id"))
 
