@@ -2,7 +2,7 @@
 
 1. Pre-selection.  Of each 100-byte string the 50-byte string with the smallest rolling hash is its anchor; equal strings
    have equal anchors.  Chunks of documents ask which of their anchors recur, and of which shard they are (by the smallest
-   hash of a document that holds them, so that copies of one text share a shard).  The rest of the text is not sorted.
+   hash of a text that holds them, so that copies of one text share a shard).  The rest of the text is not sorted.
 2. In each chunk the stretches with recurring anchors are parsed: rolling-hash triggers cut them into phrases that overlap
    by a trigger.  The suffixes of the dictionary (distinct phrases) are ranked by prefix doubling, the parse (phrase ranks)
    likewise; a position's rank is that of its phrase suffix, then of the parse behind it, which is the corpus order
@@ -11,12 +11,14 @@
    chunk are settled before the shuffle, and a shard sees a much copied text once per chunk.
 
 Strings are compared by content in step 2; a hash only decides in step 1, where a false match costs time alone.  Null text
-is empty.  Rows with one id are told apart by the order of their texts; a null id comes before all others.  Texts shorter
+is empty.  Rows with one id are taken by chunk, then by text; a null id comes before all others.  Texts shorter
 than a span lose nothing.  Ids are integers.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,17 +212,30 @@ def _texts(table):
 
 
 def _anchored(data, ends, span: int):
-    """Starts of spans, the place of each span's anchor, and its hash."""
+    """Starts of spans; the first start of each run of spans with one anchor, the anchor's place and its hash.
+
+    The anchor is the least hash of a window, found by doubling: each pass takes the least of two windows of half the size.
+    The lowest bits of a hash give way to its place, so the least also tells where it is; of equal strings in one
+    window any may be the anchor, as their hash is the same."""
     import numpy as np
 
     half = span // 2
+    wide = span - half + 1
+    low = np.uint64((1 << (wide - 1).bit_length()) - 1)
     starts = np.flatnonzero(np.arange(len(data)) + span <= ends)
-    hashes = gram_hashes(data, half)
+    least = gram_hashes(data, half)
     if not len(starts):
-        return starts, starts, hashes[:0]
-    view = np.lib.stride_tricks.sliding_window_view(hashes, span - half + 1)
-    place = np.concatenate([s + view[s].argmin(axis=1) for s in np.array_split(starts, len(starts) // 50_000 + 1)])
-    return starts, place, hashes[place]
+        return starts, starts, starts, least[:0]
+    least = (least & ~low) | (np.arange(len(least), dtype=np.uint64) & low)
+    have = 1
+    while 2 * have <= wide:
+        least, have = np.minimum(least[:-have], least[have:]), 2 * have
+    if have < wide:
+        least = np.minimum(least[: have - wide], least[wide - have :])
+    least = least[starts]
+    place = starts + (((least & low).astype(np.int64) - starts) & int(low))
+    head = np.flatnonzero(np.diff(place, prepend=-1))
+    return starts, head, place[head], (least & ~low)[head]
 
 
 def _joined(stretches):
@@ -239,10 +254,12 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
     def state(table, _):
         import numpy as np
 
-        ids, data, owner, ends, _ = _texts(table)
-        _, place, keys = _anchored(data, ends, span)
+        _, data, owner, ends, sizes = _texts(table)
+        _, _, place, keys = _anchored(data, ends, span)
         place, one = np.unique(place, return_index=True)
-        by_doc = (C.mixed(np.array(ids, np.int64).astype(np.uint64)) >> np.uint64(33)).astype(np.uint32)[owner[place]]  # 31 bits
+        cuts, spelled = np.cumsum(sizes).tolist(), memoryview(data)
+        digests = [hashlib.blake2b(spelled[b - n : b], digest_size=8).digest() for b, n in zip(cuts, sizes.tolist())]
+        by_doc = (np.frombuffer(b"".join(digests), np.uint64) >> np.uint64(33)).astype(np.uint32)[owner[place]]  # 31 bits
         order = np.lexsort((by_doc, keys[one]))
         keys, by_doc = keys[one][order], by_doc[order]
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
@@ -261,11 +278,10 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
         import numpy as np
 
         ids, data, owner, ends, sizes = _texts(table)
-        starts, _, keys = _anchored(data, ends, span)
+        starts, head, _, keys = _anchored(data, ends, span)
         if not len(keys):
             return C.as_table([], STRETCH)
-        shard = C.said(answers, kind="<u4")[np.unique(keys, return_inverse=True)[1]]
-        del keys
+        shard = np.repeat(C.said(answers, kind="<u4")[np.unique(keys, return_inverse=True)[1]], np.diff(head, append=len(starts)))
         starts, shard = starts[shard > 0], shard[shard > 0]
         if not len(starts):
             return C.as_table([], STRETCH)
