@@ -1,6 +1,6 @@
 """Questions about keys of the whole corpus, asked by chunks of documents and answered by buckets of keys.
 
-Documents are dealt to chunks by a hash of their id and stored as a table bucketed by chunk (one shuffle of the texts;
+Documents are dealt to chunks by a hash of their id and text, so that rows of one id, or of none, do not meet, and stored as a table bucketed by chunk (one shuffle of the texts;
 every later pass reads a chunk in one place without moving it).  A chunk states its distinct keys, sorted, cut into
 buckets by their top bits, as one packed array per bucket.  A bucket meets each key once per chunk, however often the
 chunk holds it, and answers with one byte per key in the order asked.  So a key that a third of all documents hold costs
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import total_bytes
+from .common import texts, total_bytes
 
 CHUNK_BYTES = 6_000_000  # text of a chunk
 TASK_BYTES = 12_000_000  # text of the chunks that one task goes through
@@ -32,7 +32,7 @@ class Chunks:
         rows, size = total_bytes(docs, text)
         self.size, self.n = size, max(1, math.ceil(size / chunk_bytes), math.ceil(rows / 200_000))
         name = f"chunks_{uuid.uuid4().hex}"
-        narrow = docs.select(F.pmod(F.xxhash64(F.col(id)), F.lit(self.n)).cast("int").alias("chunk"), F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+        narrow = docs.select(F.pmod(F.xxhash64(F.col(id), F.col(text).cast("string")), F.lit(self.n)).cast("int").alias("chunk"), F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
         # chunks fall into the table's buckets by their hash, as they do in the shuffle: one task writes a bucket
         tasks = min(self.n, max(1, math.ceil(size / TASK_BYTES)))
         writer = narrow.repartition(tasks, "chunk").write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "chunks"))
@@ -53,8 +53,6 @@ class Chunks:
 
 def in_order(table):
     """Ids and texts (bytes) of a chunk, by id, then text; a null id comes first."""
-    from .common import texts
-
     ids = [NO_ID if x is None else x for x in table.column("id").to_pylist()]
     rows = sorted(zip(ids, texts(table.column("text"))))
     return [i for i, _ in rows], [t for _, t in rows]
@@ -90,6 +88,7 @@ def answered(messages: DataFrame, judge, *, short: bool = False, extra: str | No
     def run(table):
         import numpy as np
 
+        table = table.sort_by("chunk")  # equal keys are met in the order of their chunks
         chunks, buckets = table.column("chunk").to_pylist(), table.column("bucket").to_pylist()
         parts = [np.frombuffer(x, np.uint32 if short else np.uint64) for x in table.column("keys").to_pylist()]
         keys = np.concatenate(parts)
@@ -114,11 +113,14 @@ def recurring(keys, extra, order, starts):
 
 
 def earlier_elsewhere(keys, extra, order, starts):
-    """1 where another chunk holds the key in a document with a smaller id (``extra``: the chunk's smallest)."""
+    """1 where another chunk holds the key in a document with a smaller id (``extra``: the chunk's smallest), or with the
+    same id, of which the rows are taken by chunk."""
     import numpy as np
 
-    low = np.minimum.reduceat(extra[order], starts)
-    return (extra[order] > np.repeat(low, np.diff(starts, append=len(order)))).astype(np.uint8)
+    sizes = np.diff(starts, append=len(order))
+    low = extra[order] == np.repeat(np.minimum.reduceat(extra[order], starts), sizes)
+    before = np.cumsum(low) - low  # entries at the minimum so far
+    return (~low | (before > np.repeat(before[starts], sizes))).astype(np.uint8)
 
 
 def said(answers, first: int = 0, kind: str = "u1"):

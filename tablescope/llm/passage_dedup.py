@@ -11,8 +11,7 @@ A window is ``WINDOW`` consecutive words.  A word goes if a window over it has a
 3. Windows over an occurrence are hashed to 64 bits, stated once per chunk with the smallest id that holds them, and
    answered with "earlier elsewhere"; a chunk settles repeats among its own documents by their order.
 
-Null and empty texts have no words.  Rows with one id are told apart by the order of their texts; a null id comes before
-all others.  Ids are integers.  Kept words are joined by one space.
+Null and empty texts have no words.  Rows with one id are taken by chunk, then by text; a null id comes before all others.  Ids are integers.  Kept words are joined by one space.
 """
 
 from __future__ import annotations
