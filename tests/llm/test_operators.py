@@ -592,3 +592,76 @@ def test_pipeline_drops_documents_emptied_by_line_dedup(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert {i: (t or "").strip() for i, t in got.items()} == {5: copy + "own", 6: "", 7: "", 8: "", 9: "short"}
+
+
+def bm25_hits(docs, items, threshold, overlap):
+    """Scores by a BM25 of its own: passages of twice the longest item, half a step apart."""
+    split = {i: re.findall(r"\w+", (t or "").lower()) for i, t in items}
+    split = {i: w for i, w in split.items() if len(w) >= 8}
+    n, mean, step = len(split), sum(map(len, split.values())) / len(split), max(map(len, split.values()))
+    df = collections.Counter(w for words in split.values() for w in set(words))
+    texts, out = dict(items), {}
+
+    def impact(i, w):
+        f = split[i].count(w)
+        return math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(split[i]) / mean))
+
+    for d, text in docs:
+        words = re.findall(r"\w+", (text or "").lower())
+        for p in range(0, len(words) // step * step + 1, step):
+            here = words[p : p + 2 * step]
+            for i, mine in split.items():
+                score = sum(impact(i, w) for w in set(mine) & set(here)) / sum(impact(i, w) for w in set(mine))
+                shares = []
+                for half in decontamination.halves(texts[i]):
+                    grams = {tuple(half[k : k + 5]) for k in range(max(1, len(half) - 4))} if half else set()
+                    sizes = {len(g) for g in grams}
+                    seen = {tuple(here[k : k + m]) for m in sizes for k in range(len(here) - m + 1)}
+                    shares.append(len(grams & seen) / len(grams) if grams else 1.0)
+                if score >= threshold - 1e-9 and min(shares) >= overlap:
+                    out[d, i] = max(out.get((d, i), (0.0,)), (score, *shares))
+    return out
+
+
+@pytest.mark.parametrize("size", [4, 20_000])
+def test_scores_do_not_depend_on_shards(spark, monkeypatch, size):
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", size)
+    rng = random.Random(12)
+    items = [(i, " ".join(prose(rng, rng.randint(5, 12), 60).capitalize() + "." for _ in range(2))) for i in range(12)] + [(40, None), (41, "Too short"), (42, "")]
+    docs = [(i, prose(rng, rng.randint(0, 120), 60)) for i in range(30)]
+    docs += [(50 + i, f"{prose(rng, 20, 60)} {rng.choice(items[:12])[1]} {prose(rng, rng.randint(0, 60), 60)}") for i in range(25)]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for threshold, overlap in ((0.7, 0.8), (0.4, 0.0)):
+        got = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in decontamination.contaminated(*frames, threshold=threshold, overlap=overlap).collect()}
+        want = bm25_hits(docs, items, threshold, overlap)
+        assert got.keys() == want.keys() and len(want) > 15
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_links_of_an_id_with_several_texts(make, small_chunks):
+    """All texts of an id are its own: what links with either is in its component; rows without an id stay alone."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, x), (1, y), (2, x + " more"), (3, y + " more"), (4, z), (5, y), (5, z), (9, "alone here"), (None, x), (None, z), (7, x), (7, x)]
+    got = jaccard_join.jaccard_components(make(rows), length=3, percent=90).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 1), (9, 9), (None, None)}
+
+
+def test_rows_of_one_id_are_spread(make):
+    """With no id, or one id, rows go to as many chunks as wanted."""
+    for i in (None, 5):
+        corpus = chunks.Chunks(make([(i, f"text {k} " * 40) for k in range(200)]), "doc_id", "text", chunk_bytes=3000)
+        assert corpus.n >= 20 and corpus.table.select("chunk").distinct().count() >= 0.9 * corpus.n
+
+
+@pytest.mark.parametrize("call", ["passages", "bytes"])
+def test_repeats_of_rows_without_an_id(make, small_chunks, call):
+    """Rows of one id in several chunks: of each passage one copy is kept, whichever chunk comes first."""
+    rng = random.Random(7)
+    shared = [prose(rng, 50, 100_000) for _ in range(3)]
+    rows = [(None, f"{prose(rng, 60, 100_000)} {shared[k % 3]} {prose(rng, 60, 100_000)}") for k in range(60)]
+    run = passage_dedup.remove_repeated_passages if call == "passages" else suffix_dedup.remove_repeated_bytes
+    kept = [r[1] if isinstance(r[1], str) else bytes(r[1]).decode() for r in run(make(rows)).collect()]
+    for passage in shared:
+        middle = " ".join(passage.split()[20:30])
+        assert sum(middle in t for t in kept) == 1
