@@ -5,10 +5,14 @@ lines); for every cell (language, source) the minimum-covariance-determinant est
 by concentration steps, and documents beyond a Mahalanobis distance are rejected.  A base rule (too few words, too many
 repeated words) rejects first, and its rejects do not enter the estimates.
 
-A concentration step is one grouped pass: distances are cut into logarithmic bins, each (cell, bin) keeps count, sums and
-products, and the half-sample is the lowest bins that together hold the wanted share.  So a cell with a third of all rows
+Concentration starts from three robust estimates of a cell: quartile ranges alone, the correlations of its statistics pulled in by
+tanh, and those of their directions from the medians.  After ``TRIAL_STEPS`` steps from each, the start with the least
+determinant goes on, until the determinant of no cell falls any more or ``STEPS`` are done.
+
+A concentration step is one grouped pass over all starts: distances are cut into logarithmic bins, each (cell, start, bin) keeps
+count, sums and products, and the half-sample is the lowest bins that together hold the wanted share.  So a cell with a third of all rows
 is combined before the shuffle, and no row moves.  Statistics are rounded to 1/64, which makes sums exact and the first
-quartiles computable from value counts.  Small cells are pooled by language, then over all; a pool below ``MIN_ROWS`` has
+quartiles computable from value counts.  Small cells are pooled by language, then over all; a pool below ``min_rows`` has
 no verdict and keeps its documents.
 
 Null text has no words (and fails the base rule); null language or source is a value of its own.  Rows with one id share
@@ -19,14 +23,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, unused, words_of
 
 MIN_ROWS = 100  # fewest rows of which scatter is estimated
 SHARE = 0.75  # of a cell's rows that the estimate rests on
-STEPS = 4  # concentration steps
+TRIAL_STEPS, STEPS = 2, 8  # concentration steps from every start, and at most in all
+ENOUGH = 1e-3  # fall of the determinant's logarithm up to which a cell counts as settled
+SMALL = 50_000  # cells whose numbers are broadcast; about 400 bytes each
 CUTOFF = 40.0  # largest squared distance that is kept; the statistics have longer tails than the normal law
 BINS_PER_DOUBLING = 16
 #: Standard deviation added to each statistic, so that a statistic that is the same everywhere does not make small changes outliers.
@@ -86,17 +92,28 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).drop("__text", "__words", "__windows", "__lines", "__n_capitals", "__n_marks")
 
 
-def _celled(df: DataFrame, lang: str, source: str) -> DataFrame:
+def _dealt(cells: int):
+    """How a table of so many rows is joined: by broadcast up to ``SMALL`` rows, dealt by cell beyond."""
+    return F.broadcast if cells <= SMALL else lambda df: df
+
+
+def _celled(df: DataFrame, lang: str, source: str, min_rows: int) -> DataFrame:
     """Adds ``__cell``: language and source, or the pool that the row falls in, or null for too small a pool."""
     value = lambda c: F.coalesce(F.to_json(F.struct(F.col(c).cast("string").alias("v"))), F.lit("{}"))
     df = df.withColumns({"__lang": value(lang), "__source": value(source)})
     cells = df.where("not base_failed").groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("c", F.when(F.col("n") >= MIN_ROWS, F.concat_ws(" ", "__lang", "__source")))
+    cells = cells.withColumn("c", F.when(F.col("n") >= min_rows, F.concat_ws(" ", "__lang", "__source")))
     pools = cells.where("c is null").groupBy("__lang").agg(F.sum("n").alias("p"))
-    rest = pools.where(F.col("p") < MIN_ROWS).agg(F.sum("p").alias("r"))
+    rest = pools.where(F.col("p") < min_rows).agg(F.sum("p").alias("r"))
     cells = cells.join(pools, "__lang", "left").crossJoin(F.broadcast(rest))  # one row
-    cells = cells.select("__lang", "__source", F.coalesce("c", F.when(F.col("p") >= MIN_ROWS, F.concat(F.lit("* "), "__lang")), F.when(F.col("r") >= MIN_ROWS, F.lit("*"))).alias("__cell"))
-    return df.join(cells, ["__lang", "__source"], "left").drop("__lang", "__source")
+    cells = cells.select("__lang", "__source", F.coalesce("c", F.when(F.col("p") >= min_rows, F.concat(F.lit("* "), "__lang")), F.when(F.col("r") >= min_rows, F.lit("*"))).alias("__cell"))
+    cells = stored(cells, "per-cell")
+    return df.join(_dealt(cells.count())(cells), ["__lang", "__source"], "left").drop("__lang", "__source")
+
+
+def _keys(df: DataFrame) -> list[str]:
+    """An estimate is of a cell, or of a cell from one of several starts."""
+    return [c for c in ("__cell", "start") if c in df.columns]
 
 
 def _factored(scatter: DataFrame) -> DataFrame:
@@ -114,11 +131,11 @@ def _factored(scatter: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             below[f"l_{i}_{j}"] = rest / F.col(f"l_{j}_{j}")
         scatter = scatter.withColumns(below) if below else scatter
-    return scatter.select("__cell", *[f"m_{a}" for a in AXES], *[f"l_{i}_{j}" for i in range(n) for j in range(i + 1)])
+    return scatter.select(*_keys(scatter), *[f"m_{a}" for a in AXES], *[f"l_{i}_{j}" for i in range(n) for j in range(i + 1)])
 
 
 def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Adds ``__d2``, the squared Mahalanobis distance; null where the row's cell has no estimate."""
+    """Adds ``__d2``, the squared Mahalanobis distance, for each start of the estimate; null where the row's cell has none."""
     df = rows.join(estimate, "__cell", "left")
     for i, a in enumerate(AXES):
         y = F.col(f"__{a}") - F.col(f"m_{a}")
@@ -126,7 +143,7 @@ def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
             y = y - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
         df = df.withColumn(f"y_{i}", y / F.col(f"l_{i}_{i}"))
     d2 = sum((F.col(f"y_{i}") ** 2 for i in range(1, len(AXES))), F.col("y_0") ** 2)
-    return df.withColumn("__d2", d2).select(*rows.columns, "__d2")
+    return df.withColumn("__d2", d2).select(*rows.columns, *_keys(estimate)[1:], "__d2")
 
 
 def chi2_cdf(x: float, freedom: int) -> float:
@@ -153,37 +170,92 @@ def _first_estimate(rows: DataFrame) -> DataFrame:
     ).toDF("__cell", *[f"m_{a}" for a in AXES], *[f"s_{i}_{j}" for i in range(n) for j in range(i + 1)]))
 
 
+def _starts(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The first estimate and two more, of the statistics in units of their quartile ranges from the medians: correlations of
+    their tanh, and mean products of their directions."""
+    n = len(AXES)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    scaled = rows.join(first, "__cell").select("__cell", *[((F.col(f"__{a}") - F.col(f"m_{a}")) / F.col(f"l_{i}_{i}")).alias(f"z_{i}") for i, a in enumerate(AXES)])
+    far = F.sqrt(sum((F.col(f"z_{i}") ** 2 for i in range(n)), F.lit(1e-12)))
+    pulled = {i: F.tanh(f"z_{i}") for i in range(n)}
+    sums = scaled.groupBy("__cell").agg(
+        *[F.avg(pulled[i]).alias(f"t_{i}") for i in range(n)], *[F.avg(pulled[i] * pulled[j]).alias(f"t_{i}_{j}") for i, j in pairs],
+        *[F.avg(F.col(f"z_{i}") / far * F.col(f"z_{j}") / far).alias(f"u_{i}_{j}") for i, j in pairs],
+    )
+    moment = {(i, j): F.col(f"t_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}") for i, j in pairs}
+    spread = {i: F.sqrt(F.greatest(moment[i, i], F.lit(1e-9))) for i in range(n)}
+    unit = {(i, j): F.col(f"l_{i}_{i}") * F.col(f"l_{j}_{j}") for i, j in pairs}
+    known = sums.join(first, "__cell")
+
+    def start(number: int, value) -> DataFrame:
+        # rounded, so that the order of additions does not show in what follows
+        scatter = [(F.round(value(i, j), 6) * unit[i, j]).alias(f"s_{i}_{j}") for i, j in pairs]
+        return _factored(known.select("__cell", F.lit(number).alias("start"), *[f"m_{a}" for a in AXES], *scatter))
+
+    more = start(1, lambda i, j: moment[i, j] / (spread[i] * spread[j])), start(2, lambda i, j: n * F.col(f"u_{i}_{j}"))
+    return first.withColumn("start", F.lit(0)).unionByName(more[0]).unionByName(more[1])
+
+
+def _log_determinant() -> Column:
+    """Of a scatter given by its factor, rounded so that equal ones tie."""
+    return F.round(2 * sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, len(AXES))), F.log("l_0_0")), 9)
+
+
+def _least(estimates: DataFrame, by: str) -> DataFrame:
+    """The estimate of each cell with the least determinant, the first in the order of ``by`` on a tie."""
+    whole = F.struct(*[F.col(c) for c in estimates.columns if c not in ("__cell", by)])
+    best = estimates.groupBy("__cell").agg(F.min_by(whole, F.struct(_log_determinant().alias("d"), F.col(by))).alias("e"))
+    return best.select("__cell", "e.*")
+
+
 def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One step: mean and scatter of the share of each cell's rows that lies nearest."""
     n = len(AXES)
     at = F.floor(F.log2(F.greatest(F.col("__d2"), F.lit(2.0**-10))) * BINS_PER_DOUBLING)
     pairs = [(i, j) for i in range(n) for j in range(i + 1)]
-    bins = _measured(rows, estimate).groupBy("__cell", F.least(at, F.lit(40 * BINS_PER_DOUBLING)).alias("bin")).agg(
+    keys = _keys(estimate)
+    bins = _measured(rows, estimate).groupBy(*keys, F.least(at, F.lit(40 * BINS_PER_DOUBLING)).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f"__{a}").alias(f"t_{a}") for a in AXES],
         *[F.sum(F.col(f"__{AXES[i]}") * F.col(f"__{AXES[j]}")).alias(f"t_{i}_{j}") for i, j in pairs],
     )
-    # at most 50 * 16 bins a cell
-    from pyspark.sql import Window
-
-    cell = Window.partitionBy("__cell")
+    cell = Window.partitionBy(*keys)  # at most 50 * 16 bins
     before = F.sum("n").over(cell.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     near = bins.withColumns({"before": F.coalesce(before, F.lit(0)), "all": F.sum("n").over(cell)}).where(F.col("before") < F.ceil(SHARE * F.col("all")))
-    sums = near.groupBy("__cell").agg(F.sum("n").alias("n"), F.max("all").alias("all"), *[F.sum(f"t_{a}").alias(f"t_{a}") for a in AXES], *[F.sum(f"t_{i}_{j}").alias(f"t_{i}_{j}") for i, j in pairs])
+    sums = near.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("all").alias("all"), *[F.sum(f"t_{a}").alias(f"t_{a}") for a in AXES], *[F.sum(f"t_{i}_{j}").alias(f"t_{i}_{j}") for i, j in pairs])
     mean = {a: F.col(f"t_{a}") / F.col("n") for a in AXES}
     return _factored(sums.select(
-        "__cell", *[mean[a].alias(f"m_{a}") for a in AXES],
+        *keys, *[mean[a].alias(f"m_{a}") for a in AXES],
         *[(consistency(SHARE, n) * (F.col(f"t_{i}_{j}") / F.col("n") - mean[AXES[i]] * mean[AXES[j]])).alias(f"s_{i}_{j}") for i, j in pairs],
     ))
 
 
-def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", *, cutoff: float = CUTOFF) -> DataFrame:
+def _estimated(sound: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each cell, as a table to be joined."""
+    first = stored(_first_estimate(sound), "scatter")
+    dealt = _dealt(3 * first.count())
+    trial = stored(_starts(sound, dealt(first)), "scatter")
+    for _ in range(TRIAL_STEPS - 1):
+        trial = stored(_concentrated(sound, dealt(trial)), "scatter")
+    best = stored(_least(_concentrated(sound, dealt(trial)), "start").withColumn("fell", F.lit(True)), "scatter")
+    for _ in range(STEPS - TRIAL_STEPS):
+        before = best.drop("fell")
+        both = before.withColumn("age", F.lit(0)).unionByName(_concentrated(sound, dealt(before)).withColumn("age", F.lit(1)))
+        least = _least(both, "age")
+        then = before.select("__cell", _log_determinant().alias("then"))
+        best = stored(least.join(dealt(then), "__cell").withColumn("fell", F.col("then") - _log_determinant() > ENOUGH).drop("then"), "scatter")
+        if best.where("fell").isEmpty():
+            break
+    return dealt(best.drop("fell"))
+
+
+def judged(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", *, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS
+) -> DataFrame:
     """For each row of ``docs`` its id, base statistics, ``base_failed``, ``distance`` (null without estimate) and ``kept``."""
     narrow = docs.select(F.col(id).alias("__id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    rows = stored(_celled(stored(statistics(narrow), "statistics"), "lang", "source"), "cells")
+    rows = stored(_celled(stored(statistics(narrow), "statistics"), "lang", "source", min_rows), "cells")
     sound = rows.where("not base_failed and __cell is not null").select("__cell", *[f"__{a}" for a in AXES])
-    estimate = stored(_first_estimate(sound), "scatter")
-    for _ in range(STEPS):
-        estimate = stored(_concentrated(sound, estimate), "scatter")
+    estimate = _estimated(sound)
     done = _measured(rows, estimate)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("__d2"), F.lit(0.0)) <= cutoff)
     return done.select(F.col("__id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.sqrt("__d2").alias("distance"), kept.alias("kept"))

@@ -665,3 +665,39 @@ def test_repeats_of_rows_without_an_id(make, small_chunks, call):
     for passage in shared:
         middle = " ".join(passage.split()[20:30])
         assert sum(middle in t for t in kept) == 1
+
+
+def _factor_of(x, near, floor):
+    cov = quality_rules.consistency(0.75, 6) * np.cov(x[near].T, bias=True) + np.diag(floor**2)
+    return x[near].mean(axis=0), cov
+
+
+def test_least_determinant_against_numpy(spark):
+    """The estimate of a cell with a fifth of outliers: the least determinant over three starts, steps as by hand."""
+    rng = np.random.default_rng(3)
+    clean = rng.normal(size=(480, 6)) @ rng.normal(size=(6, 6))
+    x = np.round(np.vstack([clean, clean[:120] * 0.05 + 12 * np.sign(rng.normal(size=(120, 6)))]) * 64) / 64
+    names = [f"__{a}" for a in quality_rules.AXES]
+    rows = spark.createDataFrame([("c", *map(float, r)) for r in x], "__cell string, " + ", ".join(f"`{n}` double" for n in names))
+    floor = np.array(list(quality_rules.FLOOR.values()))
+    m, scale = np.median(x, axis=0), np.sqrt(((np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)) / 1.349) ** 2 + floor**2)
+    z = (x - m) / scale
+    u = z / np.sqrt((z**2).sum(axis=1, keepdims=True) + 1e-12)
+    shapes = [np.diag(scale**2 - floor**2), np.round(np.corrcoef(np.tanh(z).T), 6) * np.outer(scale, scale), np.round(6 * u.T @ u / len(x), 6) * np.outer(scale, scale)]
+    starts = quality_rules._starts(rows, quality_rules._first_estimate(rows))
+    log_det = {r.start: r.d for r in starts.select("start", quality_rules._log_determinant().alias("d")).collect()}
+    found = []
+    for k, shape in enumerate(shapes):
+        mean, cov = m, shape + np.diag(floor**2)
+        assert log_det[k] == pytest.approx(np.linalg.slogdet(cov)[1], abs=1e-4)
+        for step in range(quality_rules.STEPS):
+            d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)
+            bins = np.floor(np.log2(np.maximum(d, 2.0**-10)) * quality_rules.BINS_PER_DOUBLING)
+            mean, cov = _factor_of(x, bins <= np.sort(bins)[math.ceil(0.75 * len(x)) - 1], floor)
+            if step + 1 == quality_rules.TRIAL_STEPS:
+                found.append((np.linalg.slogdet(cov)[1], k))
+    got = quality_rules._estimated(rows)
+    least = got.select(quality_rules._log_determinant().alias("d")).collect()[0].d
+    assert least <= min(found)[0] + 1e-6
+    distance = np.array([r["__d2"] for r in quality_rules._measured(rows, got).select("__d2").collect()])
+    assert distance[480:].min() > 40 and (distance[:480] < 40).mean() > 0.97
