@@ -5,14 +5,19 @@ line has a ratio, its characters by its tags; ratios are smoothed along the page
 clusters by a threshold (two means on a logarithmic scale).  Lines of the upper cluster vote, by their characters, for the
 innermost element that holds most of them; an ``article`` or ``main`` around it is taken in its stead, or all of those
 inside it that got votes, if they hold as large a share together
-or a single line of up to ``LONE`` characters stands outside them.  The text is every line of that element, however short, so a paragraph of one word is kept; if no ``article`` or ``main`` marks the content,
-lines of the upper cluster outside the element count too.
+or a single line of up to ``LONE`` characters stands outside them.  The text is every line of that element, however short, so a
+paragraph of one word is kept; if no ``article`` or ``main`` marks the content, lines of the upper cluster outside the element count
+too where their box holds more than ``LONE`` characters of such lines, so a notice in a plain box of its own does not.
+A byline in an article's own header goes, its headings stay.
 
 What says what it is does not take part: scripts, styles, menus, footers, side bars, forms, page headers, and elements whose
-class, id or role names an advert, notice, menu, comment section or the like.  Words in class and id do not count on a page
+class, id or role names an advert, notice, menu, comment section or the like; inside a line, elements that are hidden or named
+as adverts or notices.  Words in class and id of boxes and lines do not count on a page
 where they would take the wanted share of the upper cluster.  A head without end tag ends at the first element of the
 body, other silent elements at the latest where the element around them does.
 
+Lines know their innermost element and elements their parent, so time and memory grow with the page, not with its depth.
+
 Null or empty html, and pages without text, give an empty text.  White space inside a line becomes one space, lines are
 joined by a line feed; nothing else is shortened.  A tag or comment that the page's end cuts off is left out.
 """
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import Column
@@ -45,6 +51,9 @@ MARKS = frozenset(
     "breadcrumbs sidebar sidenav widget widgets footer masthead comment comments commentlist disqus replies respond related recommended share "
     "sharing social login search searchbox pagination pager toolbar copyright skip hidden".split()
 )
+INLINE_MARKS = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising advertorial promo promoted sponsor sponsored cookie cookies consent gdpr popup hidden".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -52,7 +61,7 @@ _WORD = re.compile(r"[a-z0-9]+")
 SOFT = 2  # left out for a word in class or id alone
 
 
-def _marked(attrs) -> int:
+def _marked(attrs, marks: frozenset = MARKS) -> int:
     """0, 1 or ``SOFT``."""
     soft = 0
     for name, value in attrs:
@@ -63,35 +72,55 @@ def _marked(attrs) -> int:
         if name in ("class", "id") and value:
             for one in value.lower().split():
                 words = _WORD.findall(one)
-                if not MARKS.isdisjoint(words) and not {"has", "with", "no", "without", "content", "layout"} & set(words):
+                if not marks.isdisjoint(words) and not {"has", "with", "no", "without", "content", "layout"} & set(words):
                     soft = SOFT
     return soft
 
 
 class Page(HTMLParser):
-    """Collects lines: text, tags, whether left out, heading or not, and the elements around (as numbers)."""
+    """Collects lines: text, tags, whether left out, and the innermost element around, as a number that grows inwards."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.main: dict[int, str] = {}  # article and main elements
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # element, number, left out
-        self.count, self.silent, self.text, self.tags, self.heading = 0, 0, [], 0, False
+        self.parent: list[int] = [0]  # of each element
+        self.open: list[tuple[str, int, int]] = [("", 0, 0)]  # element, number, left out
+        self.depth: Counter[str] = Counter()  # open elements by name; "" counts those that are in ``main``
+        self.silent, self.text, self.tags, self.heading = 0, [], 0, False
         self.silent_tag, self.line_tag, self.within = "", "", {}
 
     def _line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                name, _, out = self.open[-1]
-                out = int(not self.heading and any(x[0] == "header" for x in self.open)) or out
-                self.lines.append((text, self.tags, out, tuple(x[1] for x in self.open)))
+                _, number, out = self.open[-1]
+                out = int(not self.heading and self.depth["header"] > 0) or out
+                self.lines.append((text, self.tags, out, number))
                 self.tags = 0
             self.text = []
 
+    def _enter(self, tag: str, out: int, main: bool = False) -> None:
+        number = len(self.parent)
+        self.parent.append(self.open[-1][1])
+        self.open.append((tag, number, out))
+        self.depth[tag] += 1
+        if main:
+            self.main[number] = tag
+            self.depth[""] += 1
+
+    def _leave(self, k: int) -> None:
+        """Close the open elements from place ``k`` on."""
+        for tag, number, _ in self.open[k:]:
+            self.depth[tag] -= 1
+            self.depth[""] -= number in self.main
+        del self.open[k:]
+
     def handle_starttag(self, tag, attrs):
         if self.silent and self.silent_tag == "head" and tag not in IN_HEAD:
             self.silent = 0  # its end tag may be left out
+        if self.silent and tag == self.line_tag and self.silent_tag not in SILENT:
+            self.silent = 0  # the line that a marked element is in ends where the next begins
         if self.silent:
             self.silent += tag == self.silent_tag
             self.within[tag] = self.within.get(tag, 0) + 1
@@ -104,18 +133,14 @@ class Page(HTMLParser):
         elif tag in BOXES:
             self._line()
             self.heading, self.line_tag = False, ""
-            self.count += 1
             out = self.open[-1][2]
             if tag in ("article", "main"):
                 out = out if tag == "article" or "main" in self.main.values() else 0
                 out = 1 if out == 1 else _marked(attrs) or out
-                if not out:
-                    self.main[self.count] = tag
             elif tag not in ("html", "body"):
-                inside = any(x[1] in self.main for x in self.open)
-                hard = tag in OUTSIDE or (tag == "header" and not inside)
+                hard = tag in OUTSIDE or (tag == "header" and not self.depth[""])
                 out = 1 if out == 1 or hard else _marked(attrs) or out
-            self.open.append((tag, self.count, out))
+            self._enter(tag, out, main=tag in ("article", "main") and not out)
         elif tag in LINES:
             if tag in ("td", "th"):
                 self.text.append(" ")
@@ -123,8 +148,9 @@ class Page(HTMLParser):
             self._line()
             self.heading, self.line_tag = tag in HEADINGS, tag
             if attrs and (out := _marked(attrs)):
-                self.count += 1
-                self.open.append((tag, self.count, 1 if self.open[-1][2] == 1 else out))
+                self._enter(tag, 1 if self.open[-1][2] == 1 else out)
+        elif attrs and tag not in VOID and _marked(attrs, INLINE_MARKS):
+            self.silent, self.silent_tag, self.within = 1, tag, {}
 
     def handle_startendtag(self, tag, attrs):
         if tag == "svg":  # the slash ends an element of SVG
@@ -140,16 +166,16 @@ class Page(HTMLParser):
             if self.within.get(tag):
                 self.within[tag] -= 1
                 return
-            if tag != self.line_tag and all(x[0] != tag for x in self.open):
+            if tag != self.line_tag and not self.depth[tag]:
                 return
             self.silent = 0  # the element around it ends
         self.tags += 1
         if tag in BOXES or (tag in LINES and tag not in ("td", "th")):
             self._line()
             self.heading, self.line_tag = False, ""
-            for k in range(len(self.open) - 1, 0, -1):
+            for k in range(len(self.open) - 1, 0, -1) if self.depth[tag] else ():
                 if self.open[k][0] == tag:
-                    del self.open[k:]
+                    self._leave(k)
                     break
                 if tag in LINES and self.open[k][0] in BOXES:
                     break
@@ -158,6 +184,13 @@ class Page(HTMLParser):
         if not self.silent:
             self.text.append(data)
 
+    def inside(self, chosen) -> list[bool]:
+        """For each element, whether it is one of ``chosen`` or in one."""
+        out: list[bool] = []
+        for number, above in enumerate(self.parent):
+            out.append(number in chosen or (number > 0 and out[above]))
+        return out
+
 
 def _smoothed(ratios: list[float]) -> list[float]:
     reach = math.ceil(2 * SIGMA)
@@ -217,27 +250,30 @@ def main_text(html: str | None) -> str:
     smooth = _smoothed(ratios)
     cut = _threshold(smooth)
     upper = [x for x, s in zip(page.lines, smooth) if s >= cut and not x[2]] or lines
-    votes: dict[int, int] = {}
-    for text, _, _, around in upper:
-        for number in around:
-            votes[number] = votes.get(number, 0) + len(text)
-    need = VOTE * sum(len(x[0]) for x in upper)
-    element = max(n for n, v in votes.items() if v >= need)  # numbers grow inwards
-    around = next(x[3] for x in upper if element in x[3])
-    around = around[: around.index(element) + 1]
-    named = [n for n in around if n in page.main]
+    votes = [0] * len(page.parent)
+    for text, _, _, number in upper:
+        votes[number] += len(text)
+    own = list(votes)  # of lines with no element between
+    for number in range(len(votes) - 1, 0, -1):
+        votes[page.parent[number]] += votes[number]
+    need = VOTE * votes[0]
+    element = max(n for n, v in enumerate(votes) if v >= need)  # numbers grow inwards
+    outer = element
+    while outer and outer not in page.main:
+        outer = page.parent[outer]
+    named = {outer} if outer else set()
     if not named:  # marked elements that hold the wanted share of the votes among them: all that got any
-        named = [n for n in page.main if votes.get(n)]
-        outside = [x[0] for x in upper if page.main.keys().isdisjoint(x[3])]
-        if sum(len(x[0]) for x in upper) - sum(map(len, outside)) < need and (len(outside) > 1 or len(outside[0]) > LONE):
-            named = []
-    else:
-        named = named[:1]
+        named = {n for n in page.main if votes[n]}
+        within = page.inside(page.main)
+        outside = [x[0] for x in upper if not within[x[3]]]
+        if votes[0] - sum(map(len, outside)) < need and (len(outside) > 1 or len(outside[0]) > LONE):
+            named = set()
     if named:
-        kept = [x for x in lines if not set(named).isdisjoint(x[3])]
+        within = page.inside(named)
+        kept = [x for x in lines if within[x[3]]]
     else:
-        chosen = set(map(id, upper))
-        kept = [x for x in lines if element in x[3] or id(x) in chosen]
+        within, chosen = page.inside({element}), set(map(id, upper))
+        kept = [x for x in lines if within[x[3]] or (id(x) in chosen and own[x[3]] > LONE)]
     return "\n".join(x[0] for x in kept)
 
 

@@ -275,3 +275,81 @@ def test_other_vocabularies_are_not_run_by_ranks(coders):
     assert alignment.ranked(config) is None
     blank = " " * 60_000 + "x" + "\n" * 70_000
     assert coders.encoded([blank])[0] == [coders.a.encode(" " + blank, add_special_tokens=False).ids]
+
+
+# --- main text of pages with known stories ----------------------------------------------------------------
+
+
+def built_page(seed):
+    """A page around a known story: nested or flat, with or without class names, end tags and an article element."""
+    import html as escape
+
+    rng = random.Random(seed)
+    words = "river council harbour & engine <north> winter é market signal \"quoted\" letter".split()
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    story = [" ".join(sentence(rng.randint(8, 16)) for _ in range(rng.randint(2, 4))) for _ in range(rng.randint(4, 9))]
+    story.insert(rng.randrange(1, len(story)), "Yes.")
+    head = sentence(5)
+    closed = rng.random() < 0.6
+    inline = lambda t: escape.escape(t).replace("Winter", "<em>Winter</em>").replace(" signal", " <a href='/x'>signal</a>")
+    body = "".join(f"<p>{inline(p)}{'</p>' if closed else ''}\n" for p in story)
+    body = f"<h1>{escape.escape(head)}</h1>\n{body}"
+    for _ in range(rng.randint(0, 5)):
+        body = f"<div>{body}</div>"
+    wrap = rng.choice(["article", "main", "div", "section"])
+    menu = "".join(f"<li><a href='/{i}'>Menu {i}</a></li>" for i in range(6))
+    comments = "<div class='comments'><p>A reader says that this is a comment which is as long as a paragraph of the story may be.</p></div>"
+    page = (
+        f"<!doctype html><html><head><title>{head}</title><style>p {{ color: red }}</style></head><body><header><p>The paper of the town</p></header>"
+        f"<nav><ul>{menu}</ul></nav><{wrap}>{body}</{wrap}>{comments if rng.random() < 0.7 else ''}"
+        f"<aside><p>Also read this other story of ours, it is quite long for a teaser and has a link.</p></aside>"
+        f"<form><label>Mail</label><input name=m></form><footer><p>All rights reserved by the paper of the town, since a long time ago.</p></footer>"
+        f"<script>var p = '<p>{'x' * 300}</p>';</script></body></html>"
+    )
+    return page, "\n".join([head, *story])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_known_stories(seed):
+    from tablescope.llm import html_text
+
+    page, story = built_page(seed)
+    assert html_text.main_text(page) == story
+
+
+def test_time_is_linear_in_depth():
+    import time
+
+    from tablescope.llm import html_text
+
+    def seconds(n):
+        page = "<div>" * n + "<p>Some text of a story that is long enough to count.</p>" * n + "</span>" * n
+        at = time.process_time()
+        assert html_text.main_text(page).count("\n") == n - 1
+        return time.process_time() - at
+
+    seconds(500)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.02)
+
+
+def test_marked_inline_elements_and_notices_in_plain_boxes():
+    from tablescope.llm import html_text
+
+    story = "A paragraph of the story that is long enough to count as text."
+    assert html_text.main_text(f"<article><p>{story[:20]}<span class='ad'>Buy <b>now</b></span>{story[20:]}<i hidden>x</i></p></article>") == story
+    assert html_text.main_text(f"<article><p><span class=ad>Buy<p>{story}</article>") == story
+    plain = f"<body><div>{f'<p>{story}</p>' * 5}</div><div>We use cookies to make this site better.</div></body>"
+    assert html_text.main_text(plain) == "\n".join([story] * 5)
+
+
+@pytest.mark.parametrize("column", ["html"])
+def test_pages_of_odd_tables(spark, column):
+    from pyspark.sql import functions as F
+
+    from tablescope.llm import html_text
+
+    rows = [(1, None), (2, ""), (3, "<p>One</p>"), (3, "<p>One</p>"), (None, "<b>x"), (4, "<div>" * 3000), (5, "a" * 200_000)]
+    pages = spark.createDataFrame([(i, h, "t", 1) for i, h in rows], f"page_id long, {column} string, text string, n_chars int")
+    got = pages.withColumn("main", html_text.extracted(F.col(column))).collect()
+    assert sorted((str(r.page_id), r.main) for r in got) == sorted((str(i), {"<p>One</p>": "One", "<b>x": "x"}.get(h, h if h and h[0] == "a" else "")) for i, h in rows)
+    assert pages.where("false").withColumn("main", html_text.extracted(F.col(column))).collect() == []
