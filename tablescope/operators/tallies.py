@@ -26,12 +26,16 @@ def most_common(df: DataFrame, name: str) -> DataFrame:
     return value_counts(df, name).agg(best["value"].alias("value"))
 
 
-def counts_by_column(df: DataFrame, names: Sequence[str], keep_missing: bool = False) -> DataFrame:
-    """``(ordinal, column, value, count)`` of several columns in one scan and one shuffle; no rows without columns."""
+def counts_by_column(df: DataFrame, names: Sequence[str], keep_missing: bool = False, measure: str | None = None) -> DataFrame:
+    """``(ordinal, column, value, count)`` of several columns in one scan and one shuffle, with the ``mean`` of a measure
+    over each value's rows if one is named; no rows without columns."""
     if not names:
-        return df.sparkSession.createDataFrame([], "ordinal int, column string, value string, count bigint")
+        more = ", mean double" if measure else ""
+        return df.sparkSession.createDataFrame([], f"ordinal int, column string, value string, count bigint{more}")
     cells = F.inline(
         F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), col(n).cast("string").alias("value")) for i, n in enumerate(names)])
     )
-    long = df.select(cells) if keep_missing else df.select(cells).where("value IS NOT NULL")
-    return long.groupBy("ordinal", "column", "value").agg(F.count(F.lit(1)).alias("count"))
+    long = df.select(*([col(measure).alias("measure")] if measure else []), cells)
+    long = long if keep_missing else long.where("value IS NOT NULL")
+    parts = [F.count(F.lit(1)).alias("count"), *([F.avg("measure").alias("mean")] if measure else [])]
+    return long.groupBy("ordinal", "column", "value").agg(*parts)

@@ -194,10 +194,16 @@ def financial_insights(table: Table, summary: DataFrame | None = None) -> DataFr
 # --- Segments ------------------------------------------------------------------------------------
 
 
-def segments(table: Table, names: list[str] | None = None, limit: int | None = V.SEGMENT_COLUMNS) -> DataFrame:
-    """Most and least common value of the first ``limit`` categorical columns (None: all), in one scan and one shuffle."""
+def segment_cells(table: Table, names: list[str] | None = None, limit: int | None = V.SEGMENT_COLUMNS) -> DataFrame:
+    """Rows and mean money of each value of the first ``limit`` categorical columns (None: all), in one scan and one shuffle."""
     names = names or table.of_type("categorical")[:limit]
-    counts = counts_by_column(table.df, names, keep_missing=True)
+    money = money_columns(table)
+    return counts_by_column(table.df, names, keep_missing=True, measure=money[0] if money else None)
+
+
+def segments(table: Table, names: list[str] | None = None, limit: int | None = V.SEGMENT_COLUMNS, cells: DataFrame | None = None) -> DataFrame:
+    """Most and least common value of categorical columns."""
+    counts = (segment_cells(table, names, limit) if cells is None else cells).select("ordinal", "column", "value", "count")
     place = F.when(F.col("value").isNotNull(), F.struct((-F.col("count")).alias("rank"), "value"))
     found = counts.groupBy("ordinal", "column").agg(
         F.sum("count").alias("n_rows"), F.count("value").alias("categories"), F.min(place).alias("top"), F.max(place).alias("bottom")
@@ -215,16 +221,11 @@ def segments(table: Table, names: list[str] | None = None, limit: int | None = V
     )
 
 
-def segment_value_ratio(table: Table, names: list[str] | None = None, limit: int | None = V.SEGMENT_COLUMNS) -> DataFrame:
+def segment_value_ratio(table: Table, names: list[str] | None = None, limit: int | None = V.SEGMENT_COLUMNS, cells: DataFrame | None = None) -> DataFrame:
     """Categories whose mean money is at least twice that of the lowest category."""
-    names = names or table.of_type("categorical")[:limit]
-    if not names or not money_columns(table):
+    if not (names or table.of_type("categorical")[:limit]) or not money_columns(table):
         return table.df.sparkSession.createDataFrame([], "ordinal int, column string, top_category string, top_avg double, bottom_category string, bottom_avg double, ratio double")
-    money = money_columns(table)[0]
-    cells = F.inline(
-        F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), col(n).cast("string").alias("value")) for i, n in enumerate(names)])
-    )
-    means = table.df.select(col(money).alias("money"), cells).where("value IS NOT NULL").groupBy("ordinal", "column", "value").agg(F.avg("money").alias("mean"))
+    means = (segment_cells(table, names, limit) if cells is None else cells).where("value IS NOT NULL")
     place = F.when(F.col("mean").isNotNull(), F.struct((-F.col("mean")).alias("rank"), "value"))
     found = means.groupBy("ordinal", "column").agg(
         F.count("value").alias("categories"), F.count("mean").alias("known"), F.min(place).alias("top"), F.max(place).alias("bottom")
@@ -250,11 +251,12 @@ def segment_insights(table: Table, limit: int | None = V.SEGMENT_COLUMNS) -> Dat
     names = table.of_type("categorical")[:limit]
     if not names:
         return None
-    found = segments(table, names)
+    cells = segment_cells(table, names)  # both frames below group it again; its shuffle is made once
+    found = segments(table, names, cells=cells)
     money = money_columns(table)
     note = F.lit(None).cast("string")
     if money:
-        ratios = segment_value_ratio(table, names).select("ordinal", *[F.col(c).alias(f"r_{c}") for c in ("top_category", "top_avg", "bottom_category", "bottom_avg", "ratio")])
+        ratios = segment_value_ratio(table, names, cells=cells).select("ordinal", *[F.col(c).alias(f"r_{c}") for c in ("top_category", "top_avg", "bottom_category", "bottom_avg", "ratio")])
         found = found.join(F.broadcast(ratios), "ordinal", "left")
         note = F.concat(
             _quoted(F.col("r_top_category")), F.lit(" records have "), fixed_text(F.col("r_ratio"), 1), F.lit(f"x higher average {money[0]} ("),
