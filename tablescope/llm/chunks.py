@@ -144,9 +144,8 @@ class Coded:
     """Words of a chunk's texts, one after the other, as codes, with a 64-bit hash for each code."""
 
     def __init__(self, body: list[bytes]):
-        import hashlib
-
         import numpy as np
+        import xxhash
 
         split = [t.split() for t in body]
         self.lengths = np.array([len(w) for w in split], dtype=np.int64)
@@ -154,7 +153,7 @@ class Coded:
         words = [w for s in split for w in s]
         known = {w: k for k, w in enumerate(dict.fromkeys(words))}
         self.codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        self.hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in known), np.uint64)
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
         self.doc = np.repeat(np.arange(len(body)), self.lengths)
         self.split = split
 

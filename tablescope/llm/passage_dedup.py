@@ -27,17 +27,23 @@ SHARD = 50_000
 
 
 def _anchors(words: C.Coded, window: int):
-    """Starts of windows, the anchor key of each, and the anchor's place."""
+    """Starts of windows; of each run of windows with one anchor, the anchor's key and place.
+
+    The anchor is the first least hash of a window, found by doubling: each pass takes the lesser of two neighbours."""
     import numpy as np
 
     half = window // 2
-    starts = words.starts(window)
-    a = words.grams(half)
+    starts, least = words.starts(window), words.grams(half)
     if not len(starts):
-        return starts, a[:0], starts
-    view = np.lib.stride_tricks.sliding_window_view(a, window - half + 1)
-    place = np.concatenate([s + view[s].argmin(axis=1) for s in np.array_split(starts, len(starts) // 200_000 + 1)])
-    return starts, a[place], place
+        return starts, least[:0], starts
+    wide, have, at = window - half + 1, 1, np.arange(len(least))
+    while have < wide:
+        step = min(have, wide - have)
+        right = least[step:] < least[:-step]
+        least, at, have = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step]), have + step
+    place = at[starts]
+    head = np.flatnonzero(np.diff(place, prepend=-1))
+    return starts, least[starts[head]], place[head]
 
 
 def _occurrences(words: C.Coded, places, length: int):
@@ -76,8 +82,8 @@ def remove_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "t
         import numpy as np
 
         words = C.Coded(C.in_order(table)[1])
-        _, keys, place = _anchors(words, window)
-        keys, counts = np.unique(keys[np.unique(place, return_index=True)[1]], return_counts=True)
+        _, keys, _ = _anchors(words, window)
+        keys, counts = np.unique(keys, return_counts=True)
         return C.as_table(C.asked(table.column("chunk")[0].as_py(), keys, bits, np.minimum(counts, 255).astype(np.uint8), short=True), C.MESSAGE)
 
     def state_windows(table, answers):
@@ -86,7 +92,7 @@ def remove_repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "t
         ids, body = C.in_order(table)
         words, chunk = C.Coded(body), table.column("chunk")[0].as_py() if len(table) else 0
         starts, keys, place = _anchors(words, window)
-        known, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        known, first = np.unique(keys, return_index=True)
         confirmed = C.said(answers)
         if not len(known) or not confirmed.any():
             return C.as_table([], C.MESSAGE)
