@@ -1,6 +1,6 @@
 """Operators for preparing training data.  Nothing else in the library imports this subpackage.
 
-Functions that run inside tasks are sent by value, so executors need no installed copy of the library.
+Functions that run inside tasks are sent by value, but some name modules of the library, so a cluster gets it by ``--py-files``.
 """
 
 import sys
