@@ -215,25 +215,32 @@ def _anchored(data, ends, span: int):
     """Starts of spans; the first start of each run of spans with one anchor, the anchor's place and its hash.
 
     The anchor is the least hash of a window, found by doubling: each pass takes the least of two windows of half the size.
-    The lowest bits of a hash give way to its place, so the least also tells where it is; of equal strings in one
-    window any may be the anchor, as their hash is the same."""
+    The lowest bits of a hash give way to its place in a block of windows, so the least also tells where it is.  Of equal
+    strings in one window the first is the anchor: so its distance from the start depends on the span's bytes alone, and
+    two starts of one span never share an anchor's place, even if they overlap."""
     import numpy as np
 
     half = span // 2
     wide = span - half + 1
-    low = np.uint64((1 << (wide - 1).bit_length()) - 1)
+    bits = max(16, wide.bit_length() + 1)
+    low = np.uint64((1 << bits) - 1)
     starts = np.flatnonzero(np.arange(len(data)) + span <= ends)
-    least = gram_hashes(data, half)
+    hashes = gram_hashes(data, half)
     if not len(starts):
-        return starts, starts, starts, least[:0]
-    least = (least & ~low) | (np.arange(len(least), dtype=np.uint64) & low)
-    have = 1
-    while 2 * have <= wide:
-        least, have = np.minimum(least[:-have], least[have:]), 2 * have
-    if have < wide:
-        least = np.minimum(least[: have - wide], least[wide - have :])
-    least = least[starts]
-    place = starts + (((least & low).astype(np.int64) - starts) & int(low))
+        return starts, starts, starts, hashes[:0]
+    windows, step = len(hashes) - wide + 1, (1 << bits) - wide + 1
+    within, best = np.arange(1 << bits, dtype=np.uint64), np.empty(windows, np.uint64)
+    for a in range(0, windows, step):
+        least = hashes[a : a + step + wide - 1]
+        least = (least & ~low) | within[: len(least)]
+        have = 1
+        while 2 * have <= wide:
+            least, have = np.minimum(least[:-have], least[have:]), 2 * have
+        if have < wide:
+            least = np.minimum(least[: have - wide], least[wide - have :])
+        best[a : a + step] = least
+    least = best[starts]
+    place = starts // step * step + (least & low).astype(np.int64)
     head = np.flatnonzero(np.diff(place, prepend=-1))
     return starts, head, place[head], (least & ~low)[head]
 
@@ -302,14 +309,14 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
     def sort_shard(table):
         import numpy as np
 
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "at", "chunk", "body"))))
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "chunk", "at", "body"))))
         body, stops, begin = _joined([r[3] for r in rows])
         again = np.flatnonzero(repeats(body, stops, span))
         i, j = _runs(again)
         row = np.searchsorted(begin, again[i], side="right") - 1
         out: dict[int, list] = {}
         for r, a, n in zip(row.tolist(), again[i].tolist(), (j - i).tolist()):
-            out.setdefault(rows[r][2], []).append((rows[r][1] + a - int(begin[r]), n))
+            out.setdefault(rows[r][1], []).append((rows[r][2] + a - int(begin[r]), n))
         return C.as_table([(c, 0, np.array(v, np.int64).tobytes()) for c, v in out.items()], C.ANSWER)
 
     def keep(table, answers):

@@ -138,6 +138,41 @@ def test_bytes(make, several, request):
     assert got == want and sum(x[2] for x in want.values()) > 5000
 
 
+def test_bytes_of_spans_that_overlap_themselves(make):
+    """A span that starts again a few bytes on is a repeat wherever in its chunk it lies, also without another copy."""
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        unit = bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 50)))
+        body = (unit * 150)[: 100 + len(unit) + rng.randint(0, 3)]
+        rows.append((i, prose(rng, rng.randint(0, 9), 10**9) + f"<{i}>" + body.decode() + f"<{i}/>"))
+    seen, want = set(), {}
+    for i, text in rows:
+        b = text.encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        want[i] = (bytes(x for x, g in zip(b, gone) if not g), sum(gone))
+    assert all(n for _, n in want.values())
+    assert {r.doc_id: (bytes(r.kept), r.n_removed) for r in suffix_dedup.remove_repeated_bytes(make(rows)).collect()} == want
+
+
+def test_anchors_depend_on_the_span_alone():
+    """The place of a span's anchor, counted from its start, is that of the same span elsewhere, also across blocks."""
+    rng = np.random.default_rng(2)
+    unit = rng.integers(97, 123, 37, np.uint8)
+    data = np.concatenate([rng.integers(97, 99, 65_400, np.uint8), np.tile(unit, 12), np.full(400, 97, np.uint8), rng.integers(97, 99, 70_000, np.uint8)])
+    starts, head, place, keys = suffix_dedup._anchored(data, np.full(len(data), len(data)), 100)
+    sizes = np.diff(head, append=len(starts))
+    hashes, off = suffix_dedup.gram_hashes(data, 50), np.repeat(place, sizes) - starts
+    assert ((off >= 0) & (off <= 50)).all() and (np.diff(place) > 0).all()
+    assert (hashes[place] >> np.uint64(16) == keys >> np.uint64(16)).all()
+    known = {}
+    for s, o, k in zip(starts.tolist(), off.tolist(), np.repeat(keys, sizes).tolist()):
+        assert known.setdefault(data[s : s + 100].tobytes(), (o, k)) == (o, k)
+
+
 @pytest.mark.parametrize("trial", range(40))
 def test_parse_order(trial):
     rng = random.Random(trial)
