@@ -98,6 +98,33 @@ DATE_FORMATS = {
     "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
     "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
 }
+# What a value of each shape leaves without digits, small letters and line ends, capitals as A; no other format can read it.
+LINE_ENDS = "\n\r\u0085\u2028\u2029"  # before one of which the $ of a shape also matches
+DATE_OUTLINES = {
+    "yyyy-M-d": ("--",),
+    "yyyy-M-d H:m:s[.SSSSSS]": ("-- ::", "-- ::."),
+    "yyyy-M-d H:m": ("-- :",),
+    "yyyy-M-d'T'H:m:s[.SSSSSS]": ("--A::", "--A::."),
+    "yyyy/M/d": ("//",),
+    "M/d/yyyy": ("//",),
+    "M/d/yyyy H:m:s": ("// ::",),
+    "M-d-yyyy": ("--",),
+    "d-MMM-yyyy": ("-A-",),
+    "MMM d, yyyy": ("A , ",),
+    "yyyyMMdd": ("",),
+    "yyyy-M-d'T'H:m:s[.SSSSSS]XXX": ("--A::A", "--A::.A", "--A::+:", "--A::.+:", "--A::-:", "--A::.-:"),
+    "M/d/yyyy h:m a": ("// : AA",),
+    "MMMM d, yyyy": ("A , ",),
+    "d MMM yyyy": (" A ",),
+    "d MMMM yyyy": (" A ",),
+    "yyyy.M.d": ("..",),
+    "d.M.yyyy": ("..",),
+    "M/d/yy": ("//",),
+    "d/M/yyyy": ("//",),
+    "d/M/yyyy H:m:s": ("// ::",),
+    "d-M-yyyy": ("--",),
+    "d/M/yy": ("//",),
+}
 LAST_TWO_DIGIT_YEAR = 2068  # 69 is 1969
 STRICT_DATE_SHARE = 0.50
 ACCEPT_DATE_SHARE = 0.70

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+import string
 from dataclasses import dataclass
 from functools import reduce
 
@@ -39,11 +40,20 @@ def parse_date(column: Column, pattern: str) -> Column:
     return F.when(F.year(read) > V.LAST_TWO_DIGIT_YEAR, read - F.expr("INTERVAL 100 YEARS")).otherwise(read)
 
 
-def fitting_formats(value: Column) -> Column:
-    """Bit set of the formats that a text reads in, numbered in their order."""
-    fits = [F.when(parse_date(value, p).isNotNull(), 1 << i).otherwise(0) for i, p in enumerate(V.DATE_FORMATS)]
-    digits = value.rlike(r"\d")  # every format has some
-    return F.when(digits, reduce(operator.add, fits)).otherwise(0)
+def outline(value: Column) -> Column:
+    """A text without digits, small letters and line ends, its capitals as A."""
+    capitals = string.ascii_uppercase
+    return F.translate(value, capitals + string.ascii_lowercase + string.digits + V.LINE_ENDS, "A" * len(capitals))
+
+
+def fitting_formats(value: Column, outlined: Column) -> Column:
+    """Bit set of the formats that a text reads in, numbered in their order; only formats of its outline are tried."""
+    number = {p: i for i, p in enumerate(V.DATE_FORMATS)}
+    fits = F.lit(0)
+    for marks in dict.fromkeys(m for every in V.DATE_OUTLINES.values() for m in every):
+        tried = [F.when(parse_date(value, p).isNotNull(), 1 << number[p]).otherwise(0) for p, every in V.DATE_OUTLINES.items() if marks in every]
+        fits = F.when(outlined == marks, reduce(operator.add, tried)).otherwise(fits)
+    return fits
 
 
 def format_votes(df: DataFrame, names: list[str]) -> dict[tuple, int]:
@@ -56,7 +66,9 @@ def format_votes(df: DataFrame, names: list[str]) -> dict[tuple, int]:
     if not names:
         return counts
     cells = df.select(F.posexplode(F.array(*[col(n) for n in names])).alias("c", "v")).where("v IS NOT NULL")
-    votes = cells.select("c", fitting_formats(F.col("v")).alias("set")).where("set <> 0").groupBy("c", "set").agg(F.count(F.lit(1)).alias("n"))
+    outlined = cells.select("c", "v", outline(F.col("v")).alias("o"))
+    # sets without a format are counted too: a filter on the set would be pushed down and work out every set twice
+    votes = outlined.select("c", fitting_formats(F.col("v"), F.col("o")).alias("set")).groupBy("c", "set").agg(F.count(F.lit(1)).alias("n"))
     for r in votes.collect():
         for i, p in enumerate(V.DATE_FORMATS):
             if r.set >> i & 1:

@@ -1,6 +1,7 @@
 import pytest
 
 from tablescope.plans import cardinality, semantic
+from tablescope.functions import vocabulary as V
 from tablescope.plans.semantic import convert_date, detect, expected_types, recommendations
 
 
@@ -86,3 +87,24 @@ def test_inventory_counts_are_exact(spark):
     df = spark.createDataFrame([(i, [i], None if i % 3 == 0 else "a") for i in range(30)], "i int, l array<int>, s string")
     found = semantic.column_inventory(detect(df)).orderBy("ordinal").collect()
     assert [(r.unique_values, r.missing) for r in found] == [(30, 0), (None, 0), (1, 10)]
+
+
+def test_votes_do_not_depend_on_outlines(spark):
+    """Each value is tried in every format that its shape allows, and the set of a value is worked out once."""
+    shapes = ["{y}-{m}-{d}", "{y}/{m}/{d}", "{m}/{d}/{y}", "{d}/{m}/{y}", "{m}-{d}-{y}", "{d}-{m}-{y}", "{y}.{m}.{d}", "{d}.{m}.{y}", "{m}/{d}/99", "{d}/{m}/05", "{y}0{m}{d}"]
+    shapes += ["{d}-Mar-{y}", "Mar {d}, {y}", "March {d}, {y}", "May {d}, {y}", "{d} Mar {y}", "{d} March {y}", "{d} May {y}", "{m}/{d}/{y} 3:04 PM", "{m}/{d}/{y} 3:04 am", "mar {d}, {y}"]
+    clocks = ["", " 3:04", " 3:04:05", " 13:04:05.5", "T3:04:05", "T3:04:05.123456", "T03:04:05Z", "T3:04:05.25Z", "T03:04:05+02:00", "T03:04:05.5-03:30", "\n", "\r\n", "\u2028", " ", "x", "é"]
+    texts = [(s + c).format(y=y, m=m, d=d) for s in shapes for c in clocks for y, m, d in ((2020, 3, 14), (1999, 4, 31), (2021, 2, 10))]
+    texts += ["", "abc", "12", "20200105", "99999999", "--", "A , ", "１/２/2020", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    want = {("date", "x", p): df.where(semantic.parse_date(df.x, p).isNotNull()).count() for p in V.DATE_FORMATS}
+    assert semantic.format_votes(df, ["x"]) == want and all(want.values())
+
+
+def test_each_value_is_read_once(spark, monkeypatch):
+    """Few formats are tried on a value, and their work stands once in the plan."""
+    plans = []
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or [])
+    semantic.format_votes(spark.range(3).selectExpr("cast(id AS string) AS x"), ["x"])
+    assert plans[0].count(V.DATE_FORMATS["yyyy.M.d"]) == 1 and plans[0].count("translate(") == 1
