@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import tempfile
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.llm import chunks, decontamination, html_text, jaccard_join, line_dedup, lm_scoring, mixing, passage_dedup, quality_rules, suffix_dedup, warc
+from tablescope.llm import chunks, common, decontamination, html_text, jaccard_join, line_dedup, lm_scoring, mixing, passage_dedup, quality_rules, suffix_dedup, warc
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -453,6 +454,43 @@ def test_rare_grams_stay_in_a_large_corpus(make):
     assert all(math.isclose(got[i], want, rel_tol=1e-9) for i in trained[:2]), (got, want)
 
 
+def test_rounds_of_scores_take_little_room(spark, tmp_path, monkeypatch):
+    """What is kept between the rounds, over a text with many rare words."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"word{int(rng.paretovariate(0.7)) % 50_000}" for _ in range(400))) for i in range(500)]
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 200_000)
+    for module in lm_scoring, common:
+        monkeypatch.setattr(module, "scratch_path", lambda spark, name: tempfile.mkdtemp(prefix=name, dir=tmp_path) + "/kept")
+    lm_scoring.scored(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    kept, size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")), sum(len(t) for _, t in rows)
+    assert 0 < kept < 0.3 * size, kept / size  # 0.38 when weights were kept as doubles and keys were hashes
+
+
+def test_scores_of_many_pairs_with_one_next_word(make):
+    """Twelve thousand pairs that all end their texts: their triples differ in the number of the pair alone."""
+    many, each = 3000, 4
+    distinct = [f"u{i} v{(i * each + t) % many}" for i in range(many) for t in range(each)]
+    trained = [i for i in range(40_000) if zlib.crc32(str(i).encode()) % 10][: 2 * len(distinct)]
+    got = lm_scoring.scored(make(list(zip(trained, distinct * 2)))).collect()
+    want = math.log10((2 * each - 0.5) / len(trained)) + math.log10(1.5 / (2 * each)) + math.log10(1.5 / 2)
+    assert len(got) == len(trained) and np.allclose([r.score for r in got], want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("bits", [24, 33, 46, 63, 64])
+def test_keys_of_scores_are_mixed_one_to_one(bits):
+    some = np.random.default_rng(1).integers(0, 2**bits, 50_000, np.uint64)
+    codes = np.unique(np.concatenate([some, np.arange(50_000, dtype=np.uint64), np.uint64(2**bits - 1) - np.arange(50_000, dtype=np.uint64)]))
+    keys = np.unique(lm_scoring._spread(codes, bits))
+    assert len(keys) == len(codes)
+    assert (lm_scoring._ungapped(lm_scoring._gaps(keys)) == keys).all()
+    assert np.bincount((keys >> np.uint64(61)).astype(int), minlength=8).min() > len(keys) / 16
+
+
+def test_numbers_of_scores_come_back():
+    for numbers in ([], [0], [7, 0, 2**40, 2**64 - 1, 1]):
+        assert lm_scoring._unpacked(lm_scoring._packed(np.array(numbers, np.uint64))).tolist() == numbers
+
+
 # --- pages -----------------------------------------------------------------------------------------------
 
 
