@@ -17,6 +17,7 @@ than a span lose nothing.  Ids are integers.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import DataFrame
@@ -27,32 +28,49 @@ from .common import stored
 
 SPAN = 100
 TRIGGER = 12  # bytes of a trigger
-PERIOD = 32  # one in so many places is a trigger
+PERIOD = 32  # one in so many places is a trigger; a power of 2
 CHUNK_BYTES = 2_000_000
+BLOCK_BITS = 15  # places whose hashes are made at a time are numbered by so many bits, so that they stay in a core's cache
 KEPT = "id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
 STRETCH = "shard int, chunk int, id bigint, at bigint, body binary"
 
 
+@functools.lru_cache(4)
+def _powers(n: int, size: int):
+    """Powers of the hash's base from n - 1 on, and those of its inverse from 0 on."""
+    import numpy as np
+
+    base = 0x9E3779B97F4A7C15
+    up, down = np.full(size, base, np.uint64), np.full(size + n, pow(base, -1, 2**64), np.uint64)
+    up[0], down[0] = pow(base, n - 1, 2**64), 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _block_hashes(data, a: int, b: int, n: int, size: int):
+    """Hash of the n bytes from each of the places a to b on, at most ``size``: a difference of running sums."""
+    import numpy as np
+
+    up, down = _powers(n, size)
+    part = data[a : b + n - 1].astype(np.uint64)
+    part += np.uint64(0x1F3D)
+    part *= down[: len(part)]
+    np.cumsum(part, out=part)
+    whole = part[n - 1 :].copy()
+    whole[1:] -= part[: b - a - 1]
+    whole *= up[: b - a]
+    return C.mixed(whole)
+
+
 def gram_hashes(data, n: int):
-    """Hash of the n bytes from each byte on, by doubling."""
+    """Hash of the n bytes from each byte on."""
     import numpy as np
 
-    power, length = np.array([0x9E3779B97F4A7C15], np.uint64), 1
-    part = data.astype(np.uint64) + np.uint64(0x1F3D)
-    whole, done = None, 0
-    while True:
-        if n & length:  # append these bytes to what is hashed so far
-            if whole is None:
-                whole = part.copy()
-            else:
-                size = max(0, len(data) - done - length + 1)
-                whole = whole[:size] * power + part[done : done + size]
-            done += length
-        if done == n:
-            return C.mixed(whole[: max(0, len(data) - n + 1)])
-        size = max(0, len(part) - length)
-        part = part[:size] * power + part[length : length + size]
-        power, length = power * power, 2 * length
+    size = 1 << BLOCK_BITS
+    out = np.empty(max(0, len(data) - n + 1), np.uint64)
+    for a in range(0, len(out), size):
+        b = min(len(out), a + size)
+        out[a:b] = _block_hashes(data, a, b, n, size)
+    return out
 
 
 def _sorted(keys, bits: int):
@@ -63,8 +81,24 @@ def _sorted(keys, bits: int):
     if bits + wide > 63:
         order = np.argsort(keys, kind="stable")
         return order, keys[order]
-    both = np.sort((keys << wide) | np.arange(len(keys)))
-    return both & ((1 << wide) - 1), both >> wide
+    both = keys.astype(np.int64) << wide
+    both |= np.arange(len(keys))
+    both.sort()
+    order = both & ((1 << wide) - 1)
+    both >>= wide
+    return order, both
+
+
+def _starts(*columns):
+    """Where values change in any of the columns; each gets its first place too."""
+    import numpy as np
+
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        np.not_equal(columns[0][1:], columns[0][:-1], out=new[1:])
+        for x in columns[1:]:
+            new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
 def _ranked(keys, bits: int):
@@ -72,8 +106,9 @@ def _ranked(keys, bits: int):
     import numpy as np
 
     order, value = _sorted(keys, bits)
+    start = _starts(value)
     ranks = np.empty(len(keys), np.int64)
-    ranks[order] = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]]))[: len(keys)]
+    ranks[order] = np.repeat(np.arange(1, len(start) + 1), np.diff(start, append=len(keys)))
     return ranks
 
 
@@ -92,19 +127,43 @@ def _shifted(ranks, ends, by: int):
 
 
 def _suffix_ranks(data, ends, span: int):
-    """Rank of each suffix of the strings in ``data`` by its first ``span`` bytes; a shorter suffix comes first."""
+    """Rank of each suffix of the strings in ``data`` by its first ``span`` bytes; a shorter suffix comes first.
+
+    Prefix doubling.  A rank is one more than the number of smaller suffixes, so it stays when others are told apart:
+    later rounds only take suffixes that share their rank and go on beyond the bytes compared so far."""
     import numpy as np
 
-    key = np.zeros(len(data), np.int64)
-    for k in range(5):
-        at = np.arange(len(data)) + k
-        key = key * 257 + np.where(at < ends, data[np.minimum(at, len(data) - 1)].astype(np.int64) + 1, 0)
-    ranks, known = _ranked(key, 41), 5
+    n = len(data)
+    left = ends - np.arange(n, dtype=ends.dtype)
+    padded = np.zeros(n + 4, np.int64)
+    np.add(data, 1, out=padded[:n], dtype=np.int64)
+    key = padded[:n].copy()
+    for k in range(1, 5):
+        key *= 257
+        key += padded[k : k + n] * (left > k)
+    order, value = _sorted(key, 41)
+    start, known, bits = _starts(value), 5, (n + 1).bit_length()
+    sizes = np.diff(start, append=n)
+    ranks = np.zeros(n + 1, np.int64)  # 0 beyond the last
+    ranks[order] = np.repeat(start + 1, sizes)
+    live = order[np.repeat(sizes > 1, sizes)]  # by rank; all of one rank or none
     while known < span:
+        live = live[left[live] >= known]  # suffixes of one rank that end before are equal
+        if not len(live):
+            break
         step = min(known, span - known)
-        ranks = _paired(ranks, _shifted(ranks, ends, step))
+        high, low = ranks[live], ranks[live + step]
+        low[left[live] == step] = 0
+        shared = _starts(high)
+        group = np.repeat(np.arange(len(shared)), np.diff(shared, append=len(live)))
+        order, value = _sorted((group << bits) | low, len(shared).bit_length() + bits)
+        start = _starts(value)
+        sizes = np.diff(start, append=len(live))
+        live = live[order]
+        ranks[live] = np.repeat(high[start] + start - shared[group[start]], sizes)
+        live = live[np.repeat(sizes > 1, sizes)]
         known += step
-    return ranks
+    return ranks[:n]
 
 
 def repeats(data, ends, span: int = SPAN):
@@ -113,14 +172,15 @@ def repeats(data, ends, span: int = SPAN):
     import numpy as np
 
     n = len(data)
-    inside = np.arange(n) + span <= ends
+    inside = np.arange(n, dtype=ends.dtype) + span <= ends
     if not inside.any():
         return np.zeros(n, bool)
     # parse
-    trigger = np.zeros(n, bool)
-    hashes = gram_hashes(data, TRIGGER)
-    trigger[: len(hashes)] = hashes % np.uint64(PERIOD) == 0
-    trigger &= np.arange(n) + TRIGGER <= ends
+    trigger, size = np.zeros(n, bool), 1 << BLOCK_BITS
+    for a in range(0, n - TRIGGER + 1, size):
+        b = min(n - TRIGGER + 1, a + size)
+        trigger[a:b] = (_block_hashes(data, a, b, TRIGGER, size) & np.uint64(PERIOD - 1)) == 0
+    trigger &= np.arange(n, dtype=ends.dtype) + TRIGGER <= ends
     trigger[0] = True
     trigger[1:] |= ends[1:] != ends[:-1]
     begin = np.flatnonzero(trigger)
@@ -134,9 +194,8 @@ def repeats(data, ends, span: int = SPAN):
     sizes = np.array([len(x) for x in number], np.int64)
     book = np.frombuffer(b"".join(number), np.uint8)
     first = np.cumsum(sizes) - sizes
-    suffix = _suffix_ranks(book, np.repeat(first + sizes, sizes), span)
+    suffix = _suffix_ranks(book, np.repeat((first + sizes).astype(_kind(len(book))), sizes), span)
     # parse suffixes, ranked over as many phrases as can lie in a span
-    spot = np.cumsum(trigger) - 1
     tail = np.searchsorted(begin, ends[begin])  # the first phrase of the next text
     ranks, known = _ranked(suffix[first[phrase]], len(book).bit_length()), 1  # by their first bytes, which is as far as anyone looks
     while known < span + TRIGGER and ranks.max() < len(ranks):
@@ -165,28 +224,30 @@ def repeats(data, ends, span: int = SPAN):
         low.append(np.minimum(low[-1][:-h], low[-1][h:]))
     # corpus order of the positions at which a span starts
     at = np.flatnonzero(inside)
-    k = spot[at]
-    left = stop[k] - at  # bytes of the phrase suffix
-    rank = suffix[first[phrase[k]] + at - begin[k]]
-    short = left < span
-    behind = np.where(short, place[np.minimum(k + 1, len(place) - 1)], 0)
+    count = np.add.reduceat(inside, begin, dtype=np.int64)  # of them in each phrase
+    left = np.repeat(stop, count) - at  # bytes of the phrase suffix
+    rank = suffix[np.repeat(first[phrase] - begin, count) + at]
+    behind = np.repeat(np.append(place[1:], 0), count)
+    behind[left >= span] = 0
     wide = len(place).bit_length()
-    order, _ = _sorted((rank << wide) | behind, len(book).bit_length() + wide)
-    rank, behind, left, short = rank[order], behind[order], left[order], short[order]
+    order, value = _sorted((rank << wide) | behind, len(book).bit_length() + wide)
+    at, left = at[order], left[order]
+    rank, behind = value >> wide, value & ((1 << wide) - 1)
     same = rank[1:] == rank[:-1]
-    p, q = behind[:-1], behind[1:]
-    apart = same & short[1:] & (q > p)
-    i, j, need = p[apart], q[apart], (span - left[1:] + TRIGGER)[apart]
-    level = np.frexp((j - i).astype(np.float64))[1] - 1
-    least = np.empty(len(i), np.int64)
-    for v in np.unique(level):
-        w = level == v
+    apart = np.flatnonzero(same & (behind[1:] > behind[:-1]))  # also no whole span in the phrase suffix
+    i, j, need = behind[apart], behind[apart + 1], span - left[apart + 1] + TRIGGER
+    least = common[np.minimum(i + 1, len(common) - 1)]
+    far = np.flatnonzero(j - i > 1)
+    level = np.frexp((j - i)[far].astype(np.float64))[1] - 1
+    for v in range(1, level.max(initial=0) + 1):
+        w = far[level == v]
         least[w] = np.minimum(low[v][i[w] + 1], low[v][j[w] - 2**v + 1])
-    same[np.flatnonzero(apart)[least < need]] = False
-    group = np.cumsum(np.concatenate([[True], ~same])) - 1
-    earliest = np.minimum.reduceat(at[order], np.flatnonzero(np.concatenate([[True], ~same])))
+    same[apart[least < need]] = False
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    earliest = np.minimum.reduceat(at, start)
     out = np.zeros(n, bool)
-    out[at[order]] = at[order] != earliest[group]
+    out[at] = True
+    out[earliest] = False
     return out
 
 
@@ -201,14 +262,21 @@ def _runs(at, *also):
     return edges[:-1], edges[1:]
 
 
+def _kind(size: int):
+    """Type of places among so many bytes, and of their sums with a span."""
+    import numpy as np
+
+    return np.int32 if size < 2**30 else np.int64
+
+
 def _texts(table):
-    """Ids, bytes of all texts, and at each byte the number and the end of its text."""
+    """Ids and bytes of all texts, at each byte the end of its text, and the sizes."""
     import numpy as np
 
     ids, body = C.in_order(table)
     sizes = np.array([len(t) for t in body], np.int64)
     data = np.frombuffer(b"".join(body), np.uint8)
-    return ids, data, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes), sizes), sizes
+    return ids, data, np.repeat(np.cumsum(sizes).astype(_kind(len(data))), sizes), sizes
 
 
 def _anchored(data, ends, span: int):
@@ -222,35 +290,40 @@ def _anchored(data, ends, span: int):
 
     half = span // 2
     wide = span - half + 1
-    bits = max(16, wide.bit_length() + 1)
-    low = np.uint64((1 << bits) - 1)
-    starts = np.flatnonzero(np.arange(len(data)) + span <= ends)
-    hashes = gram_hashes(data, half)
+    bits = max(BLOCK_BITS, wide.bit_length() + 1)
+    low, size = np.uint64((1 << bits) - 1), 1 << bits
+    inside = np.arange(len(data), dtype=ends.dtype) + span <= ends
+    starts = np.flatnonzero(inside)
     if not len(starts):
-        return starts, starts, starts, hashes[:0]
-    windows, step = len(hashes) - wide + 1, (1 << bits) - wide + 1
-    within, best = np.arange(1 << bits, dtype=np.uint64), np.empty(windows, np.uint64)
-    for a in range(0, windows, step):
-        least = hashes[a : a + step + wide - 1]
-        least = (least & ~low) | within[: len(least)]
+        return starts, starts, starts, np.empty(0, np.uint64)
+    within, step, found = np.arange(size, dtype=np.uint64), size - wide + 1, []
+    for a in range(0, int(starts[-1]) + 1, step):
+        here = inside[a : min(a + step, int(starts[-1]) + 1)]
+        if not here.any():
+            continue
+        least = _block_hashes(data, a, a + len(here) + wide - 1, half, size)
+        least &= ~low
+        least |= within[: len(least)]
         have = 1
         while 2 * have <= wide:
             least, have = np.minimum(least[:-have], least[have:]), 2 * have
         if have < wide:
             least = np.minimum(least[: have - wide], least[wide - have :])
-        best[a : a + step] = least
-    least = best[starts]
-    place = starts // step * step + (least & low).astype(np.int64)
-    head = np.flatnonzero(np.diff(place, prepend=-1))
-    return starts, head, place[head], (least & ~low)[head]
+        new = here.copy()  # a start whose anchor is not that of the place before, or after a place where none starts
+        new[1:] &= (least[1:] != least[:-1]) | ~here[:-1]
+        new = np.flatnonzero(new)
+        found.append((new + a, a + (least[new] & low).astype(np.int64), least[new] & ~low))
+    at, place, keys = (np.concatenate(x) for x in zip(*found))
+    new = _starts(place)  # runs go on from block to block
+    return starts, np.searchsorted(starts, at[new]), place[new], keys[new]
 
 
 def _joined(stretches):
     """Texts one after the other: bytes, and at each byte the end of its text."""
     import numpy as np
 
-    sizes = np.array([len(s) for s in stretches], np.int64)
-    return np.frombuffer(b"".join(stretches), np.uint8), np.repeat(np.cumsum(sizes), sizes), np.cumsum(sizes) - sizes
+    sizes, data = np.array([len(s) for s in stretches], np.int64), np.frombuffer(b"".join(stretches), np.uint8)
+    return data, np.repeat(np.cumsum(sizes).astype(_kind(len(data))), sizes), np.cumsum(sizes) - sizes
 
 
 def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", *, span: int = SPAN) -> DataFrame:
@@ -261,17 +334,18 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
     def state(table, _):
         import numpy as np
 
-        _, data, owner, ends, sizes = _texts(table)
+        _, data, ends, sizes = _texts(table)
         _, _, place, keys = _anchored(data, ends, span)
-        place, one = np.unique(place, return_index=True)
-        cuts, spelled = np.cumsum(sizes).tolist(), memoryview(data)
-        digests = [hashlib.blake2b(spelled[b - n : b], digest_size=8).digest() for b, n in zip(cuts, sizes.tolist())]
-        by_doc = (np.frombuffer(b"".join(digests), np.uint64) >> np.uint64(33)).astype(np.uint32)[owner[place]]  # 31 bits
-        order = np.lexsort((by_doc, keys[one]))
-        keys, by_doc = keys[one][order], by_doc[order]
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
+        cuts = np.cumsum(sizes)
+        spelled = memoryview(data)
+        digests = [hashlib.blake2b(spelled[b - n : b], digest_size=8).digest() for b, n in zip(cuts.tolist(), sizes.tolist())]
+        by_doc = (np.frombuffer(b"".join(digests), np.uint64) >> np.uint64(33)).astype(np.uint32)  # 31 bits
+        order = np.argsort(keys)
+        keys, by_doc = keys[order], by_doc[np.searchsorted(cuts, place[order], side="right")]
+        new = _starts(keys)
         several = np.diff(new, append=len(keys)) > 1
-        extra = by_doc[new] | (several.astype(np.uint32) << np.uint32(31))
+        least = np.minimum.reduceat(by_doc, new) if len(new) else by_doc
+        extra = least | (several.astype(np.uint32) << np.uint32(31))
         return C.as_table(C.asked(table.column("chunk")[0].as_py(), keys[new], bits, extra, short=True), C.MESSAGE)
 
     def shard_of(keys, extra, order, starts):
@@ -284,26 +358,30 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
     def sort_chunk(table, answers):
         import numpy as np
 
-        ids, data, owner, ends, sizes = _texts(table)
+        ids, data, ends, sizes = _texts(table)
         starts, head, _, keys = _anchored(data, ends, span)
         if not len(keys):
             return C.as_table([], STRETCH)
-        shard = np.repeat(C.said(answers, kind="<u4")[np.unique(keys, return_inverse=True)[1]], np.diff(head, append=len(starts)))
-        starts, shard = starts[shard > 0], shard[shard > 0]
+        order = np.argsort(keys)
+        new = _starts(keys[order])
+        shard = np.empty(len(keys), np.uint32)
+        shard[order] = np.repeat(C.said(answers, kind="<u4"), np.diff(new, append=len(keys)))
+        count = np.diff(head, append=len(starts))
+        starts, shard = starts[np.repeat(shard > 0, count)], np.repeat(shard[shard > 0], count[shard > 0])
         if not len(starts):
             return C.as_table([], STRETCH)
         chunk, spelled = table.column("chunk")[0].as_py(), data.tobytes()
         i, j = _runs(starts)
         body, stops, begin = _joined([spelled[a : b + span] for a, b in zip(starts[i].tolist(), starts[j - 1].tolist())])
         again = repeats(body, stops, span)[np.repeat(begin - starts[i], j - i) + starts]
-        mask = np.zeros(len(data), np.uint8)
-        mask[starts[again]] = 1
-        rows = [(None, chunk, None, None, np.packbits(mask).tobytes())]
+        gone = starts[again]
+        i, j = _runs(gone)
+        rows = [(None, chunk, None, None, np.stack([gone[i], j - i], axis=1).tobytes())]
         starts, shard = starts[~again], shard[~again]
         i, j = _runs(starts, shard)
-        base = np.cumsum(sizes) - sizes
-        for a, b, s in zip(starts[i].tolist(), starts[j - 1].tolist(), shard[i].tolist()):
-            rows.append((s, chunk, ids[owner[a]], a, spelled[a : b + span]))
+        owner = np.searchsorted(np.cumsum(sizes), starts[i], side="right")
+        for a, b, s, o in zip(starts[i].tolist(), starts[j - 1].tolist(), shard[i].tolist(), owner.tolist()):
+            rows.append((s, chunk, ids[o], a, spelled[a : b + span]))
         return C.as_table(rows, STRETCH)
 
     def sort_shard(table):
@@ -322,25 +400,23 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
     def keep(table, answers):
         import numpy as np
 
-        ids, data, owner, ends, sizes = _texts(table)
-        edge = np.zeros(len(data) + 1, np.int32)
-        for bucket, packed in zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist()):
-            if bucket < 0:
-                begin = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), count=len(data)))
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, begin + span, -1)
-            else:
-                runs = np.frombuffer(packed, np.int64).reshape(-1, 2)
-                np.add.at(edge, runs[:, 0], 1)
-                np.add.at(edge, runs[:, 0] + runs[:, 1] - 1 + span, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        rows, begin = [], 0
-        for i, n in zip(ids, sizes.tolist()):
-            lost, mine = gone[begin : begin + n], data[begin : begin + n]
-            count = int(lost.sum())
-            spans = int((lost & ~np.concatenate([[False], lost[:-1]])).sum()) if count else 0
-            rows.append((None if i == C.NO_ID else i, (mine[~lost] if count else mine).tobytes(), n, count, spans))
-            begin += n
+        ids, body = C.in_order(table)
+        sizes = np.array([len(t) for t in body], np.int64)
+        cuts = np.cumsum(sizes)
+        runs = np.frombuffer(b"".join(answers.column("keys").to_pylist()), np.int64).reshape(-1, 2)
+        runs = runs[np.argsort(runs[:, 0])]
+        begin, stop = runs[:, 0], np.maximum.accumulate(runs[:, 0] + runs[:, 1] - 1 + span)  # of what is removed
+        owner = np.searchsorted(cuts, begin, side="right")
+        new = np.flatnonzero(np.concatenate([[True], (begin[1:] > stop[:-1]) | (owner[1:] != owner[:-1])])[: len(begin)])
+        begin, stop, owner = begin[new], np.append(stop[new[1:] - 1], stop[-1:]), owner[new]
+        first = np.searchsorted(owner, np.arange(len(ids) + 1)).tolist()
+        base = (cuts - sizes)[owner]
+        begin, stop = (begin - base).tolist(), (stop - base).tolist()
+        rows = []
+        for k, (i, t) in enumerate(zip(ids, body)):
+            a, b = first[k], first[k + 1]
+            kept = b"".join([t[x:y] for x, y in zip([0] + stop[a:b], begin[a:b] + [len(t)])]) if a < b else t
+            rows.append((None if i == C.NO_ID else i, kept, len(t), len(t) - len(kept), b - a))
         return C.as_table(rows, KEPT)
 
     shard = C.answered(corpus.map(state, C.MESSAGE), shard_of, short=True, extra="<u4", kind="<u4")

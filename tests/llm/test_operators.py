@@ -6,6 +6,7 @@ import math
 import random
 import re
 import tempfile
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -174,6 +175,35 @@ def test_anchors_depend_on_the_span_alone():
         assert known.setdefault(data[s : s + 100].tobytes(), (o, k)) == (o, k)
 
 
+@pytest.mark.parametrize("span", [7, 30, 100])
+def test_suffix_ranks(span):
+    """Ranks follow the first ``span`` bytes, the end before any byte; suffixes told apart are not sorted again."""
+    rng = random.Random(span)
+    texts = [prose(rng, rng.randint(1, 12), 400).encode() for _ in range(300)] + [b"a" * k for k in (1, 5, 10, 20, 45, 80, 100, 101, 130)]
+    texts += [b"", bytes(range(256)), b"\xff" * 12, b"\0" * 12, b"a" * 44 + b"b"]
+    sizes = np.array([len(t) for t in texts])
+    ends, seen, sort = np.repeat(np.cumsum(sizes), sizes), [], suffix_dedup._sorted
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffix_dedup, "_sorted", lambda keys, bits: seen.append(len(keys)) or sort(keys, bits))
+        ranks = suffix_dedup._suffix_ranks(np.frombuffer(b"".join(texts), np.uint8), ends, span)
+    head = [t[i : i + span] for t in texts for i in range(len(t))]
+    number = {h: k for k, h in enumerate(sorted(set(head)))}
+    assert np.unique(ranks, return_inverse=True)[1].tolist() == [number[h] for h in head]
+    assert ranks.min() > 0 and ranks.max() <= len(ranks)
+    assert sum(seen) < 3 * len(ranks) if span > 7 else len(seen) == 2
+
+
+def test_anchors_take_little_memory():
+    """Hashes are made block by block: a few bytes for each byte of text, however long it is."""
+    data = np.random.default_rng(5).integers(97, 123, 2_000_000, np.uint8)
+    ends = np.full(len(data), len(data))
+    tracemalloc.start()
+    suffix_dedup._anchored(data, ends, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(data)
+
+
 @pytest.mark.parametrize("trial", range(40))
 def test_parse_order(trial):
     rng = random.Random(trial)
